@@ -10,6 +10,7 @@ from airsignal.plans.registry import REGISTRY, Query
 
 MODULES = [
     "airsignal.plans.q_columns",
+    "airsignal.plans.q_windows",
 ]
 
 

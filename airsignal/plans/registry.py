@@ -1,9 +1,11 @@
 """Query registry: Spark callables plus their DuckDB oracle SQL.
 
 Each query reads the given test tables (or frames Spark derives from them) in
-full. Doubles are rounded on both sides (``digits``, default 6; +0.0 turns -0.0
-into 0.0) because the two engines may differ in the last bits of sums, sin/cos
-and logs.
+full. Doubles are rounded on both sides (``digits``, default 6) because the two
+engines may differ in the last bits of sums, sin/cos and logs. Rounding is done
+in two exact decimal steps — snap to 9 decimals, then half-up to ``digits`` —
+so values that are exact decimal ties (e.g. means over 32 rows) round the same
+way in both engines; +0.0 turns -0.0 into 0.0.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ def round_doubles(df: DataFrame, digits: Mapping[str, int] | None = None, defaul
     out = {}
     for f in df.schema.fields:
         if isinstance(f.dataType, (DoubleType, FloatType)):
-            out[f.name] = F.round(F.col(f"`{f.name}`").cast("double"), digits.get(f.name, default)) + F.lit(0.0)
+            snapped = F.col(f"`{f.name}`").cast("double").try_cast("decimal(38,9)")
+            out[f.name] = F.round(snapped, digits.get(f.name, default)).cast("double") + F.lit(0.0)
     return df.withColumns(out) if out else df
 
 
@@ -52,7 +55,8 @@ def oracle(ctes: Sequence[str], body: str, dbl: Mapping[str, int] | Sequence[str
     if not spec:
         text = f"{with_}\nSELECT * FROM __q"
     else:
-        rep = ", ".join(f'round("{c}", {d}) + 0.0 AS "{c}"' for c, d in spec.items())
+        rep = ", ".join(f'round(TRY_CAST("{c}" AS DECIMAL(38, 9)), {d})::DOUBLE + 0.0 AS "{c}"'
+                        for c, d in spec.items())
         text = f"{with_}\nSELECT * REPLACE ({rep}) FROM __q"
     out = OracleSQL(text)
     out.digits = spec
