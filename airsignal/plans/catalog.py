@@ -11,6 +11,9 @@ from airsignal.plans.registry import REGISTRY, Query
 MODULES = [
     "airsignal.plans.q_columns",
     "airsignal.plans.q_windows",
+    "airsignal.plans.q_features",
+    "airsignal.plans.q_insights",
+    "airsignal.plans.q_sources",
 ]
 
 
