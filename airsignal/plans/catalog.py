@@ -14,6 +14,7 @@ MODULES = [
     "airsignal.plans.q_features",
     "airsignal.plans.q_insights",
     "airsignal.plans.q_sources",
+    "airsignal.plans.q_store",
 ]
 
 
