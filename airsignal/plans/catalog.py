@@ -15,6 +15,7 @@ MODULES = [
     "airsignal.plans.q_insights",
     "airsignal.plans.q_sources",
     "airsignal.plans.q_store",
+    "airsignal.plans.q_models",
 ]
 
 
