@@ -16,6 +16,7 @@ MODULES = [
     "airsignal.plans.q_sources",
     "airsignal.plans.q_store",
     "airsignal.plans.q_models",
+    "airsignal.plans.q_streams",
 ]
 
 

@@ -94,3 +94,9 @@ def forecast_docs(spark: SparkSession, sf: str) -> DataFrame:
 # SQL views of the same documents' flat values, for the oracle
 K_SQL = "CAST(json_extract(props, '$.k') AS DOUBLE)"
 EPOCH_SQL = "(epoch_us(ts) // 1000000)"
+
+
+def write_landing(df: DataFrame, path: str, files: int = 12) -> str:
+    """Write documents as JSON-lines files (several files, so a stream reads several micro-batches)."""
+    df.repartition(files).write.mode("overwrite").json(path)
+    return path
