@@ -17,6 +17,7 @@ MODULES = [
     "airsignal.plans.q_store",
     "airsignal.plans.q_models",
     "airsignal.plans.q_streams",
+    "airsignal.plans.q_jobs",
 ]
 
 
