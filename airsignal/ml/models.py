@@ -295,6 +295,9 @@ def evaluate_recent(features: DataFrame, prep: PipelineModel, model, hours: floa
     return evaluate(scored, "label", "prediction", keys)
 
 
+from airsignal.operators.series import attach_row  # noqa: E402
+
+
 # --- 86, 88: cross validation and scaling -----------------------------------------------------
 
 def cross_validate(train: DataFrame, estimator, grid: Mapping[str, Sequence] | None = None, folds: int = 5,
@@ -326,7 +329,7 @@ def scale_features(df: DataFrame, cols: Sequence[str], kind: str = "standard", k
             (F.percentile_approx(c, 0.75, 10000) - F.percentile_approx(c, 0.25, 10000)).alias(f"__s_{c}"))])
     else:
         raise ValueError(f"unknown scaling {kind!r}")
-    j = df.join(stats, keys, "left") if keys else df.crossJoin(F.broadcast(stats))
+    j = df.join(stats, keys, "left") if keys else attach_row(df, stats)
     out = j.withColumns({c: F.try_divide(F.col(c) - F.col(f"__c_{c}"), F.when(F.col(f"__s_{c}") != 0, F.col(f"__s_{c}")))
                          for c in cols})
     return out.drop(*[x for c in cols for x in (f"__c_{c}", f"__s_{c}")])

@@ -158,7 +158,7 @@ class SeriesPlan:
         real = self.df.filter(~F.col(HALO))
         firsts = real.groupBy(*self.keys).agg(*[
             F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(RN))).alias(f"__sf_{c}") for c in cols])
-        self.df = self.df.join(firsts, list(self.keys), "left") if self.keys else self.df.crossJoin(firsts)
+        self.df = self.df.join(firsts, list(self.keys), "left") if self.keys else attach_row(self.df, firsts)
         self.helpers += [f"__sf_{c}" for c in cols]
         return {c: F.col(f"__sf_{c}") for c in cols}
 
@@ -195,3 +195,15 @@ def apply_series(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
     plan = plan_series(df, keys, order, lookback, strategy, block_rows)
     cols = build(plan)
     return plan.finish(plan.df.withColumns(cols))
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a one-row frame (a global aggregate) to every row.
+
+    A broadcast hash join on a constant key: the right side is one row by
+    construction (an aggregate without grouping keys), so broadcasting it is
+    bounded, and the plan has no cartesian product.
+    """
+    return (df.withColumn("__one", F.lit(0))
+            .join(F.broadcast(one_row.withColumn("__one", F.lit(0))), "__one", "inner")
+            .drop("__one"))

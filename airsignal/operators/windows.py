@@ -12,7 +12,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airsignal.operators.series import SeriesPlan, apply_series, order_number, plan_series
+from airsignal.operators.series import SeriesPlan, apply_series, attach_row, order_number, plan_series
 
 ROLL_SUFFIX = {24: "24h", 168: "7d"}
 ROLL_STATS = {
@@ -151,7 +151,7 @@ def fill_mode(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), defa
     joined back on the keys (broadcast when there are no keys: one row).
     """
     modes = df.groupBy(*keys).agg(*[F.mode(c, deterministic=True).alias(f"__mode_{c}") for c in cols])
-    joined = df.join(modes, list(keys), "left") if keys else df.crossJoin(F.broadcast(modes))
+    joined = df.join(modes, list(keys), "left") if keys else attach_row(df, modes)
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__mode_{c}"), F.lit(default)) for c in cols}) \
         .drop(*[f"__mode_{c}" for c in cols])
 
@@ -172,7 +172,7 @@ def head_tail_trend(df: DataFrame, value: str = "aqi", keys: Sequence[str] = (),
     if plan.blocked:
         d = plan.finish(plan.df.withColumn("__pos", F.col("__rn")))
         counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__cnt"))
-        d = d.join(counts, keys) if keys else d.crossJoin(counts)
+        d = d.join(counts, keys) if keys else attach_row(d, counts)
     else:
         d = plan.df.withColumns({
             "__pos": F.row_number().over(plan.window),
