@@ -153,7 +153,7 @@ class SeriesPlan:
     def series_first(self, cols: Sequence[str]) -> dict[str, Column]:
         """Column expressions: first non-NULL value of the whole series."""
         if not self.blocked:
-            whole = Window.partitionBy(*self.keys)
+            whole = self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             return {c: F.first(c, ignorenulls=True).over(whole) for c in cols}
         real = self.df.filter(~F.col(HALO))
         firsts = real.groupBy(*self.keys).agg(*[

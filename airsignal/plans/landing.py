@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airsignal.plans.frames import table
+from airsignal.plans.frames import spread, table
 
 
 def _k() -> Column:
@@ -24,8 +24,8 @@ def _epoch() -> Column:
 
 
 def _base(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(F.col("user_id").alias("location_id"), "event_id", "ts", "event_type",
-                                              "value", "props")
+    return spread(table(spark, sf, "events").select(F.col("user_id").alias("location_id"), "event_id", "ts",
+                                                     "event_type", "value", "props"))
 
 
 def weather_docs(spark: SparkSession, sf: str) -> DataFrame:

@@ -54,3 +54,13 @@ def test_rolling_time_blocked(spark):
     a = W.rolling_time(d, ["aqi"], 24, keys=K, ts="ts", strategy="plain")
     b = W.rolling_time(d, ["aqi"], 24, keys=K, ts="ts", strategy="blocked", bucket_hours=48)
     approx_rows(collect_sorted(b, ["location_id", "ts"]), collect_sorted(a, ["location_id", "ts"]))
+
+
+def test_derived_features_blocked_equals_plain(spark):
+    from airsignal.operators.features import derived_features
+
+    d = obs_wide(spark, SF01).select("location_id", "ts", *SERIES)
+    plain = derived_features(d, K, "ts", strategy="plain")
+    blocked = derived_features(d, K, "ts", strategy="blocked", block_rows=211)
+    assert blocked.columns == plain.columns
+    approx_rows(collect_sorted(blocked, ["location_id", "ts"]), collect_sorted(plain, ["location_id", "ts"]), 1e-7)
