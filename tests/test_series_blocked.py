@@ -64,3 +64,21 @@ def test_derived_features_blocked_equals_plain(spark):
     blocked = derived_features(d, K, "ts", strategy="blocked", block_rows=211)
     assert blocked.columns == plain.columns
     approx_rows(collect_sorted(blocked, ["location_id", "ts"]), collect_sorted(plain, ["location_id", "ts"]), 1e-7)
+
+
+def test_auto_switches_to_blocked_on_a_hot_key(spark):
+    """A third of all events on one location: 'auto' must pick the blocked plan, same values."""
+    from airsignal.operators.series import plan_series
+
+    d = obs_long(spark, SF01).withColumn(
+        "location_id", F.when(F.col("location_id") % 3 == 0, F.lit(0)).otherwise(F.col("location_id")))
+    spark.conf.set("airsignal.series.maxRowsPerTask", "1000")
+    spark.conf.set("airsignal.series.blockRows", "400")
+    try:
+        assert plan_series(d, K, ["ts", "event_id"], 23).blocked
+        auto = W.rolling(d, ["value"], 24, ("mean", "max"), K, "ts", tie=["event_id"])
+    finally:
+        spark.conf.unset("airsignal.series.maxRowsPerTask")
+        spark.conf.unset("airsignal.series.blockRows")
+    plain = W.rolling(d, ["value"], 24, ("mean", "max"), K, "ts", tie=["event_id"], strategy="plain")
+    approx_rows(collect_sorted(auto, ["event_id"]), collect_sorted(plain, ["event_id"]))
