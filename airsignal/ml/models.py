@@ -226,7 +226,9 @@ def compare_models(train: DataFrame, val: DataFrame,
 def registry_save(model, name: str, scores: Mapping[str, float], feature_cols: Sequence[str], path: str,
                   run_ts: str) -> None:
     """Model under ``path/models/name``; metadata row appended to ``path/metadata`` (JSON)."""
-    spark = __import__("pyspark.sql", fromlist=["SparkSession"]).SparkSession.getActiveSession()
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.getActiveSession()
     if isinstance(model, RandomFourierModel):
         model.linear.write().overwrite().save(f"{path}/models/{name}/linear")
         spark.createDataFrame([(json.dumps({"w": model.w.tolist(), "b": model.b.tolist()}),)], "params string") \

@@ -42,7 +42,10 @@ def main() -> None:
     from airsignal.plans import catalog
     from airsignal.session import local_session
 
-    spark = local_session(cpus, shuffle_partitions=max(8, int(cpus) if cpus.isdigit() else 8), app="airsignal-bench")
+    # Per-location series are uneven; 16 hash partitions per core balance the window stage
+    # (measured at sf0.1: 8 -> 10 s, 32 -> 7.4 s, 128 -> 6.5 s for the full feature table).
+    n = int(cpus) if cpus.isdigit() else 8
+    spark = local_session(cpus, shuffle_partitions=16 * n, app="airsignal-bench")
     reg = catalog.registry()
     # warm-up: JVM, parquet footers, codegen caches
     reg["calendar_parts"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
