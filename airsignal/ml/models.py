@@ -69,16 +69,50 @@ def hash_uniform(cols: Sequence[str | Column], seed: int = SEED) -> Column:
     return (F.pmod(h, F.lit(1 << 53)).cast("double")) / F.lit(float(1 << 53))
 
 
+def split_sizes(n: int, fractions: Sequence[float] = (0.7, 0.1, 0.2)) -> list[int]:
+    """Part sizes of (train, validation, test) as the reference's two holdout splits compute them.
+
+    First ``held = ceil((test + validation) * n)`` rows are held out, then
+    ``ceil(test / (test + validation) * held)`` of them are test — with the same
+    floating-point expressions (e.g. 0.2 + 0.1 = 0.30000000000000004, so n = 2000
+    holds out 601 rows).
+    """
+    if len(fractions) != 3:
+        raise ValueError("fractions must be (train, validation, test)")
+    _, val, test = (float(x) for x in fractions)
+    held = min(n, math.ceil((test + val) * n))
+    n_test = min(held, math.ceil(test / (test + val) * held)) if held else 0
+    return [n - held, held - n_test, n_test]
+
+
 def split_random(df: DataFrame, fractions: Sequence[float] = (0.7, 0.1, 0.2), seed: int = SEED,
                  keys: Sequence[str] = ("location_id", "ts"),
-                 names: Sequence[str] = ("train", "validation", "test")) -> DataFrame:
-    """Adds ``split``: a deterministic random split by a hash of the keys (no shuffle, no sort)."""
+                 names: Sequence[str] = ("train", "validation", "test"), exact: bool = True) -> DataFrame:
+    """Adds ``split``: a random split decided by a hash of the row keys (same under any partitioning).
+
+    ``exact=True`` gives exact part sizes: rows are ranked by their hash with the
+    distributed row number of :mod:`airsignal.operators.series` (counts per hash
+    chunk, prefix sums over the small count tables; no task ranks everything).
+    ``exact=False`` cuts the hash uniform directly (no shuffle, sizes approximate).
+    """
     u = hash_uniform(keys, seed)
-    cuts = np.cumsum(fractions) / float(sum(fractions))
-    e = F.when(u < float(cuts[0]), names[0])
-    for cut, name in zip(cuts[1:-1], names[1:-1]):
-        e = e.when(u < float(cut), name)
-    return df.withColumn("split", e.otherwise(names[-1]))
+    if not exact:
+        cuts = np.cumsum(fractions) / float(sum(fractions))
+        e = F.when(u < float(cuts[0]), names[0])
+        for cut, name in zip(cuts[1:-1], names[1:-1]):
+            e = e.when(u < float(cut), name)
+        return df.withColumn("split", e.otherwise(names[-1]))
+    from airsignal.operators.series import RN, series_row_number
+
+    n = df.count()
+    bounds = np.cumsum(split_sizes(n, fractions))
+    h = F.pmod(F.xxhash64(*[F.col(c) for c in keys], F.lit(seed)), F.lit(1 << 53))
+    ranked = series_row_number(df.withColumn("__h", h), [], ["__h", *keys],
+                               chunk_width=max(1, (1 << 53) // max(1, n // 1000)))
+    e = F.when(F.col(RN) <= int(bounds[0]), names[0])
+    for b, name in zip(bounds[1:-1], names[1:-1]):
+        e = e.when(F.col(RN) <= int(b), name)
+    return ranked.withColumn("split", e.otherwise(names[-1])).drop("__h", RN)
 
 
 def split_time(df: DataFrame, fractions: Sequence[float] = (0.7, 0.1, 0.2), keys: Sequence[str] = ("location_id",),

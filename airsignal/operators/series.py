@@ -77,7 +77,7 @@ def choose_strategy(df: DataFrame, keys: Sequence[str], strategy: str) -> str:
 
 
 def series_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
-                      chunk_seconds: int = DEFAULT_CHUNK_SECONDS) -> DataFrame:
+                      chunk_seconds: int = DEFAULT_CHUNK_SECONDS, chunk_width: int | None = None) -> DataFrame:
     """Adds ``__rn``: exact 1-based position of each row in its series.
 
     No task sorts a whole series: counts per (key, chunk) are combined map-side,
@@ -86,8 +86,12 @@ def series_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """
     keys = list(keys)
     lead = order[0]
-    width = int(chunk_seconds) * 1_000_000 if dict(df.dtypes)[lead].startswith(("timestamp", "date")) \
-        else max(int(chunk_seconds), 1)
+    if chunk_width is not None:
+        width = max(int(chunk_width), 1)
+    elif dict(df.dtypes)[lead].startswith(("timestamp", "date")):
+        width = int(chunk_seconds) * 1_000_000
+    else:
+        width = max(int(chunk_seconds), 1)
     rows = df.withColumn(CHUNK, F.floor(order_number(df, lead) / F.lit(width)).cast("long"))
     c2 = F.floor(F.col(CHUNK) / F.lit(GROUP_CHUNKS)).cast("long")
     counts1 = rows.groupBy(*keys, CHUNK).agg(F.count(F.lit(1)).alias("__n1")).withColumn("__c2", c2)

@@ -1,5 +1,7 @@
 """Model training checks: closed-form ridge, determinism, known signal."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
@@ -45,8 +47,19 @@ def test_split_random_stable_under_repartition(spark):
     a = M.split_random(d, keys=["id"]).orderBy("id").collect()
     b = M.split_random(d.repartition(13), keys=["id"]).orderBy("id").collect()
     assert a == b
-    counts = {r["split"]: r["count"] for r in M.split_random(d, keys=["id"]).groupBy("split").count().collect()}
-    assert abs(counts["train"] / 2000 - 0.7) < 0.05
+
+
+def test_split_random_exact_sizes(spark):
+    for n in (2000, 1001, 7):
+        d = spark.range(n).withColumn("ts", F.lit(0))
+        counts = {r["split"]: r["count"] for r in M.split_random(d, keys=["id"]).groupBy("split").count().collect()}
+        # two holdout splits with the reference's float expressions: (0.2 + 0.1) * n held out, rounded up,
+        # then 0.2 / (0.2 + 0.1) of that is test
+        held = math.ceil((0.2 + 0.1) * n)
+        test = math.ceil(0.2 / (0.2 + 0.1) * held)
+        assert counts.get("train", 0) == n - held
+        assert counts.get("test", 0) == test
+        assert counts.get("validation", 0) == held - test
 
 
 def test_forecast_postprocess(spark):
