@@ -131,11 +131,20 @@ def split_time(df: DataFrame, fractions: Sequence[float] = (0.7, 0.1, 0.2), keys
 
 # --- 70-73, 87: estimators ----------------------------------------------------------------
 
+def _tree_memory(train: DataFrame) -> int:
+    """Histogram memory per tree-learning pass: ``airsignal.ml.treeMemoryMB`` or Spark's default (256).
+
+    More memory means fewer passes per tree level, but the histograms live on
+    the executors; raise it only where executor memory allows (no gain measured here).
+    """
+    return int(train.sparkSession.conf.get("airsignal.ml.treeMemoryMB", "256"))
+
+
 def fit_random_forest(train: DataFrame, num_trees: int = 100, max_depth: int = 10, min_leaf: int = 2,
                       seed: int = SEED):
     """Reference: 100 trees, depth 10, leaf >= 2 (min split 5 has no Spark equivalent)."""
     return RandomForestRegressor(numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=min_leaf,
-                                 featureSubsetStrategy="all", seed=seed, maxMemoryInMB=1024,
+                                 featureSubsetStrategy="all", seed=seed, maxMemoryInMB=_tree_memory(train),
                                  cacheNodeIds=True, checkpointInterval=10).fit(train)
 
 
@@ -143,8 +152,8 @@ def fit_gbt(train: DataFrame, max_iter: int = 100, max_depth: int = 6, step: flo
             subsample: float = 0.8, seed: int = SEED):
     """Reference: 100 boosted trees, depth 6, rate 0.1, row and column sampling 0.8."""
     return GBTRegressor(maxIter=max_iter, maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
-                        featureSubsetStrategy="0.8", seed=seed, maxMemoryInMB=1024, cacheNodeIds=True,
-                        checkpointInterval=10).fit(train)
+                        featureSubsetStrategy="0.8", seed=seed, maxMemoryInMB=_tree_memory(train),
+                        cacheNodeIds=True, checkpointInterval=10).fit(train)
 
 
 def _label_stats(train: DataFrame) -> tuple[float, int]:
