@@ -20,6 +20,20 @@ from airsignal.session import scratch_path
 K = ["location_id"]
 KEY = ["location_id", "ts"]
 
+# Feature columns of ``all_features`` over the hourly readings (fixed by the feature vocabulary).
+_AF_COLS = (["pm25", "pm10", "temperature", "humidity", "wind_speed"] + FE.TIME_COLS
+            + ["temperature_squared", "temperature_cubed", "humidity_squared", "wind_speed_squared",
+               "pm25_squared", "pm25_log", "pm10_squared", "pm10_log",
+               "pollutant_sum", "pollutant_mean", "pollutant_std", "pollutant_max"]
+            + [f"{c}_lag_{k}" for c in ["temperature", "humidity", "wind_speed", "pm25", "pm10"] for k in (1, 2, 3)]
+            + [f"{c}_change_rate" for c in ["temperature", "humidity", "wind_speed", "pm25", "pm10"]]
+            + [f"{c}_change_rate_pct" for c in ["temperature", "humidity", "wind_speed", "pm25", "pm10"]]
+            + [f"{c}_rolling_{s}_24h" for c in ["temperature", "humidity", "wind_speed", "pm25", "pm10"]
+               for s in ("mean", "std", "min", "max")]
+            + [f"{c}_rolling_{s}_7d" for c in ["temperature", "humidity", "wind_speed", "pm25", "pm10"]
+               for s in ("mean", "std")]
+            + ["temp_humidity_interaction", "pm25_pm10_ratio", "wind_pm25_interaction"])
+
 
 def features_table(spark, sf):
     return FE.all_features(obs_wide(spark, sf), K, "ts", "aqi")
@@ -38,10 +52,27 @@ def _scored(model, df):
     return model.transform(df).select(*KEY, "label", "prediction")
 
 
-@register("xy")
+def _xy_sql():
+    """Mean imputation over the whole feature table, for every feature and the label."""
+    from airsignal.plans.registry import OracleSQL
+
+    af = _all_features_sql()
+    inner = af[len("WITH "):].replace("__q AS (", "hist AS (", 1).rsplit("SELECT * REPLACE", 1)[0].rstrip().rstrip(",")
+    cols = ", ".join(f"CAST(coalesce({c}, avg({c}) OVER ()) AS DOUBLE) AS {c}" for c in _AF_COLS)
+    body = f"WITH {inner}\nSELECT location_id, ts, CAST(coalesce(aqi, avg(aqi) OVER ()) AS DOUBLE) AS label, {cols} FROM hist"
+    spec = {c: (4 if c.endswith(("_squared", "_cubed", "_interaction")) else 6) for c in ["label", *_AF_COLS]}
+    rep = ", ".join(f'round(TRY_CAST("{c}" AS DECIMAL(38, 9)), {d})::DOUBLE + 0.0 AS "{c}"' for c, d in spec.items())
+    out = OracleSQL(f"SELECT * REPLACE ({rep}) FROM (\n{body}\n)")
+    out.digits = spec
+    return out
+
+
+@register("xy", _xy_sql())
 def q_xy(spark, sf):
+    """(X, y) preparation; the assembled vector is returned as named columns so values can be checked."""
     data, cols, _ = M.xy(features_table(spark, sf), "aqi", keys=KEY)
-    return data.select(*KEY, "label", vector_to_array("features").alias("features"))
+    arr = vector_to_array("features")
+    return data.select(*KEY, "label", *[arr[i].alias(c) for i, c in enumerate(cols)])
 
 
 @register("split_random")
@@ -163,21 +194,6 @@ def _future_sql():
     return out
 
 
-# Feature columns of ``all_features`` over the hourly readings (fixed by the feature vocabulary).
-_AF_COLS = (["pm25", "pm10", "temperature", "humidity", "wind_speed"] + FE.TIME_COLS
-            + ["temperature_squared", "temperature_cubed", "humidity_squared", "wind_speed_squared",
-               "pm25_squared", "pm25_log", "pm10_squared", "pm10_log",
-               "pollutant_sum", "pollutant_mean", "pollutant_std", "pollutant_max"]
-            + [f"{c}_lag_{k}" for c in ["temperature", "humidity", "wind_speed", "pm25", "pm10"] for k in (1, 2, 3)]
-            + [f"{c}_change_rate" for c in ["temperature", "humidity", "wind_speed", "pm25", "pm10"]]
-            + [f"{c}_change_rate_pct" for c in ["temperature", "humidity", "wind_speed", "pm25", "pm10"]]
-            + [f"{c}_rolling_{s}_24h" for c in ["temperature", "humidity", "wind_speed", "pm25", "pm10"]
-               for s in ("mean", "std", "min", "max")]
-            + [f"{c}_rolling_{s}_7d" for c in ["temperature", "humidity", "wind_speed", "pm25", "pm10"]
-               for s in ("mean", "std")]
-            + ["temp_humidity_interaction", "pm25_pm10_ratio", "wind_pm25_interaction"])
-
-
 @register("future_frame", _future_sql())
 def q_future_frame(spark, sf):
     return FC.future_frame(features_table(spark, sf), _AF_COLS, 72, K, "ts")
