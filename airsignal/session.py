@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# Recommended for every session running the feature pipeline (set at submit time on a cluster).
+CODEGEN_CACHE_ENTRIES = 2000
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "airsignal") -> SparkSession:
     """Local session for tests and the benchmark (UI off, UTC, AQE on)."""
@@ -22,6 +25,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Static: the feature plan has more generated classes (one set per window frame and
+        # projection) than the default cache of 100 holds; a smaller cache recompiles them in
+        # every window task (measured at sf0.1: 8.4 s -> 4.7 s for all_features).
+        .config("spark.sql.codegen.cache.maxEntries", str(CODEGEN_CACHE_ENTRIES))
         .config("spark.driver.memory", os.environ.get("AIRSIGNAL_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
