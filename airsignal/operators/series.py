@@ -41,6 +41,15 @@ DEFAULT_CHUNK_SECONDS = 60
 GROUP_CHUNKS = 1024
 
 
+def quote(name: str) -> str:
+    """A column name as a SQL identifier."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+RUNNING = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+WHOLE = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
+
+
 def _conf_int(df: DataFrame, key: str, default: int) -> int:
     try:
         return int(df.sparkSession.conf.get(key, str(default)))
@@ -127,6 +136,19 @@ class SeriesPlan:
     def part_keys(self) -> list[str]:
         return [*self.keys, BLK] if self.blocked else list(self.keys)
 
+    def over(self, frame: str = "") -> str:
+        """SQL text of ``window`` plus an optional frame, e.g. ``ROWS BETWEEN 23 PRECEDING AND CURRENT ROW``.
+
+        Wide feature blocks build hundreds of window expressions; one ``F.expr`` per
+        expression is one JVM call, where the Column API makes several per expression.
+        """
+        order = [RN] if self.blocked else self.order
+        parts = [f"PARTITION BY {', '.join(map(quote, self.part_keys()))}"] if self.part_keys() else []
+        parts.append(f"ORDER BY {', '.join(map(quote, order))}")
+        if frame:
+            parts.append(frame)
+        return f"OVER ({' '.join(parts)})"
+
     def finish(self, df: DataFrame | None = None) -> DataFrame:
         d = self.df if df is None else df
         if self.blocked:
@@ -140,9 +162,9 @@ class SeriesPlan:
     # --- unbounded look-back -------------------------------------------------
     def ffill(self, cols: Sequence[str]) -> dict[str, Column]:
         """Column expressions: last non-NULL value at or before each row."""
-        run = self.window.rowsBetween(Window.unboundedPreceding, 0)
+        last = {c: f"last({quote(c)}, true) {self.over(RUNNING)}" for c in cols}
         if not self.blocked:
-            return {c: F.last(c, ignorenulls=True).over(run) for c in cols}
+            return {c: F.expr(e) for c, e in last.items()}
         # carry of each block = last non-NULL value of all earlier blocks
         real = self.df.filter(~F.col(HALO))
         last_in_block = real.groupBy(*self.keys, BLK).agg(*[
@@ -152,13 +174,12 @@ class SeriesPlan:
             F.last(f"__bl_{c}", ignorenulls=True).over(before).alias(f"__cy_{c}") for c in cols])
         self.df = self.df.join(carry, [*self.keys, BLK], "left")
         self.helpers += [f"__cy_{c}" for c in cols]
-        return {c: F.coalesce(F.last(c, ignorenulls=True).over(run), F.col(f"__cy_{c}")) for c in cols}
+        return {c: F.expr(f"coalesce({last[c]}, {quote('__cy_' + c)})") for c in cols}
 
     def series_first(self, cols: Sequence[str]) -> dict[str, Column]:
         """Column expressions: first non-NULL value of the whole series."""
         if not self.blocked:
-            whole = self.window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            return {c: F.first(c, ignorenulls=True).over(whole) for c in cols}
+            return {c: F.expr(f"first({quote(c)}, true) {self.over(WHOLE)}") for c in cols}
         real = self.df.filter(~F.col(HALO))
         firsts = real.groupBy(*self.keys).agg(*[
             F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(RN))).alias(f"__sf_{c}") for c in cols])

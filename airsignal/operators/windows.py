@@ -12,9 +12,11 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airsignal.operators.series import SeriesPlan, apply_series, attach_row, order_number, plan_series
+from airsignal.operators.series import SeriesPlan, apply_series, attach_row, order_number, plan_series, quote
 
 ROLL_SUFFIX = {24: "24h", 168: "7d"}
+# SQL names of the same statistics (used for wide blocks: one JVM call per expression).
+ROLL_SQL = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "sum": "sum", "count": "count"}
 ROLL_STATS = {
     "mean": F.avg,
     "std": F.stddev_samp,
@@ -30,26 +32,30 @@ def _order(ts: str, tie: Sequence[str] | None) -> list[str]:
 
 
 def lag_exprs(plan: SeriesPlan, cols: Iterable[str], lags: Sequence[int] = (1, 2, 3)) -> dict[str, Column]:
-    return {f"{c}_lag_{k}": F.lag(c, k).over(plan.window) for c in cols for k in lags}
+    over = plan.over()
+    return {f"{c}_lag_{k}": F.expr(f"lag({quote(c)}, {int(k)}) {over}") for c in cols for k in lags}
 
 
 def change_exprs(plan: SeriesPlan, cols: Iterable[str]) -> dict[str, Column]:
-    return {f"{c}_change_rate": F.col(c) - F.lag(c, 1).over(plan.window) for c in cols}
+    over = plan.over()
+    return {f"{c}_change_rate": F.expr(f"{quote(c)} - lag({quote(c)}, 1) {over}") for c in cols}
 
 
 def rolling_exprs(plan: SeriesPlan, cols: Iterable[str], rows: int, stats: Sequence[str],
                   suffix: str | None = None) -> dict[str, Column]:
-    frame = plan.window.rowsBetween(-(rows - 1), 0)
+    over = plan.over(f"ROWS BETWEEN {int(rows) - 1} PRECEDING AND CURRENT ROW")
     sfx = suffix or ROLL_SUFFIX.get(rows, f"{rows}r")
-    return {f"{c}_rolling_{s}_{sfx}": ROLL_STATS[s](c).over(frame) for c in cols for s in stats}
+    return {f"{c}_rolling_{s}_{sfx}": F.expr(f"{ROLL_SQL[s]}({quote(c)}) {over}") for c in cols for s in stats}
 
 
 def pct_from_filled(plan: SeriesPlan, filled: dict[str, str]) -> dict[str, Column]:
     """x / previous x - 1 on forward-filled values; previous 0 gives NULL (pandas: inf)."""
+    over = plan.over()
     out = {}
     for c, f in filled.items():
-        prev = F.lag(f, 1).over(plan.window)
-        out[f"{c}_change_rate_pct"] = F.try_divide(F.col(f), F.when(prev != 0, prev)) - F.lit(1.0)
+        prev = f"lag({quote(f)}, 1) {over}"
+        out[f"{c}_change_rate_pct"] = F.expr(
+            f"try_divide({quote(f)}, CASE WHEN {prev} != 0 THEN {prev} END) - CAST(1.0 AS DOUBLE)")
     return out
 
 
