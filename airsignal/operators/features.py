@@ -155,6 +155,9 @@ def all_features(df: DataFrame, keys: Sequence[str] = ("location_id",), ts: str
     """flatten -> time -> weather -> pollutant -> derived -> fill -> target -> select."""
     from airsignal.sources.parse import flatten_nested
 
+    from airsignal.session import check_codegen_cache
+
+    check_codegen_cache(df.sparkSession)
     keys = list(keys)
     if "weather" in df.columns and dict(df.dtypes)["weather"].startswith("struct"):
         df = flatten_nested(df)

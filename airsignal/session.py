@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import warnings
 
 from pyspark.sql import SparkSession
 
@@ -36,6 +37,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def check_codegen_cache(spark: SparkSession) -> None:
+    """Warn once when the session's codegen cache is smaller than the feature plan needs.
+
+    ``spark.sql.codegen.cache.maxEntries`` is static: it must be given at submit time.
+    """
+    global _CACHE_CHECKED
+    if _CACHE_CHECKED:
+        return
+    _CACHE_CHECKED = True
+    try:
+        n = int(spark.conf.get("spark.sql.codegen.cache.maxEntries", "100"))
+    except Exception:  # noqa: BLE001 - conf not readable (remote session)
+        return
+    if n < CODEGEN_CACHE_ENTRIES:
+        warnings.warn(f"spark.sql.codegen.cache.maxEntries={n}: window tasks of the feature pipeline will "
+                      f"recompile generated classes; submit with {CODEGEN_CACHE_ENTRIES} or more", stacklevel=3)
+
+
+_CACHE_CHECKED = False
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
