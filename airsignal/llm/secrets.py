@@ -122,7 +122,8 @@ def as_text(spans):
 def digests(found: DataFrame) -> DataFrame:
     """Counts per base kind, sha256 of the base spans, and all spans as text."""
     base = F.filter("spans", lambda s: s["place"] < len(BASE_RULES))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["place"] == k)).cast("long").alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)]
+    at = lambda k: F.size(F.filter("spans", lambda s: s["place"] == k)).cast("long")
+    counts = [at(k).alias(f"n_{r.kind}") for k, r in enumerate(BASE_RULES)]
     return found.select("doc_id", *counts, F.sha2(as_text(base), 256).alias("base_sha256"), as_text(F.col("spans")).alias("spans"))
 
 
