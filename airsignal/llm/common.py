@@ -92,16 +92,20 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
 
 
 def byte_pieces(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES):
-    """(bytes, offsets of all rows within them): stretches of about ``limit`` bytes, cut after white space where there is any."""
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + limit)
-        if end < len(data):
-            gap = np.flatnonzero(IS_SPACE[data[max(at, end - 4096):end]])
-            if len(gap):
-                end = max(at, end - 4096) + int(gap[-1]) + 1
-        yield data[at:end], np.clip(offsets - at, 0, end - at)
-        at = end
+    """(bytes, offsets of all rows within them): whole rows, together about ``limit`` bytes.
+
+    A longer row is cut alone, after white space where there is any, so where a text is cut does not depend on its neighbours.
+    """
+    for i, j in row_slices(offsets, limit):
+        at, stop = int(offsets[i]), int(offsets[j])
+        while at < stop:
+            end = min(stop, at + limit) if j == i + 1 else stop
+            if end < stop:
+                gap = np.flatnonzero(IS_SPACE[data[max(at, end - 4096):end]])
+                if len(gap):
+                    end = max(at, end - 4096) + int(gap[-1]) + 1
+            yield data[at:end], np.clip(offsets - at, 0, end - at)
+            at = end
 
 
 #: True at the bytes of SPACE_CLASS.

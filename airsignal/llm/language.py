@@ -1,6 +1,6 @@
 """Language identification by string kernels.
 
-Two texts are compared by the character n-grams (one to four letters, blended) that both contain, present or not, whatever
+Two texts are compared by the character n-grams (one to four letters of a word, blended) that both contain, present or not, whatever
 their number: the inner product of two presence vectors over hashed n-grams, divided by their lengths.
 Landmarks are texts of the sample; kernel values against them are whitened (Nyström), and a kernel ridge
 regression per language, one against the rest, is solved in that space. Texts are scored in batches by two matrix
@@ -57,16 +57,17 @@ def presence(texts: pa.Array, grams: int = GRAMS) -> np.ndarray:
     out = np.zeros((len(texts), grams), np.float32)
     shift = np.uint32(32 - int(grams - 1).bit_length())
     for piece, off in byte_pieces(data, offsets):
-        c = np.append(FOLD[piece], np.zeros(LONGEST, np.uint32))
-        row = np.repeat(np.arange(len(texts)), np.diff(off)) * grams
-        n, code = len(piece), np.zeros(len(piece), np.uint32)
-        alive = np.ones(n, bool)
+        n, c = len(piece), np.append(FOLD[piece], np.zeros(LONGEST, np.uint32))
+        size = np.diff(off)
+        row = np.repeat(np.arange(len(texts)) * grams, size)
+        left = np.repeat(off[1:], size) - np.arange(n)  # bytes to the end of the text
+        code, inside, starts = np.zeros(n, np.uint32), np.ones(n, bool), np.ones(n, bool)
         for k in range(LONGEST):
-            here = c[k:k + n]
-            code = code * np.uint32(257) + here
+            inside &= (c[k:k + n] > 0) & (left > k)  # a gram ends with its word and is padded there
+            code = code * np.uint32(257) + c[k:k + n] * inside
             if k < 2:
-                alive &= here > 0  # a gram starts with two letters (one, if it is alone); separators may follow
-            ok = np.flatnonzero(alive)
+                starts &= inside
+            ok = np.flatnonzero(starts)
             h = ((code[ok] + np.uint32(k)) * np.uint32(2654435761)) >> shift
             out.reshape(-1)[row[ok] + h] = 1
     out /= np.maximum(np.sqrt(out.sum(axis=1, keepdims=True)), 1)

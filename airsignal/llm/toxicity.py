@@ -266,15 +266,15 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds
         return model
     pos = pa.array([t for t, v in zip(texts, toxic, strict=True) if v == 1], pa.string())
     neg = pa.array([t for t, v in zip(texts, toxic, strict=True) if v != 1], pa.string())
+    rng = np.random.default_rng(0)
     apart = (pos, neg)  # texts that the curve from scores to probabilities is fitted on
-    if min(len(pos), len(neg)) >= 8:  # every fourth text of each label is kept out of the machine for it
-        fourth = [np.arange(len(x)) % 4 == 3 for x in apart]
+    if min(len(pos), len(neg)) >= 8:  # a quarter of the texts of each label is kept out of the machine for it
+        fourth = [rng.permutation(len(x)) % 4 == 3 for x in apart]
         apart = tuple(x.filter(pa.array(m)) for x, m in zip(apart, fourth, strict=True))
         pos, neg = (x.filter(pa.array(~m)) for x, m in zip((pos, neg), fourth, strict=True))
     p, n = _presence(pos), _presence(neg)
     odds = np.log((p + 0.5) / (len(pos) + 1)) - np.log((n + 0.5) / (len(neg) + 1))
     model.weight = np.where(p >= min(3, len(pos)), np.maximum(odds, 0), 0).astype(np.float32)
-    rng = np.random.default_rng(0)
     # words of many toxic texts and no or hardly any clean one are toxic from the start
     often, seldom, scale = _words(pos), _words(neg), (len(neg) + 1) / (len(pos) + 1)
     known = {w for w, c in often.items() if c >= 3 and c * scale > 8 * (seldom.get(w, 0) + 2 * scale ** 0.5)}

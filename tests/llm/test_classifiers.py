@@ -99,7 +99,7 @@ def test_toxicity_edges(spark, edges, empty, toxic_model):
     kept = toxicity.drop_toxic(edges, toxic_model)
     assert kept.columns == edges.columns and kept.count() == sum(r.score < 0.5 for r in rows)
     no_labels = spark.createDataFrame([], "doc_id long, toxic int")
-    assert {r.score for r in toxicity.score(edges, toxicity.fit(edges, no_labels)).collect()} == {pytest.approx(0, abs=1e-9)}
+    assert all(r.score < 1e-9 for r in toxicity.score(edges, toxicity.fit(edges, no_labels)).collect())
 
 
 def test_slices_do_not_change_scores(toxic_model, monkeypatch):
