@@ -155,7 +155,8 @@ def test_presence_kernel():
         c, out = language.FOLD[np.frombuffer(t.encode(), np.uint8)].tolist(), set()
         for i in range(len(c)):
             for n in range(1, language.LONGEST + 1):
-                g = (c[i:i + n] + [0] * n)[:n]
+                g = c[i:i + n]
+                g = ((g[:g.index(0)] if 0 in g else g) + [0] * n)[:n]
                 if g[0] and (n < 2 or g[1]):
                     out.add((n, *g))
         return out
