@@ -64,37 +64,18 @@ CATEGORY_COLORS = {
 }
 UNKNOWN_COLOR = "#808080"
 
+# Default advice per category (own wording): icon, message, actions. ``category_attributes`` takes another table.
 CATEGORY_ADVICE = {
-    "Good": (
-        "✅",
-        "Air quality is satisfactory, and air pollution poses little or no risk.",
-        ["Enjoy outdoor activities", "Open windows for ventilation", "Normal outdoor exercise"],
-    ),
-    "Moderate": (
-        "⚠️",
-        "Air quality is acceptable; however, some pollutants may be a concern for a small number of people.",
-        ["Sensitive individuals should limit outdoor activities", "Consider indoor exercise", "Monitor symptoms"],
-    ),
-    "Unhealthy for Sensitive Groups": (
-        "🔶",
-        "Members of sensitive groups may experience health effects.",
-        ["Sensitive groups should reduce outdoor activities", "Keep windows closed", "Use air purifiers"],
-    ),
-    "Unhealthy": (
-        "🔴",
-        "Everyone may begin to experience health effects.",
-        ["Limit outdoor activities", "Stay indoors with air conditioning", "Wear masks if going outside"],
-    ),
-    "Very Unhealthy": (
-        "🟣",
-        "Health warnings of emergency conditions.",
-        ["Avoid outdoor activities", "Stay indoors", "Use air purifiers", "Consider evacuation"],
-    ),
-    "Hazardous": (
-        "⚫",
-        "Health alert: everyone may experience more serious health effects.",
-        ["Stay indoors", "Avoid all outdoor activities", "Use air purifiers", "Consider evacuation"],
-    ),
+    "Good": ("🟢", "The air is clean.", ["Go outside as you like", "Air the rooms"]),
+    "Moderate": ("🟡", "The air is fine for most; a few very sensitive people may notice it.",
+                 ["Plan outdoor sport by how you feel", "Watch the hourly values"]),
+    "Unhealthy for Sensitive Groups": ("🟠", "Children, older people and people with asthma may be affected.",
+                                       ["Shorten outdoor sport if you belong to these groups", "Air rooms only briefly"]),
+    "Unhealthy": ("🔴", "Anyone may be affected.", ["Move activities indoors", "Wear a filter mask outside"]),
+    "Very Unhealthy": ("🟣", "Effects on health are likely for everyone.",
+                       ["Stay inside", "Run an air filter", "Check on people at risk"]),
+    "Hazardous": ("🟤", "Emergency level: serious effects for everyone.",
+                  ["Do not go outside", "Seal the room and run an air filter", "Follow the local authorities"]),
 }
 ADVICE_FALLBACK = "Good"
 
@@ -297,17 +278,19 @@ def _lit_map(d: Mapping[str, object]) -> Column:
     return F.create_map(*[x for k, v in d.items() for x in (F.lit(k), F.lit(v))])
 
 
-def category_attributes(df: DataFrame, c: str = "category") -> DataFrame:
-    """colour, icon, message and actions of a category.
+def category_attributes(df: DataFrame, c: str = "category",
+                        advice: Mapping[str, tuple[str, str, Sequence[str]]] | None = None) -> DataFrame:
+    """colour, icon, message and actions of a category; ``advice`` replaces the default table.
 
-    A literal map lookup, not a join: six fixed entries, evaluated in codegen.
+    A literal map lookup, not a join: a handful of entries, evaluated in codegen.
     Unknown category: grey colour, advice of "Good".
     """
+    advice = CATEGORY_ADVICE if advice is None else advice
     key = F.col(c)
     colors = _lit_map(CATEGORY_COLORS)
-    icons = _lit_map({k: v[0] for k, v in CATEGORY_ADVICE.items()})
-    msgs = _lit_map({k: v[1] for k, v in CATEGORY_ADVICE.items()})
-    acts = F.create_map(*[x for k, v in CATEGORY_ADVICE.items()
+    icons = _lit_map({k: v[0] for k, v in advice.items()})
+    msgs = _lit_map({k: v[1] for k, v in advice.items()})
+    acts = F.create_map(*[x for k, v in advice.items()
                           for x in (F.lit(k), F.array(*[F.lit(a) for a in v[2]]))])
     fb = F.lit(ADVICE_FALLBACK)
     return df.withColumns({

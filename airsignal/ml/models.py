@@ -9,7 +9,9 @@ kernel SVM): an Arrow-batched pandas UDF doing one matrix product per batch.
 from __future__ import annotations
 
 import json
+import logging
 import math
+import re
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
@@ -22,16 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from airsignal.session import reliable
+
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 SEED = 42
-
-
-def reliable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder (lineage cut; survives executor loss)."""
-    from airsignal.session import checkpoint_root
-
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+log = logging.getLogger(__name__)
 
 
 # --- 67: features / label -------------------------------------------------------------
@@ -116,17 +113,30 @@ def split_random(df: DataFrame, fractions: Sequence[float] = (0.7, 0.1, 0.2), se
 
 
 def split_time(df: DataFrame, fractions: Sequence[float] = (0.7, 0.1, 0.2), keys: Sequence[str] = ("location_id",),
-               ts: str = "ts", names: Sequence[str] = ("train", "validation", "test")) -> DataFrame:
-    """Adds ``split``: chronological per location by ``percent_rank`` (no look-ahead through lags)."""
+               ts: str = "ts", names: Sequence[str] = ("train", "validation", "test"), strategy: str | None = None) -> DataFrame:
+    """Adds ``split``: chronological per location by percent rank (no look-ahead through lags).
+
+    The blocked strategy ranks with the distributed row number: equal times share the smallest, and
+    (rank - 1) / (rows - 1) is compared with the cuts, so no task holds a whole location.
+    """
     from pyspark.sql import Window
 
-    pr = F.percent_rank().over(Window.partitionBy(*keys).orderBy(ts))
+    from airsignal.operators.series import RN, choose_strategy, join_null_safe, series_row_number
+
     cuts = np.cumsum(fractions) / float(sum(fractions))
-    d = df.withColumn("__pr", pr)
+    if choose_strategy(df, strategy) == "blocked":
+        first = F.min(RN).over(Window.partitionBy(*keys, ts))
+        d = series_row_number(df, keys, [ts]).withColumn("__rank", first)
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+        d = join_null_safe(d, counts, list(keys)) if keys else attach_row(d, counts)
+        pr = F.coalesce(F.try_divide(F.col("__rank") - 1, (F.col("__n") - 1).cast("double")), F.lit(0.0))
+    else:
+        d, pr = df, F.percent_rank().over(Window.partitionBy(*keys).orderBy(ts))
+    d = d.withColumn("__pr", pr)
     e = F.when(F.col("__pr") < float(cuts[0]), names[0])
     for cut, name in zip(cuts[1:-1], names[1:-1]):
         e = e.when(F.col("__pr") < float(cut), name)
-    return d.withColumn("split", e.otherwise(names[-1])).drop("__pr")
+    return d.withColumn("split", e.otherwise(names[-1])).drop("__pr", "__rank", "__n", RN)
 
 
 # --- 70-73, 87: estimators ----------------------------------------------------------------
@@ -211,9 +221,14 @@ def fit_kernel_approx(train: DataFrame, gamma: float | str = "scale", n_componen
     """Stand-in for SVR(kernel='rbf', C=1, gamma='scale'); gamma 'scale' = 1 / (d * var(X))."""
     arr = vector_to_array(F.col("features"))
     d = int(train.select(F.size(arr)).first()[0])
-    if gamma == "scale":
-        st = train.select(F.explode(arr).alias("v")).agg(F.var_pop("v")).first()[0] or 1.0
-        gamma = 1.0 / (d * float(st)) if st > 0 else 1.0
+    if gamma == "scale":  # variance of all entries, from the columns' means and variances: one pass, no explode
+        from pyspark.ml.stat import Summarizer
+
+        r = train.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).first()["s"]
+        n, mean = int(r["count"]), r["mean"].toArray()
+        within = r["variance"].toArray() * (n - 1) / n if n > 1 else np.zeros_like(mean)
+        st = float(np.mean(within + mean ** 2) - np.mean(mean) ** 2)
+        gamma = 1.0 / (d * st) if st > 0 else 1.0
     rng = np.random.default_rng(seed)
     w = rng.normal(0.0, math.sqrt(2.0 * float(gamma)), size=(d, int(n_components)))
     b = rng.uniform(0.0, 2 * math.pi, size=int(n_components))
@@ -241,49 +256,76 @@ def metrics(scored: DataFrame, label: str = "label", pred: str = "prediction") -
 
 
 def compare_models(train: DataFrame, val: DataFrame,
-                   estimators: Mapping[str, Callable[[DataFrame], object]] | None = None
-                   ) -> tuple[DataFrame, dict[str, object]]:
-    """Fit every estimator on ``train``, score on ``val``. A failing model gets rmse/mae/mape = inf, r2 = 0.
+                   estimators: Mapping[str, Callable[[DataFrame], object]] | None = None,
+                   test: DataFrame | None = None) -> tuple[DataFrame, dict[str, object]]:
+    """Fit every estimator on ``train``, score on ``val`` (and on ``test``: ``test_`` columns).
 
+    A failing model gets rmse/mae/mape = inf, r2 = 0 and its ``error``; when all fail, that raises.
     A loop over a handful of estimators on the driver; each fit is a distributed
-    Spark ML job over the cached training frame.
+    Spark ML job over the training frame, which is written once.
     """
     estimators = estimators or ESTIMATORS
+    spark = val.sparkSession
     train = reliable(train.select("features", "label"))
+    sentinel = {"rmse": float("inf"), "mae": float("inf"), "r2": 0.0, "mape": float("inf")}
+    names = list(sentinel)
     fitted, rows = {}, []
     for pos, (name, fit) in enumerate(estimators.items()):
+        error, tested = None, dict.fromkeys(names)
         try:
             m = fit(train)
             s = metrics(m.transform(val))
+            tested = tested if test is None else metrics(m.transform(test))
             fitted[name] = m
-        except Exception:  # noqa: BLE001 - the reference records a failed model and goes on
-            s = {"rmse": float("inf"), "mae": float("inf"), "r2": 0.0, "mape": float("inf")}
-        rows.append((pos, name, s["rmse"], s["mae"], s["r2"], s["mape"]))
-    spark = val.sparkSession
-    res = spark.createDataFrame(rows, "position int, model string, rmse double, mae double, r2 double, mape double")
-    return res, fitted
+        except Exception as e:  # noqa: BLE001 - a failed model is recorded and the others go on
+            log.warning("model %s failed: %s", name, e)
+            s, error = sentinel, f"{type(e).__name__}: {e}"[:500]
+        rows.append((pos, name, *[s[k] for k in names], *[tested[k] for k in names], error))
+    if not fitted:
+        raise RuntimeError("every model failed: " + "; ".join(f"{r[1]}: {r[-1]}" for r in rows))
+    cols = [f"{p}{k} double" for p in ("", "test_") for k in names]
+    return spark.createDataFrame(rows, ", ".join(["position int", "model string", *cols, "error string"])), fitted
 
 
 # --- 77: registry ---------------------------------------------------------------------------
 
 def registry_save(model, name: str, scores: Mapping[str, float], feature_cols: Sequence[str], path: str,
                   run_ts: str) -> None:
-    """Model under ``path/models/name``; metadata row appended to ``path/metadata`` (JSON)."""
+    """Model under ``path/models/<run>/<name>``; metadata row appended to ``path/metadata`` (JSON)."""
     from pyspark.sql import SparkSession
 
     spark = SparkSession.getActiveSession()
+    folder = f"{path}/models/{_run_folder(run_ts)}/{name}"
     if isinstance(model, RandomFourierModel):
-        model.linear.write().overwrite().save(f"{path}/models/{name}/linear")
+        model.linear.write().overwrite().save(f"{folder}/linear")
         spark.createDataFrame([(json.dumps({"w": model.w.tolist(), "b": model.b.tolist()}),)], "params string") \
-            .write.mode("overwrite").json(f"{path}/models/{name}/rff")
+            .write.mode("overwrite").json(f"{folder}/rff")
     else:
-        model.write().overwrite().save(f"{path}/models/{name}")
+        model.write().overwrite().save(folder)
     meta = spark.createDataFrame([(name, run_ts, type(model).__name__, json.dumps(dict(scores)), list(feature_cols))],
-                                 "model_name string, run_ts string, model_class string, scores string, "
-                                 "feature_columns array<string>")
+                                 METADATA)
     meta.write.mode("append").json(f"{path}/metadata")
 
 
+METADATA = "model_name string, run_ts string, model_class string, scores string, feature_columns array<string>"
+
+
+def _run_folder(run_ts: str) -> str:
+    return re.sub(r"[^0-9A-Za-z_.-]", "-", run_ts)
+
+
+def save_run(spark, results: DataFrame, fitted: Mapping[str, object], feature_cols: Sequence[str], path: str,
+             run_ts: str) -> str:
+    """Save every fitted model of a run and its results row (best model named). Returns the best model's name."""
+    rows = results.collect()  # one row per estimator
+    for r in rows:
+        if r["model"] in fitted:
+            registry_save(fitted[r["model"]], r["model"], {k: r[k] for k in ("rmse", "mae", "r2", "mape")}, feature_cols, path, run_ts)
+    best = min((r for r in rows if r["model"] in fitted), key=lambda r: (r["rmse"], r["position"]))["model"]
+    spark.createDataFrame([(run_ts, best)], "run_ts string, best_model string").write.mode("append").json(f"{path}/results")
+    return best
+
+
 _LOADERS = {
     "RandomForestRegressionModel": "pyspark.ml.regression.RandomForestRegressionModel",
     "GBTRegressionModel": "pyspark.ml.regression.GBTRegressionModel",
@@ -291,25 +333,29 @@ _LOADERS = {
 }
 
 
-def registry_load(spark, path: str, name: str | None = None):
-    """Load a model by name, or the best (smallest rmse) when ``name`` is None. Returns (name, model)."""
-    meta = spark.read.json(f"{path}/metadata").withColumn(
+def registry_load(spark, path: str, name: str | None = None, run_ts: str | None = None):
+    """Load a model of a run, by default of the latest: by name, or that run's best (smallest rmse). Returns (name, model).
+
+    An older run's score never decides: the best is chosen among the models of the one run.
+    """
+    meta = spark.read.schema(METADATA).json(f"{path}/metadata").withColumn(
         "rmse", F.get_json_object("scores", "$.rmse").cast("double"))
-    if name is None:
-        row = meta.orderBy(F.col("rmse").asc_nulls_last(), "model_name").first()
-    else:
-        row = meta.filter(F.col("model_name") == name).orderBy(F.col("run_ts").desc()).first()
+    if name is not None:
+        meta = meta.filter(F.col("model_name") == name)
+    if run_ts is None:
+        run_ts = meta.agg(F.max("run_ts")).first()[0]
+    row = meta.filter(F.col("run_ts") == run_ts).orderBy(F.col("rmse").asc_nulls_last(), "model_name").first()
     if row is None:
         return None, None
-    cls = row["model_class"]
+    cls, folder = row["model_class"], f"{path}/models/{_run_folder(run_ts)}/{row['model_name']}"
     if cls == "RandomFourierModel":
         from pyspark.ml.regression import LinearRegressionModel
 
-        p = json.loads(spark.read.json(f"{path}/models/{row['model_name']}/rff").first()["params"])
-        lin = LinearRegressionModel.load(f"{path}/models/{row['model_name']}/linear")
+        p = json.loads(spark.read.json(f"{folder}/rff").first()["params"])
+        lin = LinearRegressionModel.load(f"{folder}/linear")
         return row["model_name"], RandomFourierModel(np.array(p["w"]), np.array(p["b"]), lin)
     mod, _, kls = _LOADERS[cls].rpartition(".")
-    return row["model_name"], getattr(__import__(mod, fromlist=[kls]), kls).load(f"{path}/models/{row['model_name']}")
+    return row["model_name"], getattr(__import__(mod, fromlist=[kls]), kls).load(folder)
 
 
 # --- 79: importances ------------------------------------------------------------------------
@@ -340,7 +386,7 @@ def evaluate_recent(features: DataFrame, prep: PipelineModel, model, hours: floa
     return evaluate(scored, "label", "prediction", keys)
 
 
-from airsignal.operators.series import attach_row  # noqa: E402
+from airsignal.operators.series import attach_row, join_null_safe  # noqa: E402
 
 
 # --- 86, 88: cross validation and scaling -----------------------------------------------------
@@ -360,21 +406,23 @@ def cross_validate(train: DataFrame, estimator, grid: Mapping[str, Sequence] | N
 
 
 def scale_features(df: DataFrame, cols: Sequence[str], kind: str = "standard", keys: Sequence[str] = ()) -> DataFrame:
-    """standard: (x - mean) / sample sd; robust: (x - median) / IQR (approximate quantiles).
+    """standard: (x - mean) / sample sd; robust: (x - median) / IQR (exact, interpolated quantiles).
 
-    Statistics come from one aggregate (one row per key group) joined back.
+    A column that does not vary (sd or IQR 0) is only centred; with one row the sd counts as 0. Statistics come
+    from one aggregate (one row per key group) joined back. The exact quantiles count equal values together; for
+    columns of a continuous measure ``kind="robust_approx"`` bounds their memory (relative error 1e-4).
     """
     keys = list(keys)
     if kind == "standard":
         stats = df.groupBy(*keys).agg(*[x for c in cols for x in (F.avg(c).alias(f"__c_{c}"),
                                                                     F.stddev_samp(c).alias(f"__s_{c}"))])
-    elif kind == "robust":
+    elif kind in ("robust", "robust_approx"):
+        q = (lambda c, p: F.percentile(c, p)) if kind == "robust" else (lambda c, p: F.percentile_approx(c, p, 10000))
         stats = df.groupBy(*keys).agg(*[x for c in cols for x in (
-            F.percentile_approx(c, 0.5, 10000).alias(f"__c_{c}"),
-            (F.percentile_approx(c, 0.75, 10000) - F.percentile_approx(c, 0.25, 10000)).alias(f"__s_{c}"))])
+            q(c, 0.5).alias(f"__c_{c}"), (q(c, 0.75) - q(c, 0.25)).alias(f"__s_{c}"))])
     else:
         raise ValueError(f"unknown scaling {kind!r}")
-    j = df.join(stats, keys, "left") if keys else attach_row(df, stats)
-    out = j.withColumns({c: F.try_divide(F.col(c) - F.col(f"__c_{c}"), F.when(F.col(f"__s_{c}") != 0, F.col(f"__s_{c}")))
-                         for c in cols})
+    j = join_null_safe(df, stats, keys, "left") if keys else attach_row(df, stats)
+    by = lambda c: F.when(F.coalesce(F.col(f"__s_{c}"), F.lit(0.0)) != 0, F.col(f"__s_{c}")).otherwise(F.lit(1.0))
+    out = j.withColumns({c: (F.col(c) - F.col(f"__c_{c}")) / by(c) for c in cols})
     return out.drop(*[x for c in cols for x in (f"__c_{c}", f"__s_{c}")])

@@ -99,7 +99,7 @@ def derived_exprs(plan: SeriesPlan, series: Sequence[str], have: set[str]) -> li
 
 
 def derived_features(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", tie: Sequence[str] | None = None,
-                     include_target: bool = True, target: str = "aqi", strategy: str = "auto",
+                     include_target: bool = True, target: str = "aqi", strategy: str | None = None,
                      block_rows: int | None = None) -> DataFrame:
     """Lags 1-3, change, pct change, rolling 24/168-row stats and interactions, one shared window."""
     have = set(df.columns)
@@ -142,7 +142,7 @@ def time_range_filter(df: DataFrame, ts: str = "ts", hours: float = 24, as_of=No
 
 
 def fill_numeric(df: DataFrame, keys: Sequence[str], ts: str, skip: Sequence[str] = (), causal: bool = False,
-                 strategy: str = "auto", block_rows: int | None = None) -> DataFrame:
+                 strategy: str | None = None, block_rows: int | None = None) -> DataFrame:
     """``fill_missing`` on every numeric column that can be NULL."""
     num = [n for n, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint")
            and n not in keys and n != ts and n not in skip]
@@ -151,8 +151,8 @@ def fill_numeric(df: DataFrame, keys: Sequence[str], ts: str, skip: Sequence[str
 
 def all_features(df: DataFrame, keys: Sequence[str] = ("location_id",), ts: str = "ts", target: str = "aqi",
                  include_target_change: bool = False, causal: bool = False, tz: str | None = None,
-                 strategy: str = "auto", block_rows: int | None = None) -> DataFrame:
-    """flatten -> time -> weather -> pollutant -> derived -> fill -> target -> select."""
+                 strategy: str | None = None, block_rows: int | None = None) -> DataFrame:
+    """flatten -> time -> weather -> pollutant -> derived -> fill (text by the table's mode) -> target -> select."""
     from airsignal.sources.parse import flatten_nested
 
     from airsignal.session import check_codegen_cache
@@ -161,14 +161,13 @@ def all_features(df: DataFrame, keys: Sequence[str] = ("location_id",), ts: str
     keys = list(keys)
     if "weather" in df.columns and dict(df.dtypes)["weather"].startswith("struct"):
         df = flatten_nested(df)
-    from airsignal.operators.series import choose_strategy
-
-    strategy = choose_strategy(df, keys, strategy)
     d = time_features(df, ts, tz)
     d = weather_features(d)
     d = pollutant_features(d)
     d = derived_features(d, keys, ts, include_target=include_target_change, target=target,
                          strategy=strategy, block_rows=block_rows)
     d = fill_numeric(d, keys, ts, skip=TIME_COLS, causal=causal, strategy=strategy, block_rows=block_rows)
+    text = [n for n, t in d.dtypes if t == "string" and n not in (*keys, ts, *EXCLUDE)]
+    d = W.fill_mode(d, text) if text else d
     d = resolve_target(d, target)
     return select_features(d, target, keep=[*keys, ts])

@@ -40,11 +40,30 @@ def badge_tiers(df: DataFrame, keys: Sequence[str] = (), value: str = "aqi") ->
     return agg.withColumns({f"{k}_badge": _tier(F.col(src[k]), *BADGES[k]) for k in BADGES})
 
 
+def binary_round(x: Column, digits: int) -> Column:
+    """``x`` rounded to ``digits`` decimals by its exact binary value, ties to even (what ``%.1f`` does in C and Python).
+
+    The JVM rounds the shortest decimal text half up instead, so 0.25 would become 0.3. The product with the power
+    of ten is taken as a double and its exact error (the factor split in two halves), which decides near ties.
+    """
+    ten = F.lit(float(10 ** digits))
+    a = F.abs(x)
+    p = a * ten
+    high = a * F.lit(134217729.0)
+    high = high - (high - a)
+    error = (high * ten - p) + (a - high) * ten
+    low = F.floor(p).cast("double")
+    part = p - low
+    half = (part == 0.5) & ((error > 0) | ((error == 0) & (F.pmod(low, F.lit(2.0)) == 1.0)))
+    n = low + F.when((part > 0.5) | half, 1.0).otherwise(0.0)
+    return F.when(a < 1e14, F.signum(x) * n / ten).otherwise(x)
+
+
 def format_display(df: DataFrame, spec: Mapping[str, tuple[str, str]]) -> DataFrame:
     """``{col: (new_name, kind)}``; kind 'datetime' -> 'yyyy-MM-dd HH:mm', '1f' -> one decimal, 'text' as is.
 
-    Decimals are rounded half-up on the shortest decimal form of the double
-    (what a reader sees: 0.15 -> 0.2); NULL stays NULL.
+    Decimals are rounded as the exact binary value of the double stands, ties to even (0.25 -> 0.2,
+    0.35 -> 0.3, 1234.55 -> 1234.5); NULL stays NULL.
     """
     out = []
     for c, (name, kind) in spec.items():
@@ -52,7 +71,7 @@ def format_display(df: DataFrame, spec: Mapping[str, tuple[str, str]]) -> DataFr
             out.append(F.date_format(F.col(c), "yyyy-MM-dd HH:mm").alias(name))
         elif kind.endswith("f"):
             d = int(kind[:-1])
-            out.append(F.when(F.col(c).isNotNull(), F.format_string(f"%.{d}f", F.round(F.col(c), d))).alias(name))
+            out.append(F.when(F.col(c).isNotNull(), F.format_string(f"%.{d}f", binary_round(F.col(c).cast("double"), d))).alias(name))
         else:
             out.append(F.col(c).alias(name))
     return df.select(*out)

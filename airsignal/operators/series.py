@@ -18,8 +18,11 @@ Frames that look back a bounded number of rows give exactly the same values as
 the plain plan. Unbounded look-back (forward fill) adds a carry per block, taken
 from a block-level table (one row per block) by a window and an equi-join.
 
-``strategy="auto"`` asks one aggregate (the largest series size) and picks
-``blocked`` above ``airsignal.series.maxRowsPerTask`` rows (default 8M).
+Both plans give the same rows, NULL keys and NULL times included (a NULL time is
+the first of its series; NULL keys are one series). No job sizes the input: the
+caller chooses with ``strategy``, or once for a session with
+``airsignal.series.strategy`` (default ``plain``); set ``blocked`` where a
+location can outgrow a task.
 """
 
 from __future__ import annotations
@@ -35,7 +38,6 @@ BLK = "__blk"        # block number
 HALO = "__halo"      # row copied from the previous block
 CHUNK = "__c1"
 
-DEFAULT_MAX_ROWS_PER_TASK = 8_000_000
 DEFAULT_BLOCK_ROWS = 2_000_000
 DEFAULT_CHUNK_SECONDS = 60
 GROUP_CHUNKS = 1024
@@ -67,22 +69,22 @@ def order_number(df: DataFrame, c: str) -> Column:
     return F.col(c).cast("long")
 
 
-def max_series_rows(df: DataFrame, keys: Sequence[str]) -> int:
-    """Size of the largest series (one small aggregate; only key columns are read)."""
-    if keys:
-        r = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
-    else:
-        r = df.count()
-    return int(r or 0)
+def choose_strategy(df: DataFrame, strategy: str | None) -> str:
+    """``plain`` or ``blocked``: the caller's choice, else the session's (``airsignal.series.strategy``), else plain."""
+    strategy = strategy or df.sparkSession.conf.get("airsignal.series.strategy", "plain")
+    if strategy not in ("plain", "blocked"):
+        raise ValueError(f"unknown series strategy {strategy!r}")
+    return strategy
 
 
-def choose_strategy(df: DataFrame, keys: Sequence[str], strategy: str) -> str:
-    if strategy in ("plain", "blocked"):
-        return strategy
-    if strategy != "auto":
-        raise ValueError(f"unknown series strategy {strategy!r}")
-    limit = _conf_int(df, "airsignal.series.maxRowsPerTask", DEFAULT_MAX_ROWS_PER_TASK)
-    return "blocked" if max_series_rows(df, keys) > limit else "plain"
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys; the left side's key columns are kept."""
+    right = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
+    cond = None
+    for c in on:
+        e = F.col(c).eqNullSafe(F.col(f"__r_{c}"))
+        cond = e if cond is None else cond & e
+    return left.join(right, cond, how).drop(*[f"__r_{c}" for c in on])
 
 
 def series_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -108,11 +110,11 @@ def series_row_number(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     w2 = Window.partitionBy(*keys).orderBy("__c2").rowsBetween(Window.unboundedPreceding, 0)
     off2 = counts2.withColumn("__o2", F.sum("__n2").over(w2) - F.col("__n2")).drop("__n2")
     w1 = Window.partitionBy(*keys, "__c2").orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
-    off1 = (counts1.join(off2, [*keys, "__c2"])
+    off1 = (join_null_safe(counts1, off2, [*keys, "__c2"])
             .withColumn("__o1", F.col("__o2") + F.sum("__n1").over(w1) - F.col("__n1"))
             .select(*keys, CHUNK, "__o1"))
     wr = Window.partitionBy(*keys, CHUNK).orderBy(*order)
-    return (rows.join(off1, [*keys, CHUNK])
+    return (join_null_safe(rows, off1, [*keys, CHUNK])
             .withColumn(RN, F.col("__o1") + F.row_number().over(wr))
             .drop("__o1", CHUNK))
 
@@ -172,7 +174,7 @@ class SeriesPlan:
         before = Window.partitionBy(*self.keys).orderBy(BLK).rowsBetween(Window.unboundedPreceding, -1)
         carry = last_in_block.select(*self.keys, BLK, *[
             F.last(f"__bl_{c}", ignorenulls=True).over(before).alias(f"__cy_{c}") for c in cols])
-        self.df = self.df.join(carry, [*self.keys, BLK], "left")
+        self.df = join_null_safe(self.df, carry, [*self.keys, BLK], "left")
         self.helpers += [f"__cy_{c}" for c in cols]
         return {c: F.expr(f"coalesce({last[c]}, {quote('__cy_' + c)})") for c in cols}
 
@@ -183,23 +185,22 @@ class SeriesPlan:
         real = self.df.filter(~F.col(HALO))
         firsts = real.groupBy(*self.keys).agg(*[
             F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(RN))).alias(f"__sf_{c}") for c in cols])
-        self.df = self.df.join(firsts, list(self.keys), "left") if self.keys else attach_row(self.df, firsts)
+        self.df = join_null_safe(self.df, firsts, self.keys, "left") if self.keys else attach_row(self.df, firsts)
         self.helpers += [f"__sf_{c}" for c in cols]
         return {c: F.col(f"__sf_{c}") for c in cols}
 
 
 def plan_series(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], lookback: int,
-                strategy: str = "auto", block_rows: int | None = None) -> SeriesPlan:
+                strategy: str | None = None, block_rows: int | None = None) -> SeriesPlan:
     """Prepare ``df`` for windows that look back at most ``lookback`` rows."""
     keys = list(keys)
     order = [order] if isinstance(order, str) else list(order)
-    strategy = choose_strategy(df, keys, strategy)
+    strategy = choose_strategy(df, strategy)
     if strategy == "plain":
         w = Window.partitionBy(*keys).orderBy(*order)
         return SeriesPlan(df, keys, order, False, w)
-    b = int(block_rows or _conf_int(df, "airsignal.series.blockRows", DEFAULT_BLOCK_ROWS))
-    if lookback >= b:
-        raise ValueError(f"lookback {lookback} must be smaller than block_rows {b}")
+    # a halo comes from one block only, so a block is longer than the look-back
+    b = max(int(block_rows or _conf_int(df, "airsignal.series.blockRows", DEFAULT_BLOCK_ROWS)), int(lookback) + 1)
     ranked = series_row_number(df, keys, order)
     pos = (F.col(RN) - 1) % F.lit(b)
     blk = F.floor((F.col(RN) - 1) / F.lit(b)).cast("long")
@@ -214,7 +215,7 @@ def plan_series(df: DataFrame, keys: Sequence[str], order: str | Sequence[str],
 
 
 def apply_series(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], lookback: int,
-                 build: Callable[[SeriesPlan], dict[str, Column]], strategy: str = "auto",
+                 build: Callable[[SeriesPlan], dict[str, Column]], strategy: str | None = None,
                  block_rows: int | None = None) -> DataFrame:
     """One-step helper: ``build(plan)`` returns the new columns."""
     plan = plan_series(df, keys, order, lookback, strategy, block_rows)

@@ -12,7 +12,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airsignal.operators.series import SeriesPlan, apply_series, attach_row, order_number, plan_series, quote
+from airsignal.operators.series import (SeriesPlan, apply_series, attach_row, choose_strategy, join_null_safe,
+                                        order_number, plan_series, quote)
 
 ROLL_SUFFIX = {24: "24h", 168: "7d"}
 # SQL names of the same statistics (used for wide blocks: one JVM call per expression).
@@ -62,7 +63,7 @@ def pct_from_filled(plan: SeriesPlan, filled: dict[str, str]) -> dict[str, Colum
 # --- 42-46: public operators ---------------------------------------------------
 
 def lag_features(df: DataFrame, cols: Sequence[str], lags: Sequence[int] = (1, 2, 3), keys: Sequence[str] = (),
-                 ts: str = "ts", tie: Sequence[str] | None = None, strategy: str = "auto",
+                 ts: str = "ts", tie: Sequence[str] | None = None, strategy: str | None = None,
                  block_rows: int | None = None) -> DataFrame:
     """``<col>_lag_<k>`` = value k rows earlier in the same series."""
     return apply_series(df, keys, _order(ts, tie), max(lags), lambda p: lag_exprs(p, cols, lags),
@@ -70,13 +71,13 @@ def lag_features(df: DataFrame, cols: Sequence[str], lags: Sequence[int] = (1, 2
 
 
 def change_rate(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), ts: str = "ts",
-                tie: Sequence[str] | None = None, strategy: str = "auto", block_rows: int | None = None) -> DataFrame:
+                tie: Sequence[str] | None = None, strategy: str | None = None, block_rows: int | None = None) -> DataFrame:
     """``<col>_change_rate`` = x - previous x."""
     return apply_series(df, keys, _order(ts, tie), 1, lambda p: change_exprs(p, cols), strategy, block_rows)
 
 
 def change_rate_pct(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), ts: str = "ts",
-                    tie: Sequence[str] | None = None, strategy: str = "auto",
+                    tie: Sequence[str] | None = None, strategy: str | None = None,
                     block_rows: int | None = None) -> DataFrame:
     """``<col>_change_rate_pct`` = f / previous f - 1 with f the forward-filled series."""
     plan = plan_series(df, keys, _order(ts, tie), 1, strategy, block_rows)
@@ -89,7 +90,7 @@ def change_rate_pct(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()
 
 def rolling(df: DataFrame, cols: Sequence[str], rows: int = 24, stats: Sequence[str] = ("mean", "std", "min", "max"),
             keys: Sequence[str] = (), ts: str = "ts", tie: Sequence[str] | None = None,
-            strategy: str = "auto", block_rows: int | None = None, suffix: str | None = None) -> DataFrame:
+            strategy: str | None = None, block_rows: int | None = None, suffix: str | None = None) -> DataFrame:
     """Statistics over the last ``rows`` rows (current included); NULLs skipped, min_periods=1."""
     return apply_series(df, keys, _order(ts, tie), rows - 1,
                         lambda p: rolling_exprs(p, cols, rows, stats, suffix), strategy, block_rows)
@@ -97,7 +98,7 @@ def rolling(df: DataFrame, cols: Sequence[str], rows: int = 24, stats: Sequence[
 
 def rolling_time(df: DataFrame, cols: Sequence[str], hours: int = 24,
                  stats: Sequence[str] = ("mean", "std", "min", "max"), keys: Sequence[str] = (),
-                 ts: str = "ts", strategy: str = "plain", bucket_hours: int | None = None) -> DataFrame:
+                 ts: str = "ts", strategy: str | None = None, bucket_hours: int | None = None) -> DataFrame:
     """Statistics over the true time range (ts - hours, ts].
 
     ``strategy="blocked"`` partitions by (keys, time bucket) and copies the last
@@ -107,7 +108,7 @@ def rolling_time(df: DataFrame, cols: Sequence[str], hours: int = 24,
     sfx = f"{hours}h_time"
     t = "__t_us"
     d = df.withColumn(t, order_number(df, ts))
-    if strategy == "blocked":
+    if choose_strategy(df, strategy) == "blocked":
         bucket = int(bucket_hours or max(hours * 8, 24)) * 3_600_000_000
         if bucket < span:
             raise ValueError("bucket_hours must be at least hours")
@@ -117,7 +118,7 @@ def rolling_time(df: DataFrame, cols: Sequence[str], hours: int = 24,
         d = d.withColumn("__home", home).withColumn("__tb", F.explode(nxt))
         w = Window.partitionBy(*keys, "__tb").orderBy(t).rangeBetween(-(span - 1), 0)
         out = d.withColumns({f"{c}_rolling_{s}_{sfx}": ROLL_STATS[s](c).over(w) for c in cols for s in stats})
-        return out.filter(F.col("__tb") == F.col("__home")).drop(t, "__tb", "__home")
+        return out.filter(F.col("__tb").eqNullSafe(F.col("__home"))).drop(t, "__tb", "__home")
     w = Window.partitionBy(*keys).orderBy(t).rangeBetween(-(span - 1), 0)
     return d.withColumns({f"{c}_rolling_{s}_{sfx}": ROLL_STATS[s](c).over(w) for c in cols for s in stats}).drop(t)
 
@@ -125,13 +126,13 @@ def rolling_time(df: DataFrame, cols: Sequence[str], hours: int = 24,
 # --- 48-50: fills ------------------------------------------------------------------
 
 def ffill(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), ts: str = "ts",
-          tie: Sequence[str] | None = None, strategy: str = "auto", block_rows: int | None = None) -> DataFrame:
+          tie: Sequence[str] | None = None, strategy: str | None = None, block_rows: int | None = None) -> DataFrame:
     """Replace NULL by the last non-NULL value before it in the series."""
     return apply_series(df, keys, _order(ts, tie), 0, lambda p: p.ffill(cols), strategy, block_rows)
 
 
 def fill_missing(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), ts: str = "ts",
-                 tie: Sequence[str] | None = None, causal: bool = False, strategy: str = "auto",
+                 tie: Sequence[str] | None = None, causal: bool = False, strategy: str | None = None,
                  block_rows: int | None = None) -> DataFrame:
     """Forward fill, then backward fill, then the series mean.
 
@@ -153,11 +154,17 @@ def fill_missing(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), t
 def fill_mode(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), default: str = "Unknown") -> DataFrame:
     """Text columns: NULL -> most frequent value (ties: smallest), none -> ``default``.
 
-    One aggregate (partial + final) gives the modes; it is one row per key group,
-    joined back on the keys (broadcast when there are no keys: one row).
+    Two steps, so that no buffer holds the distinct values of a key: counts per (key, column,
+    value), combined before the shuffle, then the best of them per key. One row per key
+    group is joined back (broadcast when there are no keys: one row).
     """
-    modes = df.groupBy(*keys).agg(*[F.mode(c, deterministic=True).alias(f"__mode_{c}") for c in cols])
-    joined = df.join(modes, list(keys), "left") if keys else attach_row(df, modes)
+    pairs = F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])
+    counts = (df.select(*keys, F.explode(pairs).alias("__p")).select(*keys, "__p.i", "__p.v").where("v IS NOT NULL")
+              .groupBy(*keys, "i", "v").agg(F.count(F.lit(1)).alias("n")))
+    best = counts.groupBy(*keys).agg(*[
+        F.min(F.when(F.col("i") == i, F.struct((-F.col("n")).alias("n"), "v"))).getField("v").alias(f"__mode_{c}")
+        for i, c in enumerate(cols)])
+    joined = join_null_safe(df, best, list(keys), "left") if keys else attach_row(df, best)
     return joined.withColumns({c: F.coalesce(F.col(c), F.col(f"__mode_{c}"), F.lit(default)) for c in cols}) \
         .drop(*[f"__mode_{c}" for c in cols])
 
@@ -166,24 +173,21 @@ def fill_mode(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = (), defa
 
 def head_tail_trend(df: DataFrame, value: str = "aqi", keys: Sequence[str] = (), ts: str = "ts",
                     tie: Sequence[str] | None = None, n: int = 10, band: float = 5.0,
-                    strategy: str = "auto", block_rows: int | None = None) -> DataFrame:
+                    strategy: str | None = None, block_rows: int | None = None) -> DataFrame:
     """Mean of the last n rows minus mean of the first n; 'improving' / 'worsening' / 'stable'.
 
     Series with fewer than 2 rows give no row. Uses one row number (plain: one
-    window; blocked: the exact distributed row number) and one aggregate.
+    window; blocked: the exact distributed row number), a count per series and one aggregate.
     """
     keys = list(keys)
     order = _order(ts, tie)
     plan = plan_series(df.select(*keys, *order, value), keys, order, 0, strategy, block_rows)
     if plan.blocked:
         d = plan.finish(plan.df.withColumn("__pos", F.col("__rn")))
-        counts = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("__cnt"))
-        d = d.join(counts, keys) if keys else attach_row(d, counts)
     else:
-        d = plan.df.withColumns({
-            "__pos": F.row_number().over(plan.window),
-            "__cnt": F.count(F.lit(1)).over(Window.partitionBy(*keys)),
-        })
+        d = plan.df.withColumn("__pos", F.row_number().over(plan.window))
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__cnt"))  # combined before its shuffle
+    d = join_null_safe(d, counts, keys) if keys else attach_row(d, counts)
     g = d.groupBy(*keys)
     v = F.col(value)
     res = g.agg(

@@ -33,17 +33,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin to the session's parallelism when a scan yields fewer partitions.
-
-    A small file with one row group is one scan task; CPU-heavy narrow work on it
-    (JSON building/parsing) would then use one core. Large inputs already split
-    into many scan tasks, so this is a no-op for them (decided at planning time).
-    """
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
-
-
 def _pivot(events: DataFrame, location: Column) -> DataFrame:
     e = events.select("user_id", "ts", "event_type", "value")
     hourly = e.groupBy(location.alias("location_id"), F.date_trunc("hour", "ts").alias("ts")).agg(

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airsignal.plans.frames import spread, table
+from airsignal.plans.frames import table
 
 
 def _k() -> Column:
@@ -24,11 +24,22 @@ def _epoch() -> Column:
 
 
 def _base(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(table(spark, sf, "events").select(F.col("user_id").alias("location_id"), "event_id", "ts",
-                                                     "event_type", "value", "props"))
+    """One shuffle by the join keys: the three feeds are then joined without another exchange (and share this one)."""
+    return table(spark, sf, "events").select(F.col("user_id").alias("location_id"), "event_id", "ts",
+                                             "event_type", "value", "props").repartition("location_id", "event_id")
 
 
-def weather_docs(spark: SparkSession, sf: str) -> DataFrame:
+def _broken(doc: Column, lacking: Column) -> Column:
+    """Every 89th document is not JSON, every 83rd lacks what its feed needs."""
+    eid = F.col("event_id")
+    return F.when(eid % 89 == 0, F.lit("not json")).when(eid % 83 == 0, lacking).otherwise(doc)
+
+
+#: SQL condition of the same documents.
+BROKEN_SQL = "(event_id % 89 = 0 OR event_id % 83 = 0)"
+
+
+def weather_docs(spark: SparkSession, sf: str, broken: bool = False) -> DataFrame:
     e = _base(spark, sf)
     v, et, eid = F.col("value"), F.col("event_type"), F.col("event_id")
     doc = F.struct(
@@ -41,10 +52,13 @@ def weather_docs(spark: SparkSession, sf: str) -> DataFrame:
         F.struct((eid % 101).cast("double").alias("all")).alias("clouds"),
         F.struct((_epoch() - 21600).alias("sunrise"), (_epoch() + 21600).alias("sunset")).alias("sys"),
     )
-    return e.select("location_id", "event_id", "ts", F.to_json(doc).alias("json"))
+    text = F.to_json(doc)
+    if broken:
+        text = _broken(text, F.to_json(F.struct(F.struct(v.alias("temp")).alias("main"))))
+    return e.select("location_id", "event_id", "ts", text.alias("json"))
 
 
-def pollution_docs(spark: SparkSession, sf: str) -> DataFrame:
+def pollution_docs(spark: SparkSession, sf: str, broken: bool = False) -> DataFrame:
     e = _base(spark, sf)
     v, et, eid = F.col("value"), F.col("event_type"), F.col("event_id")
     item = F.struct(
@@ -54,7 +68,10 @@ def pollution_docs(spark: SparkSession, sf: str) -> DataFrame:
                  (v / 2).alias("no2"), F.when(eid % 3 != 0, _k() / 3).alias("so2"), (v * 10).alias("co"),
                  F.when(et == "error", F.lit(1.5)).alias("nh3")).alias("components"),
     )
-    return e.select("location_id", "event_id", "ts", F.to_json(F.struct(F.array(item).alias("list"))).alias("json"))
+    text = F.to_json(F.struct(F.array(item).alias("list")))
+    if broken:
+        text = _broken(text, F.lit('{"list": []}'))
+    return e.select("location_id", "event_id", "ts", text.alias("json"))
 
 
 def second_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -66,14 +83,15 @@ def second_docs(spark: SparkSession, sf: str) -> DataFrame:
     iaqi = F.map_filter(F.create_map(*[x for n, c in vals.items()
                                        for x in (F.lit(n), F.struct(c.cast("double").alias("v")))]),
                         lambda k, s: s.getField("v").isNotNull())
-    ok = F.to_json(F.struct(F.lit("ok").alias("status"),
+    # a document without a status is as good as one that says ok
+    ok = F.to_json(F.struct(F.when(eid % 7 != 0, F.lit("ok")).alias("status"),
                             F.struct((v * 1.5).alias("aqi"), iaqi.alias("iaqi")).alias("data")))
     err = F.to_json(F.struct(F.lit("error").alias("status"), F.lit("Unknown station").alias("data")))
     doc = F.when(eid % 97 == 0, F.lit("not json")).when(eid % 10 == 0, err).otherwise(ok)
     return e.select("location_id", "event_id", "ts", doc.alias("json"))
 
 
-def forecast_docs(spark: SparkSession, sf: str) -> DataFrame:
+def forecast_docs(spark: SparkSession, sf: str, broken: bool = False) -> DataFrame:
     e = _base(spark, sf)
     v, et = F.col("value"), F.col("event_type")
 
@@ -88,7 +106,10 @@ def forecast_docs(spark: SparkSession, sf: str) -> DataFrame:
         )
 
     doc = F.struct(F.transform(F.sequence(F.lit(0), F.lit(2)), item).alias("list"))
-    return e.select("location_id", "event_id", F.to_json(doc).alias("json"))
+    text = F.to_json(doc)
+    if broken:
+        text = _broken(text, F.lit('{"city": 1}'))
+    return e.select("location_id", "event_id", text.alias("json"))
 
 
 # SQL views of the same documents' flat values, for the oracle

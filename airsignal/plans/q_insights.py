@@ -27,7 +27,7 @@ def q_badge_tiers(spark, sf):
 
 @register("format_display", oracle([OBS_WIDE_SQL], f"""
 SELECT strftime(ts, '%Y-%m-%d %H:%M') AS "Date",
-  CASE WHEN aqi IS NOT NULL THEN printf('%.1f', round(CAST(CAST(aqi AS VARCHAR) AS DECIMAL(38, 20)), 1)::DOUBLE) END AS "AQI",
+  CASE WHEN aqi IS NOT NULL THEN printf('%.1f', aqi) END AS "AQI",
   {CAT_SQL.format(c='aqi')} AS "Category", location_id AS "Location"
 FROM obs_wide""", []))
 def q_format_display(spark, sf):

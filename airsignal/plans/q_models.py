@@ -1,7 +1,8 @@
 """Queries for training, scoring and forecasting.
 
-Model outputs are checked by rows (tree libraries and solvers are not
-bit-equal across engines); splits, the future frame and metrics have SQL.
+Tree libraries and solvers are not bit-equal across engines, so fits are checked by what must hold for
+any of them; splits, the future frame, metrics and post-processing are compared value by value.
+The feature table is stored and the models are fitted once per session.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from airsignal.ml import forecast as FC
 from airsignal.ml import models as M
 from airsignal.operators import features as FE
 from airsignal.plans.frames import OBS_WIDE_SQL, obs_wide
+from airsignal.plans.q_columns import CAT_SQL
 from airsignal.plans.q_features import _all_features_sql
 from airsignal.plans.registry import oracle, register
 from airsignal.session import scratch_path
@@ -35,21 +37,64 @@ _AF_COLS = (["pm25", "pm10", "temperature", "humidity", "wind_speed"] + FE.TIME_
             + ["temp_humidity_interaction", "pm25_pm10_ratio", "wind_pm25_interaction"])
 
 
-def features_table(spark, sf):
+_STORED: dict[tuple, object] = {}
+
+
+def _once(spark, sf, what, make):
+    """Made once per session and table folder: features are stored and models fitted once, then used by many queries."""
+    key = (spark.sparkContext.applicationId, sf, what)
+    if key not in _STORED:
+        _STORED[key] = make()
+    return _STORED[key]
+
+
+def computed_features(spark, sf):
     return FE.all_features(obs_wide(spark, sf), K, "ts", "aqi")
 
 
+def features_table(spark, sf):
+    """The feature table, stored (wide, typed, NULLs kept) on first use as the feature job would, and read from there."""
+    def store():
+        path = scratch_path(spark, "feature-table")
+        d = computed_features(spark, sf)
+        d.write.parquet(path)
+        return path, d.schema
+
+    path, schema = _once(spark, sf, "features", store)
+    return spark.read.schema(schema).parquet(path)
+
+
 def prepared(spark, sf):
-    """(train, validation, test, feature columns, fitted prep) from the full feature table."""
-    feats = features_table(spark, sf)
-    data, cols, prep = M.xy(feats, "aqi", keys=KEY)
-    data = M.reliable(M.split_random(data, (0.7, 0.1, 0.2), 42, KEY))
+    """(train, validation, test, feature columns, fitted prep) from the full feature table, split once."""
+    def make():
+        data, cols, prep = M.xy(features_table(spark, sf), "aqi", keys=KEY)
+        return M.reliable(M.split_random(data, (0.7, 0.1, 0.2), 42, KEY)), cols, prep
+
+    data, cols, prep = _once(spark, sf, "prepared", make)
     split = lambda n: data.filter(F.col("split") == n)
     return split("train"), split("validation"), split("test"), cols, prep
 
 
-def _scored(model, df):
-    return model.transform(df).select(*KEY, "label", "prediction")
+def best_run(spark, sf):
+    """(results of all four estimators on validation and test, fitted models, feature columns)."""
+    def make():
+        train, val, test, cols, _ = prepared(spark, sf)
+        return (*M.compare_models(train, val, test=test), cols)
+
+    return _once(spark, sf, "models", make)
+
+
+def best_model(spark, sf):
+    res, fitted, _ = best_run(spark, sf)
+    return fitted[res.orderBy(F.col("rmse").asc_nulls_last(), "position").first()["model"]]
+
+
+def finite(*cols):
+    """All the columns are numbers: neither NULL, NaN nor infinite."""
+    e = F.lit(True)
+    for c in cols:
+        e = e & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(F.col(c)) < float("inf"))
+    return e
 
 
 def _xy_sql():
@@ -75,9 +120,18 @@ def q_xy(spark, sf):
     return data.select(*KEY, "label", *[arr[i].alias(c) for i, c in enumerate(cols)])
 
 
-@register("split_random")
+# part sizes of the two holdout splits: ceil((0.2 + 0.1) n) held out, ceil(0.2 / (0.2 + 0.1)) of these for the test
+_SIZES_SQL = """sizes AS (SELECT n, held, CAST(ceil((0.2::DOUBLE / (0.2::DOUBLE + 0.1::DOUBLE)) * held) AS BIGINT) AS test
+  FROM (SELECT n, CAST(ceil((0.2::DOUBLE + 0.1::DOUBLE) * n) AS BIGINT) AS held FROM (SELECT count(*) AS n FROM obs_wide)))"""
+
+
+@register("split_random", oracle([OBS_WIDE_SQL, _SIZES_SQL], """
+SELECT 'train' AS split, n - held AS n_rows, n - held AS n_keys FROM sizes
+UNION ALL SELECT 'validation', held - test, held - test FROM sizes UNION ALL SELECT 'test', test, test FROM sizes""", []))
 def q_split_random(spark, sf):
-    return M.split_random(obs_wide(spark, sf).select(*KEY, "aqi"), (0.7, 0.1, 0.2), 42, KEY)
+    """Exact part sizes over the whole table, each row in one part."""
+    d = M.split_random(obs_wide(spark, sf).select(*KEY, "aqi"), (0.7, 0.1, 0.2), 42, KEY)
+    return d.groupBy("split").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct(*KEY).alias("n_keys"))
 
 
 @register("split_time", oracle([OBS_WIDE_SQL], """
@@ -87,85 +141,164 @@ def q_split_time(spark, sf):
     return M.split_time(obs_wide(spark, sf).select(*KEY, "aqi"), (0.7, 0.1, 0.2), K, "ts")
 
 
-@register("fit_random_forest")
+@register("split_time_blocked", oracle([OBS_WIDE_SQL], """
+SELECT location_id, ts, aqi, CASE WHEN pr < 0.7 THEN 'train' WHEN pr < 0.8 THEN 'validation' ELSE 'test' END AS split
+FROM (SELECT *, percent_rank() OVER (PARTITION BY location_id ORDER BY ts) AS pr FROM
+  (SELECT CASE WHEN location_id % 7 = 0 THEN NULL ELSE location_id END AS location_id, ts, aqi FROM obs_wide))""", ["aqi"]))
+def q_split_time_blocked(spark, sf):
+    d = obs_wide(spark, sf).select(F.when(F.col("location_id") % 7 != 0, F.col("location_id")).alias("location_id"), "ts", "aqi")
+    return M.split_time(d, (0.7, 0.1, 0.2), K, "ts", strategy="blocked")
+
+
+# A model's numbers have no SQL form; what must hold for any of them does: every validation row has one finite
+# prediction, and the model is no worse than predicting the mean (r2 > 0).
+def _fit_sql(name, learns="true"):
+    return oracle([OBS_WIDE_SQL, _SIZES_SQL], f"""
+SELECT '{name}' AS model, held - test AS n_scored, held - test AS n_finite, {learns} AS learns FROM sizes""", [])
+
+
+def _fit_check(spark, sf, name, model):
+    val = prepared(spark, sf)[1]
+    scored = model.transform(val)
+    r2 = M.metrics(scored)["r2"]
+    return scored.agg(F.lit(name).alias("model"), F.count(F.lit(1)).alias("n_scored"),
+                      F.count(F.when(finite("prediction"), 1)).alias("n_finite"), F.lit(r2 > 0).alias("learns"))
+
+
+def _train(spark, sf):
+    return prepared(spark, sf)[0].select("features", "label")
+
+
+@register("fit_random_forest", _fit_sql("random_forest"))
 def q_fit_random_forest(spark, sf):
-    train, val, _, _, _ = prepared(spark, sf)
-    return _scored(M.fit_random_forest(train.select("features", "label")), val)
+    return _fit_check(spark, sf, "random_forest", M.fit_random_forest(_train(spark, sf)))
 
 
-@register("fit_gbt")
+@register("fit_gbt", _fit_sql("gbt"))
 def q_fit_gbt(spark, sf):
-    train, val, _, _, _ = prepared(spark, sf)
-    return _scored(M.fit_gbt(train.select("features", "label")), val)
+    return _fit_check(spark, sf, "gbt", M.fit_gbt(_train(spark, sf)))
 
 
-@register("fit_ridge")
+@register("fit_ridge", _fit_sql("ridge"))
 def q_fit_ridge(spark, sf):
-    train, val, _, _, _ = prepared(spark, sf)
-    return _scored(M.fit_ridge(train.select("features", "label"), 1.0), val)
+    return _fit_check(spark, sf, "ridge", M.fit_ridge(_train(spark, sf), 1.0))
 
 
-@register("fit_lasso")
+@register("fit_lasso", _fit_sql("lasso"))
 def q_fit_lasso(spark, sf):
-    train, val, _, _, _ = prepared(spark, sf)
-    return _scored(M.fit_lasso(train.select("features", "label"), 0.1), val)
+    return _fit_check(spark, sf, "lasso", M.fit_lasso(_train(spark, sf), 0.1))
 
 
-@register("fit_kernel_approx")
+@register("fit_kernel_approx", _fit_sql("kernel", "NULL::BOOLEAN"))
 def q_fit_kernel_approx(spark, sf):
-    train, val, _, _, _ = prepared(spark, sf)
-    return _scored(M.fit_kernel_approx(train.select("features", "label"), "scale", 100, 42), val)
+    """The approximation need not beat the mean on unscaled features, so ``learns`` is left out."""
+    model = M.fit_kernel_approx(_train(spark, sf), "scale", 100, 42)
+    return _fit_check(spark, sf, "kernel", model).withColumn("learns", F.lit(None).cast("boolean"))
 
 
-@register("compare_models")
+_MODELS_SQL = "(VALUES " + ", ".join(f"({k}, '{m}')" for k, m in enumerate(M.ESTIMATORS)) + ") AS m(position, model)"
+
+
+@register("compare_models", oracle([], f"""
+SELECT position, model, true AS scored, true AS tested, CAST(NULL AS VARCHAR) AS error FROM {_MODELS_SQL}""", []))
 def q_compare_models(spark, sf):
-    train, val, _, _, _ = prepared(spark, sf)
-    res, _ = M.compare_models(train, val)
-    return res
+    res, _, _ = best_run(spark, sf)
+    return res.select("position", "model", finite("rmse", "mae", "r2").alias("scored"),
+                      finite("test_rmse", "test_mae", "test_r2").alias("tested"), "error")
 
 
-@register("registry_save")
+@register("registry_save", oracle([OBS_WIDE_SQL, _SIZES_SQL], """
+SELECT true AS best_of_run, test AS n_scored, test AS n_finite FROM sizes""", []))
 def q_registry_save(spark, sf):
-    """Save every compared model with its scores, load the best back and score the test split."""
-    train, val, test, cols, _ = prepared(spark, sf)
-    res, fitted = M.compare_models(train, val, {"ridge": M.fit_ridge, "svr": M.fit_kernel_approx})
+    """All models of a run saved after an older run with better scores on paper; the latest run's best is loaded and scores the test part."""
+    res, fitted, cols = best_run(spark, sf)
     path = scratch_path(spark, "registry")
-    for r in res.collect():
-        if r["model"] in fitted:
-            M.registry_save(fitted[r["model"]], r["model"], {"rmse": r["rmse"], "mae": r["mae"], "r2": r["r2"],
-                                                             "mape": r["mape"]}, cols, path, "2024-02-01T00:00:00")
-    name, best = M.registry_load(spark, path)
-    return _scored(best, test).withColumn("model", F.lit(name))
+    M.registry_save(fitted["ridge"], "ridge", {"rmse": 0.0}, cols, path, "2024-01-01T00:00:00")
+    best = M.save_run(spark, res, fitted, cols, path, "2024-02-01T00:00:00")
+    name, model = M.registry_load(spark, path)
+    return model.transform(prepared(spark, sf)[2]).agg(
+        F.lit(name == best).alias("best_of_run"), F.count(F.lit(1)).alias("n_scored"), F.count(F.when(finite("prediction"), 1)).alias("n_finite"))
 
 
-@register("feature_importance")
+@register("feature_importance", oracle([], "SELECT unnest([" + ", ".join(f"'{c}'" for c in _AF_COLS)
+                                       + "]) AS feature, true AS in_range, true AS sums_to_one", []))
 def q_feature_importance(spark, sf):
-    train, _, _, cols, _ = prepared(spark, sf)
-    model = M.fit_random_forest(train.select("features", "label"), num_trees=20)
-    return M.feature_importance(spark, model, cols)
+    """Importances of the forest (100 trees, depth 10) for every feature: each in [0, 1], 1 together."""
+    _, fitted, cols = best_run(spark, sf)
+    imp = M.feature_importance(spark, fitted["random_forest"], cols)
+    total = imp.agg(F.sum("importance")).first()[0]
+    return imp.select("feature", F.col("importance").between(0, 1).alias("in_range"), F.lit(abs(total - 1) < 1e-9).alias("sums_to_one"))
+
+
+def _recent_sql(body):
+    """Over the feature table (``hist``) with NULLs replaced by the means, its rows of the last 24 hours."""
+    af = _all_features_sql()
+    inner = af[len("WITH "):].replace("__q AS (", "hist AS (", 1).rsplit("SELECT * REPLACE", 1)[0].rstrip().rstrip(",")
+    return f"""WITH {inner}, filled AS (SELECT location_id, ts, coalesce(aqi, avg(aqi) OVER ()) AS y,
+  coalesce(pm25_rolling_mean_24h, avg(pm25_rolling_mean_24h) OVER ()) * 2.0::DOUBLE AS p FROM hist),
+recent AS (SELECT * FROM filled WHERE ts >= (SELECT max(ts) FROM hist) - INTERVAL 24 HOUR)
+{body}"""
+
+
+def _oracle_text(text, cols):
+    from airsignal.plans.registry import OracleSQL
+
+    rep = ", ".join(f'round(TRY_CAST("{c}" AS DECIMAL(38, 9)), 6)::DOUBLE + 0.0 AS "{c}"' for c in cols)
+    out = OracleSQL(f"SELECT * REPLACE ({rep}) FROM (\n{text}\n)" if cols else text)
+    out.digits = {c: 6 for c in cols}
+    return out
+
+
+#: A model whose prediction SQL can compute too.
+_COLUMN_MODEL = "SELECT *, pm25_rolling_mean_24h * 2.0D AS prediction FROM __THIS__"
 
 
-@register("evaluate_recent")
+@register("evaluate_recent", _oracle_text(_recent_sql("""
+SELECT location_id, count(*) AS n, sqrt(avg((y - p) * (y - p))) AS rmse, avg(abs(y - p)) AS mae,
+  avg(abs((y - p) / CASE WHEN y <> 0 THEN y END)) * 100.0::DOUBLE AS mape,
+  1.0::DOUBLE - sum((y - p) * (y - p)) / nullif(var_pop(y) * count(y), 0) AS r2 FROM recent GROUP BY location_id"""),
+    ["rmse", "mae", "mape", "r2"]))
 def q_evaluate_recent(spark, sf):
-    train, _, _, _, prep = prepared(spark, sf)
-    model = M.fit_ridge(train.select("features", "label"))
-    return M.evaluate_recent(features_table(spark, sf), prep, model, 24, None, "ts", K)
+    from pyspark.ml.feature import SQLTransformer
 
+    class FromColumn:
+        """Predicts from the imputed columns of the prepared rows."""
 
-@register("cross_validate")
+        def __init__(self, cols):
+            self.at = cols.index("pm25_rolling_mean_24h")
+
+        def transform(self, df):
+            return SQLTransformer(statement=_COLUMN_MODEL).transform(
+                df.withColumn("pm25_rolling_mean_24h", vector_to_array("features")[self.at]))
+
+    _, _, _, cols, prep = prepared(spark, sf)
+    return M.evaluate_recent(features_table(spark, sf), prep, FromColumn(cols), 24, None, "ts", K)
+
+
+@register("evaluate_recent_best", _oracle_text(_recent_sql(
+    "SELECT location_id, count(*) AS n, true AS scored FROM recent GROUP BY location_id"), []))
+def q_evaluate_recent_best(spark, sf):
+    prep = prepared(spark, sf)[4]
+    res = M.evaluate_recent(features_table(spark, sf), prep, best_model(spark, sf), 24, None, "ts", K)
+    return res.select("location_id", "n", finite("rmse", "mae").alias("scored"))
+
+
+@register("cross_validate", oracle([OBS_WIDE_SQL, _SIZES_SQL], """
+SELECT 2 AS n_params, true AS scores_finite, held - test AS n_finite FROM sizes""", []))
 def q_cross_validate(spark, sf):
     from pyspark.ml.regression import LinearRegression
 
-    train, val, _, _, _ = prepared(spark, sf)
-    cv = M.cross_validate(train.select("features", "label"), LinearRegression(), {"regParam": [0.01, 1.0]}, 5)
-    return _scored(cv.bestModel, val)
+    cv = M.cross_validate(_train(spark, sf), LinearRegression(), {"regParam": [0.01, 1.0]}, 5)
+    ok = len(cv.avgMetrics) == 2 and all(0 <= v < float("inf") for v in cv.avgMetrics)
+    return cv.bestModel.transform(prepared(spark, sf)[1]).agg(
+        F.lit(len(cv.avgMetrics)).alias("n_params"), F.lit(ok).alias("scores_finite"), F.count(F.when(finite("prediction"), 1)).alias("n_finite"))
 
 
 _SC = ["pm25", "temperature", "aqi"]
 
 
 @register("scale_features", oracle([OBS_WIDE_SQL], "SELECT o.location_id, o.ts, " + ", ".join(
-    f"(o.{c} - s.c_{c}) / nullif(s.s_{c}, 0) AS {c}" for c in _SC)
+    f"(o.{c} - s.c_{c}) / CASE WHEN s.s_{c} <> 0 THEN s.s_{c} ELSE 1 END AS {c}" for c in _SC)
     + " FROM obs_wide o JOIN (SELECT location_id, " + ", ".join(
     f"avg({c}) AS c_{c}, stddev_samp({c}) AS s_{c}" for c in _SC)
     + " FROM obs_wide GROUP BY location_id) s ON o.location_id = s.location_id", _SC))
@@ -173,18 +306,22 @@ def q_scale_features(spark, sf):
     return M.scale_features(obs_wide(spark, sf).select(*KEY, *_SC), _SC, "standard", K)
 
 
-def _future_cols(spark, sf):
-    feats = features_table(spark, sf)
-    return [c for c in feats.columns if c not in (*KEY, "aqi")]
+@register("scale_features_robust", oracle([OBS_WIDE_SQL], "SELECT o.location_id, o.ts, " + ", ".join(
+    f"(o.{c} - s.c_{c}) / CASE WHEN s.s_{c} <> 0 THEN s.s_{c} ELSE 1 END AS {c}" for c in _SC)
+    + " FROM obs_wide o JOIN (SELECT location_id, " + ", ".join(
+    f"quantile_cont({c}, 0.5) AS c_{c}, quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25) AS s_{c}" for c in _SC)
+    + " FROM obs_wide GROUP BY location_id) s ON o.location_id = s.location_id", _SC))
+def q_scale_features_robust(spark, sf):
+    return M.scale_features(obs_wide(spark, sf).select(*KEY, *_SC), _SC, "robust", K)
 
 
-def _future_sql():
+def _future_sql(as_of=None):
     af = _all_features_sql()
     inner = af[len("WITH "):]
     inner = inner.replace("__q AS (", "hist AS (", 1).rsplit("SELECT * REPLACE", 1)[0].rstrip().rstrip(",")
     # column list of the feature table, in the order Spark produces it
     cols = [c for c in _AF_COLS]
-    body = FC.future_frame_sql(inner, cols, 72)
+    body = FC.future_frame_sql(inner, cols, 72, as_of)
     dbl = [c for c in cols if c not in FC._INT_COLS]
     from airsignal.plans.registry import OracleSQL
     spec = {c: (4 if c.endswith(("_squared", "_cubed", "_interaction")) else 6) for c in dbl}
@@ -199,10 +336,32 @@ def q_future_frame(spark, sf):
     return FC.future_frame(features_table(spark, sf), _AF_COLS, 72, K, "ts")
 
 
-@register("forecast")
+@register("future_frame_as_of", _future_sql("2024-01-25 12:30:00"))
+def q_future_frame_as_of(spark, sf):
+    return FC.future_frame(features_table(spark, sf), _AF_COLS, 72, K, "ts", as_of="2024-01-25 12:30:00")
+
+
+@register("forecast", _oracle_text(_recent_sql("""
+SELECT location_id, CAST(i AS INTEGER) AS step, last_ts + (i + 1) * INTERVAL 1 HOUR AS ts,
+  CASE WHEN x IS NOT NULL THEN greatest(0.0::DOUBLE, x) END AS aqi, """ + CAT_SQL.format(c="x") + """ AS category,
+  0.85::DOUBLE - 0.02::DOUBLE * i AS confidence
+FROM (SELECT *, m - 4.0::DOUBLE * i AS x FROM (SELECT location_id, max(ts) AS last_ts, avg(pm25_rolling_mean_24h) AS m
+      FROM hist GROUP BY location_id) CROSS JOIN range(0, 72) AS g(i))"""), ["aqi", "confidence"]))
 def q_forecast(spark, sf):
-    train, _, _, cols, prep = prepared(spark, sf)
-    model = M.fit_ridge(train.select("features", "label"))
+    """Post-processing over a prediction that SQL can compute: the mean of a feature less four per step."""
+    from pyspark.ml.feature import SQLTransformer
+
+    fut = FC.future_frame(features_table(spark, sf), _AF_COLS, 72, K, "ts")
+    model = SQLTransformer(statement="SELECT *, pm25_rolling_mean_24h - 4.0D * step AS prediction FROM __THIS__")
+    return FC.forecast(model, fut, K)
+
+
+@register("forecast_best", oracle([OBS_WIDE_SQL], """
+SELECT location_id, 72 AS n_steps, true AS scored, true AS floored FROM obs_wide GROUP BY location_id""", []))
+def q_forecast_best(spark, sf):
+    """The best of the four models over 72 hours of every location."""
+    _, _, _, cols, prep = prepared(spark, sf)
     fut = FC.future_frame(features_table(spark, sf), cols, 72, K, "ts")
-    scored = model.transform(prep.transform(fut.withColumn("label", F.lit(0.0))))
-    return FC.forecast(None, scored, K)
+    out = FC.forecast(best_model(spark, sf), prep.transform(fut.withColumn("label", F.lit(0.0))), K)
+    return out.groupBy("location_id").agg(F.count(F.lit(1)).cast("int").alias("n_steps"), F.bool_and(finite("aqi")).alias("scored"),
+                                          F.bool_and(F.col("aqi") >= 0).alias("floored"))

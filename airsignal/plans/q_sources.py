@@ -16,7 +16,19 @@ SCALE = "CASE {c} WHEN 1 THEN 50.0 WHEN 2 THEN 100.0 WHEN 3 THEN 150.0 WHEN 4 TH
 _WX = ["temperature", "feels_like", "humidity", "pressure", "wind_speed", "wind_direction", "visibility", "clouds"]
 
 
-@register("parse_weather", oracle([], f"""
+def _with_rejected(good, rejected):
+    return (good.withColumns({"status": F.lit("ok"), "reason": F.lit(None).cast("string")})
+            .unionByName(rejected.drop("raw").withColumn("status", F.lit("rejected")), allowMissingColumns=True))
+
+
+def _rejected_sql(good: str, columns: str) -> str:
+    """Good rows of the sound documents, and a row per broken one."""
+    return (f"SELECT *, 'ok' AS status, CAST(NULL AS VARCHAR) AS reason FROM ({good} WHERE NOT {LD.BROKEN_SQL})\n"
+            f"UNION ALL BY NAME SELECT {columns}, 'rejected' AS status, 'unparsable document' AS reason "
+            f"FROM events WHERE {LD.BROKEN_SQL}")
+
+
+_WEATHER_SQL = f"""
 SELECT user_id AS location_id, event_id, ts, value AS temperature, value - 1 AS feels_like, {K_SQL} AS humidity,
   1000.0::DOUBLE + event_id % 30 AS pressure, value / 10 AS wind_speed,
   CASE WHEN event_type <> 'click' THEN CAST(event_id % 360 AS DOUBLE) ELSE 0.0::DOUBLE END AS wind_direction,
@@ -24,23 +36,28 @@ SELECT user_id AS location_id, event_id, ts, value AS temperature, value - 1 AS
   CASE WHEN event_type <> 'view' THEN CAST(10000 - event_id % 5000 AS DOUBLE) ELSE 0.0::DOUBLE END AS visibility,
   CAST(event_id % 101 AS DOUBLE) AS clouds,
   {TS.format(e=EPOCH_SQL + ' - 21600')} AS sunrise, {TS.format(e=EPOCH_SQL + ' + 21600')} AS sunset
-FROM events""", _WX))
-def q_parse_weather(spark, sf):
-    return P.parse_weather(LD.weather_docs(spark, sf), "json")
+FROM events"""
+_WHO = "user_id AS location_id, event_id, ts"
 
 
-_PL = ["aqi", "pm25", "pm10", "o3", "no2", "so2", "co", "nh3"]
+@register("parse_weather", oracle([], _rejected_sql(_WEATHER_SQL, _WHO), _WX))
+def q_parse_weather(spark, sf):
+    return _with_rejected(*P.parse_weather(LD.weather_docs(spark, sf, broken=True), "json"))
 
 
-@register("parse_pollution", oracle([], f"""
+_PL = ["aqi", "pm25", "pm10", "o3", "no2", "so2", "co", "nh3"]
+_POLLUTION_SQL = f"""
 SELECT user_id AS location_id, event_id, ts, {TS.format(e=EPOCH_SQL)} AS pollution_ts,
   {SCALE.format(c='event_id % 7')} AS aqi, value AS pm25,
   CASE WHEN event_type <> 'signup' THEN value * 2 ELSE 0.0::DOUBLE END AS pm10, {K_SQL} AS o3, value / 2 AS no2,
   CASE WHEN event_id % 3 <> 0 THEN {K_SQL} / 3 ELSE 0.0::DOUBLE END AS so2, value * 10 AS co,
   CASE WHEN event_type = 'error' THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END AS nh3
-FROM events""", _PL))
+FROM events"""
+
+
+@register("parse_pollution", oracle([], _rejected_sql(_POLLUTION_SQL, _WHO), _PL))
 def q_parse_pollution(spark, sf):
-    return P.parse_pollution(LD.pollution_docs(spark, sf), "json")
+    return _with_rejected(*P.parse_pollution(LD.pollution_docs(spark, sf, broken=True), "json"))
 
 
 _SECOND_SQL = {"pm25": "value", "pm10": K_SQL, "o3": "CASE WHEN event_id % 4 <> 0 THEN value / 3 ELSE 0.0 END",
@@ -56,28 +73,29 @@ _SECOND_SQL = {"pm25": "value", "pm10": K_SQL, "o3": "CASE WHEN event_id % 4 <>
         f"CASE WHEN event_id % 97 <> 0 AND event_id % 10 <> 0 THEN CAST({e} AS DOUBLE) END AS {n}"
         for n, e in _SECOND_SQL.items()) + " FROM events", ["aqi", *SECOND_MEASURES]))
 def q_parse_second_source(spark, sf):
-    good, rejected = P.parse_second_source(LD.second_docs(spark, sf), "json")
-    return (good.withColumns({"status": F.lit("ok"), "reason": F.lit(None).cast("string")})
-            .unionByName(rejected.drop("raw").withColumn("status", F.lit("rejected")), allowMissingColumns=True))
+    return _with_rejected(*P.parse_second_source(LD.second_docs(spark, sf), "json"))
 
 
 _FC = ["temperature", "humidity", "pressure", "wind_speed", "wind_direction", "clouds", "pop"]
 
 
-@register("explode_forecast", oracle([], f"""
+_FORECAST_SQL = f"""
 SELECT user_id AS location_id, event_id, CAST(i AS INTEGER) AS step, {TS.format(e=EPOCH_SQL + ' + i * 10800')} AS ts,
   value + i AS temperature, {K_SQL} AS humidity, 1000.0::DOUBLE + i AS pressure, value / 10 AS wind_speed,
   CASE WHEN i <> 1 THEN CAST(i * 90 AS DOUBLE) ELSE 0.0::DOUBLE END AS wind_direction, event_type AS description,
   '01d' AS icon, CAST(i * 10 AS DOUBLE) AS clouds, CASE WHEN i = 2 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS pop
-FROM events CROSS JOIN range(0, 3) AS g(i)""", _FC))
+FROM events CROSS JOIN range(0, 3) AS g(i)"""
+
+
+@register("explode_forecast", oracle([], _rejected_sql(_FORECAST_SQL, "user_id AS location_id, event_id"), _FC))
 def q_explode_forecast(spark, sf):
-    return P.explode_forecast(LD.forecast_docs(spark, sf), "json")
+    return _with_rejected(*P.explode_forecast(LD.forecast_docs(spark, sf, broken=True), "json"))
 
 
 def merged(spark, sf):
     keys = ["location_id", "event_id"]
-    w = P.parse_weather(LD.weather_docs(spark, sf), "json")
-    p = P.parse_pollution(LD.pollution_docs(spark, sf).drop("ts"), "json")
+    w, _ = P.parse_weather(LD.weather_docs(spark, sf), "json")
+    p, _ = P.parse_pollution(LD.pollution_docs(spark, sf).drop("ts"), "json")
     good, _ = P.parse_second_source(LD.second_docs(spark, sf).drop("ts"), "json")
     return P.merge_sources(w, p, good, keys, "ts")
 
@@ -110,6 +128,18 @@ def q_merge_sources(spark, sf):
                     "source")
 
 
+@register("merge_sources_without_second", oracle([_MERGED_SQL], """
+SELECT location_id, event_id, ts, temperature, p_aqi AS second_aqi, p_pm25 AS second_pm25, p_so2 AS second_so2, {pts} AS second_ts
+FROM m""".replace("{pts}", TS.format(e=EPOCH_SQL)), ["temperature", "second_aqi", "second_pm25", "second_so2"]))
+def q_merge_sources_without_second(spark, sf):
+    w, _ = P.parse_weather(LD.weather_docs(spark, sf), "json")
+    p, _ = P.parse_pollution(LD.pollution_docs(spark, sf).drop("ts"), "json")
+    m = P.merge_sources(w, p, None, ["location_id", "event_id"], "ts")
+    return m.select("location_id", "event_id", "ts", F.col("weather.temperature").alias("temperature"),
+                    F.col("second_source.aqi").alias("second_aqi"), F.col("second_source.pm25").alias("second_pm25"),
+                    F.col("second_source.so2").alias("second_so2"), F.col("second_source.ts").alias("second_ts"))
+
+
 _FLAT = ["temperature", "humidity", "pressure", "wind_speed", "wind_direction", "visibility", "clouds",
          "aqi", "pm25", "pm10", "o3", "no2", "so2", "co"]
 

@@ -35,6 +35,14 @@ def q_raw_append(spark, sf):
     return P.flatten_defaults(back.drop("ingested_at", "event_date"))
 
 
+@register("raw_append_json", oracle([_MERGED_SQL], _FLAT_SQL, _FLAT))
+def q_raw_append_json(spark, sf):
+    path = scratch_path(spark, "raw")
+    ST.raw_append(merged(spark, sf), path, keys=["location_id", "event_id"], as_json=True)
+    back = ST.raw_range_scan(spark, path, newest_first=True)
+    return P.flatten_defaults(back.drop("ingested_at", "event_date"))
+
+
 @register("raw_range_scan", oracle([_MERGED_SQL], _FLAT_SQL + """
 WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 72 HOUR""", _FLAT))
 def q_raw_range_scan(spark, sf):
@@ -64,6 +72,27 @@ def q_feature_read(spark, sf):
     return ST.feature_read(spark, path, hours=48, as_of="2024-01-30 00:00:00", columns=_FEATS)
 
 
+@register("feature_write_json", oracle([OBS_WIDE_SQL], _FEAT_SQL + """
+WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 48 HOUR""", SERIES))
+def q_feature_write_json(spark, sf):
+    path = scratch_path(spark, "features")
+    ST.feature_write(obs_wide(spark, sf), path, "aqi", K, "ts", as_json=True)
+    return ST.feature_read(spark, path, hours=48, as_of="2024-01-30 00:00:00", columns=_FEATS)
+
+
+@register("feature_merge", oracle([OBS_WIDE_SQL], "SELECT location_id, ts, " + ", ".join(
+    f"CASE WHEN location_id % 4 = 0 THEN 2 ELSE 1 END * coalesce({c}, 0.0::DOUBLE) AS {c}" for c in SERIES if c != "aqi")
+    + ", coalesce(aqi, 50.0::DOUBLE) AS aqi FROM obs_wide", SERIES))
+def q_feature_merge(spark, sf):
+    """Two writes into the same dates: two thirds of the rows, then the rest and new values of a quarter of the locations."""
+    path, d = scratch_path(spark, "features"), obs_wide(spark, sf)
+    late = F.pmod(F.xxhash64(*KEY), F.lit(3)) == 0
+    ST.feature_write(d.filter(~late), path, "aqi", K, "ts", mode="merge")
+    again = d.withColumns({c: F.when(F.col("location_id") % 4 == 0, F.col(c) * 2).otherwise(F.col(c)) for c in _FEATS})
+    ST.feature_write(again.filter(late | (F.col("location_id") % 4 == 0)), path, "aqi", K, "ts", mode="merge")
+    return ST.feature_read(spark, path, columns=_FEATS)
+
+
 @register("store_status", oracle([OBS_WIDE_SQL], """
 SELECT 'raw_data' AS table_name, count(*) AS records, max(ts) AS latest_ts,
   CASE WHEN count(*) > 0 THEN 'ok' ELSE 'empty' END AS status FROM events
@@ -112,6 +141,16 @@ def q_location_dim(spark, sf):
     return LOC.location_dim(catalogue(spark, sf))
 
 
+@register("countries", oracle([_DIM_SQL], "SELECT DISTINCT country_code, country_name FROM dim", []))
+def q_countries(spark, sf):
+    return LOC.countries(LOC.location_dim(catalogue(spark, sf)))
+
+
+@register("cities", oracle([_DIM_SQL], "SELECT city FROM dim WHERE country_code = 'R3'", []))
+def q_cities(spark, sf):
+    return LOC.cities(LOC.location_dim(catalogue(spark, sf)), "R3")
+
+
 @register("location_lookup", oracle([_DIM_SQL], """
 SELECT c.c_custkey, d.city, d.country_name, d.latitude, d.longitude
 FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN dim d ON d.city = n.n_name""",

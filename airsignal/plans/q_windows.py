@@ -122,3 +122,72 @@ FROM (SELECT location_id, count(*) AS n_records, avg(aqi) FILTER (WHERE pos > cn
       GROUP BY location_id HAVING count(*) >= 2)""", ["recent_mean", "older_mean", "trend"]))
 def q_head_tail_trend(spark, sf):
     return W.head_tail_trend(obs_wide(spark, sf), "aqi", K, "ts")
+
+
+# --- the blocked plan: same results, with NULL locations and a NULL time -------------------------
+
+# every 7th location is NULL (one series of all their rows), and the last hour of each series has no time
+_HOLES_SQL = """holes AS (SELECT CASE WHEN location_id % 7 = 0 THEN NULL ELSE location_id END AS location_id,
+  CASE WHEN ts = max(ts) OVER (PARTITION BY location_id) AND location_id % 7 <> 0 THEN NULL ELSE ts END AS ts,
+  location_id AS tie, """ + ", ".join(SERIES) + " FROM obs_wide)"
+_HSQL = "PARTITION BY location_id ORDER BY ts NULLS FIRST, tie"
+_BLOCK = {"tie": ["tie"], "strategy": "blocked", "block_rows": 61}
+
+
+def _holes(spark, sf):
+    from pyspark.sql import Window
+
+    d = obs_wide(spark, sf)
+    last = F.max("ts").over(Window.partitionBy("location_id"))
+    hole = F.col("location_id") % 7 == 0
+    return d.select(F.when(~hole, F.col("location_id")).alias("location_id"),
+                    F.when((F.col("ts") == last) & ~hole, F.lit(None)).otherwise(F.col("ts")).alias("ts"),
+                    F.col("location_id").alias("tie"), *SERIES)
+
+
+def _on_holes(sql: str) -> str:
+    return sql.replace(WSQL, _HSQL).replace("FROM obs_wide", "FROM holes").replace("SELECT location_id, ts,", "SELECT location_id, ts, tie,")
+
+
+def _blocked(name, sql, cols, run):
+    @register(f"{name}_blocked", oracle([OBS_WIDE_SQL, _HOLES_SQL], _on_holes(sql), cols))
+    def q(spark, sf):
+        return run(_holes(spark, sf)).select(*KEY, "tie", *cols)
+
+
+_FF_SQL = ", ".join(f"last_value({c} IGNORE NULLS) OVER ({WSQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in SERIES)
+_FM_SQL = ", ".join(
+    f"coalesce(last_value({c} IGNORE NULLS) OVER ({WSQL} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), "
+    f"first_value({c} IGNORE NULLS) OVER ({WSQL} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS {c}" for c in SERIES)
+
+_blocked("lag_features", "SELECT location_id, ts, " + ", ".join(f"lag({c}, {k}) OVER ({WSQL}) AS {c}_lag_{k}" for c in SERIES for k in (1, 2, 3))
+         + " FROM obs_wide", _LAGS, lambda d: W.lag_features(d, SERIES, (1, 2, 3), K, "ts", **_BLOCK))
+_blocked("change_rate", "SELECT location_id, ts, " + ", ".join(f"{c} - lag({c}, 1) OVER ({WSQL}) AS {c}_change_rate" for c in SERIES)
+         + " FROM obs_wide", _CHG, lambda d: W.change_rate(d, SERIES, K, "ts", **_BLOCK))
+_blocked("change_rate_pct", "SELECT location_id, ts, " + ", ".join(
+    f"f_{c} / nullif(lag(f_{c}, 1) OVER ({WSQL}), 0) - 1 AS {c}_change_rate_pct" for c in SERIES)
+    + " FROM (SELECT location_id, ts, " + _FF_SQL.replace(" AS ", " AS f_") + " FROM obs_wide)", _PCT,
+    lambda d: W.change_rate_pct(d, SERIES, K, "ts", **_BLOCK))
+_blocked("rolling_24", _R24_SQL, _R24, lambda d: W.rolling(d, SERIES, 24, ("mean", "std", "min", "max"), K, "ts", **_BLOCK))
+_blocked("rolling_168", _R168_SQL, _R168, lambda d: W.rolling(d, SERIES, 168, ("mean", "std"), K, "ts", **_BLOCK))
+_blocked("ffill", "SELECT location_id, ts, " + _FF_SQL + " FROM obs_wide", SERIES, lambda d: W.ffill(d, SERIES, K, "ts", **_BLOCK))
+_blocked("fill_missing", "SELECT location_id, ts, " + _FM_SQL + " FROM obs_wide", SERIES,
+         lambda d: W.fill_missing(d, SERIES, K, "ts", **_BLOCK))
+_blocked("rolling_time", "SELECT location_id, ts, " + ", ".join(
+    f"{SQL_STAT[s]}({c}) OVER (PARTITION BY location_id ORDER BY epoch_us(ts) NULLS FIRST "
+    f"RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS {c}_rolling_{s}_24h_time"
+    for c in _RT_COLS for s in ("mean", "std", "min", "max")) + " FROM obs_wide", _RT,
+    lambda d: W.rolling_time(d, _RT_COLS, 24, keys=K, ts="ts", strategy="blocked"))
+
+
+@register("head_tail_trend_blocked", oracle([OBS_WIDE_SQL, _HOLES_SQL], """
+SELECT location_id, n_records, recent_mean, older_mean, recent_mean - older_mean AS trend,
+  CASE WHEN recent_mean - older_mean < -5 THEN 'improving' WHEN recent_mean - older_mean > 5 THEN 'worsening'
+       ELSE 'stable' END AS trend_label
+FROM (SELECT location_id, count(*) AS n_records, avg(aqi) FILTER (WHERE pos > cnt - 10) AS recent_mean,
+        avg(aqi) FILTER (WHERE pos <= 10) AS older_mean
+      FROM (SELECT location_id, aqi, row_number() OVER ({w}) AS pos,
+              count(*) OVER (PARTITION BY location_id) AS cnt FROM holes)
+      GROUP BY location_id HAVING count(*) >= 2)""".replace("{w}", _HSQL), ["recent_mean", "older_mean", "trend"]))
+def q_head_tail_trend_blocked(spark, sf):
+    return W.head_tail_trend(_holes(spark, sf), "aqi", K, "ts", **_BLOCK)

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import warnings
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Recommended for every session running the feature pipeline (set at submit time on a cluster).
 CODEGEN_CACHE_ENTRIES = 2000
@@ -62,7 +63,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
     Uses ``spark.checkpoint.dir`` (the cluster's shared location) when the session
-    names one; only when it is unset (tests, a laptop) a fresh local folder is set.
+    names one. When it is unset, a fresh local folder is set in local mode only (tests,
+    a laptop); on a cluster executors would not share it, so that raises.
     """
     sc = spark.sparkContext
     root = sc.getCheckpointDir()
@@ -70,11 +72,19 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         conf_dir = tempfile.mkdtemp(prefix="airsignal-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir().rstrip("/")
 
 
+def reliable(df: DataFrame) -> DataFrame:
+    """Materialise ``df`` in the shared checkpoint folder (lineage cut; survives executor loss)."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path below the shared checkpoint root."""
     return f"{checkpoint_root(spark)}/airsignal-{name}-{uuid.uuid4().hex[:12]}"

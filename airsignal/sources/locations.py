@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 1_000_000
-
 
 def location_dim(catalogue: DataFrame) -> DataFrame:
     """``country_code, name, cities MAP<city, STRUCT<latitude, longitude, timezone>>`` rows -> one row per city.
@@ -29,12 +27,9 @@ def cities(dim: DataFrame, country_code: str) -> DataFrame:
     return dim.filter(F.col("country_code") == country_code).select("city").orderBy("city")
 
 
-def location_lookup(readings: DataFrame, dim: DataFrame, on: str | list, how: str = "inner",
-                    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+def location_lookup(readings: DataFrame, dim: DataFrame, on: str | list, how: str = "inner") -> DataFrame:
     """Attach city, country and coordinates; unknown locations give no row.
 
-    The dimension is broadcast only after its row count is checked (one small
-    count); above the limit the planner's shuffle join is used.
+    A plain equi-join: the planner broadcasts the dimension when its size in bytes is below the session's threshold.
     """
-    small = dim.count() <= max_broadcast_rows
-    return readings.join(F.broadcast(dim) if small else dim, on, how)
+    return readings.join(dim, on, how)

@@ -25,13 +25,29 @@ def _zero(c: Column) -> Column:
     return F.coalesce(c.cast("double"), F.lit(0.0))
 
 
-def parse_weather(df: DataFrame, json_col: str = "json", keep: Sequence[str] | None = None) -> DataFrame:
-    """Weather document -> typed columns; missing wind.deg and visibility -> 0."""
+def _split(env: DataFrame, keep: Sequence[str], json_col: str, ok: Column, reason: Column,
+           cols: Sequence[Column]) -> tuple[DataFrame, DataFrame]:
+    """(rows whose document has what is required, the others with their raw text and the reason)."""
+    ok = F.coalesce(ok, F.lit(False))
+    return (env.filter(ok).select(*keep, *cols),
+            env.filter(~ok).select(*keep, F.col(json_col).alias("raw"), reason.alias("reason")))
+
+
+UNPARSABLE = "unparsable document"
+
+
+def parse_weather(df: DataFrame, json_col: str = "json", keep: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Weather document -> (good, rejected); missing wind.deg and visibility -> 0.
+
+    A document without one of the objects main, wind, clouds, sys or a first weather entry is rejected.
+    """
     keep = [c for c in df.columns if c != json_col] if keep is None else list(keep)
-    d = F.from_json(F.col(json_col), S.WEATHER_DOC).alias("__w")
+    env = df.select(*keep, F.col(json_col), F.from_json(F.col(json_col), S.WEATHER_DOC).alias("__w"))
     first = F.get(F.col("__w.weather"), 0)
-    return df.select(*keep, d).select(
-        *keep,
+    ok = first.isNotNull()
+    for part in ("main", "wind", "clouds", "sys"):
+        ok = ok & F.col(f"__w.{part}").isNotNull()
+    return _split(env, keep, json_col, ok, F.lit(UNPARSABLE), [
         F.col("__w.main.temp").alias("temperature"),
         F.col("__w.main.feels_like").alias("feels_like"),
         F.col("__w.main.humidity").alias("humidity"),
@@ -44,48 +60,54 @@ def parse_weather(df: DataFrame, json_col: str = "json", keep: Sequence[str] | N
         F.col("__w.clouds.all").alias("clouds"),
         epoch_to_ts(F.col("__w.sys.sunrise")).alias("sunrise"),
         epoch_to_ts(F.col("__w.sys.sunset")).alias("sunset"),
-    )
+    ])
+
 
+def parse_pollution(df: DataFrame, json_col: str = "json", keep: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pollution document -> (good, rejected): first list entry; index -> AQI scale; missing component -> 0.
 
-def parse_pollution(df: DataFrame, json_col: str = "json", keep: Sequence[str] | None = None) -> DataFrame:
-    """Pollution document -> first list entry; index -> AQI scale; missing component -> 0."""
+    A document whose list has no first entry with main and components is rejected.
+    """
     keep = [c for c in df.columns if c != json_col] if keep is None else list(keep)
     e = F.get(F.from_json(F.col(json_col), S.POLLUTION_DOC).getField("list"), 0).alias("__p")
+    env = df.select(*keep, F.col(json_col), e)
+    ok = F.col("__p.main").isNotNull() & F.col("__p.components").isNotNull()
     comp = lambda n: _zero(F.col(f"__p.components.{n}"))
-    return df.select(*keep, e).select(
-        *keep,
+    return _split(env, keep, json_col, ok, F.lit(UNPARSABLE), [
         epoch_to_ts(F.col("__p.dt")).alias("pollution_ts"),
         aqi_index_to_scale(F.col("__p.main.aqi")).alias("aqi"),
         comp("pm2_5").alias("pm25"), comp("pm10").alias("pm10"), comp("o3").alias("o3"),
         comp("no2").alias("no2"), comp("so2").alias("so2"), comp("co").alias("co"), comp("nh3").alias("nh3"),
-    )
+    ])
 
 
 def parse_second_source(df: DataFrame, json_col: str = "json",
                         keep: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """Second feed -> (good, rejected). ``iaqi.<x>.v`` missing -> 0.
+    """Second feed -> (good, rejected). ``iaqi.<x>.v`` missing -> 0; a document without ``status`` is fine.
 
-    Rejected: ``status = 'error'`` (then ``data`` is an error text) or an
-    unparsable document; they keep the raw text and a ``reason``.
+    Rejected: ``status = 'error'`` (then ``data`` is an error text) or no ``data`` object with ``iaqi``;
+    they keep the raw text and a ``reason``.
     """
     keep = [c for c in df.columns if c != json_col] if keep is None else list(keep)
     env = df.select(*keep, F.col(json_col), F.from_json(F.col(json_col), S.SECOND_ENVELOPE).alias("__e"))
-    status = F.col("__e.status")
-    ok = env.filter(status == "ok").select(*keep, F.from_json(F.col("__e.data"), S.SECOND_DATA).alias("__d"))
+    env = env.withColumn("__d", F.from_json(F.col("__e.data"), S.SECOND_DATA))
+    failed = F.coalesce(F.col("__e.status") == "error", F.lit(False))
     iaqi = lambda n: _zero(F.try_element_at(F.col("__d.iaqi"), F.lit(n)).getField("v"))
-    good = ok.select(*keep, F.col("__d.aqi").alias("aqi"), *[iaqi(n).alias(n) for n in S.SECOND_MEASURES])
-    rejected = env.filter(status.isNull() | (status != "ok")).select(
-        *keep, F.col(json_col).alias("raw"),
-        F.when(status == "error", F.concat(F.lit("source error: "), F.coalesce(F.col("__e.data"), F.lit("Unknown error"))))
-        .otherwise(F.lit("unparsable document")).alias("reason"))
-    return good, rejected
+    reason = F.when(failed, F.concat(F.lit("source error: "), F.coalesce(F.col("__e.data"), F.lit("Unknown error")))) \
+        .otherwise(F.lit(UNPARSABLE))
+    return _split(env, keep, json_col, ~failed & F.col("__d.iaqi").isNotNull(), reason,
+                  [F.col("__d.aqi").alias("aqi"), *[iaqi(n).alias(n) for n in S.SECOND_MEASURES]])
 
 
-def explode_forecast(df: DataFrame, json_col: str = "json", keep: Sequence[str] | None = None) -> DataFrame:
-    """Forecast document -> one row per list entry (``step`` = position); pop and wind.deg default 0."""
+def explode_forecast(df: DataFrame, json_col: str = "json", keep: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Forecast document -> (one row per list entry, rejected documents).
+
+    ``step`` is the position; pop and wind.deg default 0. A document without a list is rejected; an empty list has no rows.
+    """
     keep = [c for c in df.columns if c != json_col] if keep is None else list(keep)
-    items = F.from_json(F.col(json_col), S.FORECAST_DOC).getField("list")
-    ex = df.select(*keep, F.posexplode(items).alias("step", "__f"))
+    env = df.select(*keep, F.col(json_col), F.from_json(F.col(json_col), S.FORECAST_DOC).getField("list").alias("__l"))
+    whole, rejected = _split(env, keep, json_col, F.col("__l").isNotNull(), F.lit(UNPARSABLE), [F.col("__l")])
+    ex = whole.select(*keep, F.posexplode("__l").alias("step", "__f"))
     first = F.get(F.col("__f.weather"), 0)
     return ex.select(
         *keep, F.col("step").cast("int").alias("step"),
@@ -95,7 +117,7 @@ def explode_forecast(df: DataFrame, json_col: str = "json", keep: Sequence[str]
         _zero(F.col("__f.wind.deg")).alias("wind_direction"),
         first.getField("description").alias("description"), first.getField("icon").alias("icon"),
         F.col("__f.clouds.all").alias("clouds"), _zero(F.col("__f.pop")).alias("pop"),
-    )
+    ), rejected
 
 
 POLLUTION_FIELDS = ["aqi", "pm25", "pm10", "o3", "no2", "so2", "co"]
@@ -107,8 +129,8 @@ def merge_sources(weather: DataFrame, pollution: DataFrame, second: DataFrame |
                   ts: str = "ts", source: str = "data_collector") -> DataFrame:
     """One nested reading per key: weather ⋈ pollution (inner) ⟕ second source.
 
-    Where the second feed has no row, its struct is built from the pollution
-    feed's seven values and timestamp (as the reference's fallback does).
+    Where the second feed has no row, or is absent as a whole (``None``), its struct is built
+    from the pollution feed's seven values and timestamp (as the reference's fallback does).
     Equi-joins on the keys; skewed keys are split by AQE's skew-join handling.
     """
     keys = list(keys)
@@ -117,11 +139,13 @@ def merge_sources(weather: DataFrame, pollution: DataFrame, second: DataFrame |
     p = pollution.select(*keys, F.struct(F.col("pollution_ts").alias("ts"), *POLLUTION_FIELDS, "nh3")
                          .alias("pollution"))
     out = w.join(p, keys, "inner")
-    if second is not None:
+    fallback = F.struct(F.col("pollution.ts").alias("ts"), *[F.col(f"pollution.{c}").alias(c)
+                                                              for c in POLLUTION_FIELDS])
+    if second is None:
+        out = out.withColumn("second_source", fallback)
+    else:
         s = second.select(*keys, F.struct(*[c for c in second.columns if c not in keys]).alias("__s"))
         out = out.join(s, keys, "left")
-        fallback = F.struct(F.col("pollution.ts").alias("ts"), *[F.col(f"pollution.{c}").alias(c)
-                                                                  for c in POLLUTION_FIELDS])
         own_ts = F.col(ts) if ts in weather.columns else F.col("pollution.ts")
         sec = F.when(F.col("__s").isNotNull(), F.struct(
             own_ts.alias("ts"), *[F.col(f"__s.{c}").alias(c) for c in POLLUTION_FIELDS]))

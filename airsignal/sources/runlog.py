@@ -27,8 +27,15 @@ def write_run_logs(runs: DataFrame, path: str) -> None:
 
 
 def run_history(spark: SparkSession, path: str) -> DataFrame:
-    """All runs, flattened, best first: ordered by rmse, then time, then name (a range-partitioned sort)."""
-    d = spark.read.schema(RUN_LOG).json(path)
+    """All runs of the files under ``path``, flattened, best first: ordered by rmse, then time, then name (a range-partitioned sort)."""
+    # a log is one object, on one line or pretty-printed, or (as written here) one object per line
+    lines = spark.read.schema(RUN_LOG).json(path)
+    whole = spark.read.schema(RUN_LOG).option("multiLine", True).json(path)
+    source = F.input_file_name()
+    named = F.col("model_name").isNotNull()
+    lines, whole = lines.withColumn("__file", source).where(named), whole.withColumn("__file", source).where(named)
+    rest = whole.join(lines.select("__file").distinct(), "__file", "left_anti")
+    d = lines.unionByName(rest)
     flat = d.select("model_name", F.col("timestamp").alias("run_ts"),
                     *[F.col(f"scores.{n}").alias(n) for n in ("mse", "rmse", "mae", "r2", "mape")],
                     F.coalesce(F.size("feature_columns"), F.lit(0)).alias("n_features"))

@@ -66,19 +66,35 @@ def test_derived_features_blocked_equals_plain(spark):
     approx_rows(collect_sorted(blocked, ["location_id", "ts"]), collect_sorted(plain, ["location_id", "ts"]), 1e-7)
 
 
-def test_auto_switches_to_blocked_on_a_hot_key(spark):
-    """A third of all events on one location: 'auto' must pick the blocked plan, same values."""
+def test_session_chooses_the_strategy(spark):
+    """A third of all events on one location: the session's strategy decides, values are the same, no job sizes the input."""
     from airsignal.operators.series import plan_series
 
     d = obs_long(spark, SF01).withColumn(
         "location_id", F.when(F.col("location_id") % 3 == 0, F.lit(0)).otherwise(F.col("location_id")))
-    spark.conf.set("airsignal.series.maxRowsPerTask", "1000")
+    assert not plan_series(d, K, ["ts", "event_id"], 23).blocked
+    spark.conf.set("airsignal.series.strategy", "blocked")
     spark.conf.set("airsignal.series.blockRows", "400")
     try:
         assert plan_series(d, K, ["ts", "event_id"], 23).blocked
-        auto = W.rolling(d, ["value"], 24, ("mean", "max"), K, "ts", tie=["event_id"])
+        chosen = W.rolling(d, ["value"], 24, ("mean", "max"), K, "ts", tie=["event_id"])
     finally:
-        spark.conf.unset("airsignal.series.maxRowsPerTask")
+        spark.conf.unset("airsignal.series.strategy")
         spark.conf.unset("airsignal.series.blockRows")
     plain = W.rolling(d, ["value"], 24, ("mean", "max"), K, "ts", tie=["event_id"], strategy="plain")
-    approx_rows(collect_sorted(auto, ["event_id"]), collect_sorted(plain, ["event_id"]))
+    approx_rows(collect_sorted(chosen, ["event_id"]), collect_sorted(plain, ["event_id"]))
+
+
+def test_null_keys_and_times_are_kept(spark):
+    rows = [(None if i % 5 == 0 else i % 3, None if i == 7 else i, float(i) if i % 4 else None) for i in range(50)]
+    d = spark.createDataFrame(rows, "location_id int, ts int, v double")
+    out = {s: collect_sorted(W.lag_features(W.ffill(d, ["v"], K, "ts", strategy=s, block_rows=3), ["v"], (1, 2), K, "ts",
+                                            strategy=s, block_rows=2), ["location_id", "ts"]) for s in ("plain", "blocked")}
+    assert len(out["plain"]) == 50 and out["plain"] == out["blocked"]
+
+
+def test_look_back_longer_than_a_block(spark):
+    d = spark.range(40).selectExpr("1 as location_id", "id as ts", "cast(id as double) as v")
+    a = W.rolling(d, ["v"], 30, ("mean",), K, "ts", strategy="blocked", block_rows=4)
+    b = W.rolling(d, ["v"], 30, ("mean",), K, "ts", strategy="plain")
+    approx_rows(collect_sorted(a, ["ts"]), collect_sorted(b, ["ts"]))
