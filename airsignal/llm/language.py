@@ -16,7 +16,6 @@ text and (for training) lang are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,9 +35,6 @@ SAMPLE_ROWS, SAMPLE_CHARS, SHORT_WORDS = 3_000, 10_000, 8
 #: Rows scored at once.
 ROWS = 512
 
-_ANY_LETTER = re.compile(r"[^\W\d_]")
-
-
 def _fold() -> np.ndarray:
     """Letters and bytes of multi-byte characters stand, capitals become small, all else separates words."""
     out = np.zeros(256, np.uint32)
@@ -51,6 +47,11 @@ def _fold() -> np.ndarray:
 FOLD = _fold()
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (Unicode category L)."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def presence(texts: pa.Array, grams: int = GRAMS) -> np.ndarray:
     """1 where a text contains an n-gram of the bucket, rows scaled to length 1."""
     data, offsets = text_buffer(texts)
@@ -118,7 +119,7 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     p = np.exp(SHARP * (z - z.max(axis=1, keepdims=True)))
     p /= p.sum(axis=1, keepdims=True)
     best = z.argmax(axis=1)
-    letters = [t is not None and _ANY_LETTER.search(t) is not None for t in texts.to_pylist()]
+    letters = list(map(has_letter, texts.to_pylist()))
     return [model.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)], np.where(letters, p[np.arange(n), best], 0.0)
 
 
@@ -126,7 +127,7 @@ def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS)
     """Train on a bounded sample of the rows (doc_id, text, lang) given, those with a lang."""
     known = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
     sample = labelled_sample(docs.where("lang is not null and text is not null"), first_ids(known, rows, ["lang"]), max_chars, ["lang"])
-    sample = [r for r in sample if _ANY_LETTER.search(r.text)]
+    sample = [r for r in sample if has_letter(r.text)]
     return train([r.text for r in sample], [r.lang for r in sample])
 
 

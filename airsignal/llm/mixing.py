@@ -79,10 +79,17 @@ def posteriors(docs: DataFrame, labelled: DataFrame, probes: list[str] = PROBES)
             [r["domain"] for r in rows])
 
 
-def target_totals(natural: list[float], domains: list[str], targets: dict[str, float], budget: float | None) -> list[float]:
-    """Tokens wanted per domain: targets are shares of the budget (natural total unless given)."""
+def target_totals(natural: list[float], domains: list[str], targets: dict[str, float], budget: float | None,
+                  hold_rest: bool = False) -> list[float]:
+    """Tokens wanted per domain: targets are shares of the budget (natural total unless given).
+
+    ``hold_rest``: domains without a target keep their own totals, and the budget follows from them; the shares given must be below 1 together.
+    """
     given = {d: max(0.0, float(targets[d])) for d in domains if d in targets}
     free = [k for k, d in enumerate(domains) if d not in given]
+    if hold_rest:
+        rest = sum(natural[k] for k in free) / (1.0 - sum(given.values()))
+        return [given[d] * rest if d in given else natural[k] for k, d in enumerate(domains)]
     left = max(0.0, 1.0 - sum(given.values())) if free else 0.0
     spare = sum(natural[k] for k in free)
     shares = [given[d] if d in given else left * (natural[k] / spare if spare else 1 / len(free)) for k, d in enumerate(domains)]
@@ -91,8 +98,11 @@ def target_totals(natural: list[float], domains: list[str], targets: dict[str, f
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, probes: list[str] = PROBES,
-        steps: int = STEPS, tolerance: float = TOLERANCE) -> DataFrame:
-    """doc_id, tokens, domain (the likeliest), posterior (its probability) and rate of every row."""
+        steps: int = STEPS, tolerance: float = TOLERANCE, hold_rest: bool = False) -> DataFrame:
+    """doc_id, tokens, domain (the likeliest), posterior (its probability) and rate of every row.
+
+    ``targets``, ``budget`` and ``hold_rest`` as in ``target_totals``.
+    """
     table, domains = posteriors(docs, labelled, probes)
     if not domains:
         return table.select("doc_id", "tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"))
@@ -103,7 +113,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
         return [float(v) for v in row]
 
     rate, natural = F.lit(1.0), totals(F.lit(1.0))
-    wanted, now = target_totals(natural, domains, targets, budget), natural
+    wanted, now = target_totals(natural, domains, targets, budget, hold_rest), natural
     scale = [max(v, 1e-9) for v in natural]
     for _ in range(steps):
         if all(abs(a - t) <= tolerance * max(t, 1.0) for a, t in zip(now, wanted, strict=True)):

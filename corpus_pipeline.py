@@ -15,10 +15,8 @@ from airsignal.llm import bpe, exact_dedup, mixing, simhash, toxicity
 from airsignal.llm.common import crc_mod, saved, table
 from airsignal.llm.queries import domains, vocabulary_path
 
-#: Share of all tokens that the low-quality domain gets; the languages share the rest in their own proportions.
+#: Share of all tokens that the low-quality domain gets; the languages keep their own totals, so no other document is thinned out.
 TARGETS = {"low": 0.05}
-#: Tokens drawn, as a share of what there are: low quality shrinks, no other document is thinned out.
-BUDGET = 1.0
 
 
 def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +37,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says."""
-    rates = mixing.mix(docs, domains(docs, table(spark, sf_dir, "labels")), TARGETS)
+    rates = mixing.mix(docs, domains(docs, table(spark, sf_dir, "labels")), TARGETS, hold_rest=True)
     return mixing.draw(docs, saved(rates.select("doc_id", "rate"), "rates"))
 
 

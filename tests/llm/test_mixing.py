@@ -53,6 +53,7 @@ def test_against_numpy(spark):
 def test_targets():
     assert mixing.target_totals([10, 30, 60], ["a", "b", "c"], {"c": 0.1}, None) == pytest.approx([22.5, 67.5, 10])
     assert mixing.target_totals([10, 30], ["a", "b"], {"a": 1, "b": 3}, 80) == pytest.approx([20, 60])
+    assert mixing.target_totals([10, 30, 60], ["a", "b", "c"], {"c": 0.2}, None, hold_rest=True) == pytest.approx([10, 30, 10])
     assert mixing.target_totals([0, 0], ["a", "b"], {}, None) == pytest.approx([0, 0])
 
 

@@ -26,7 +26,7 @@ def test_stages_one_by_one(spark):
         elif name == "simhash near-dedup":
             assert ids(after) == ids(simhash.near_duplicates(docs).where("doc_id = component_id"))
         elif name == "mixing":
-            rates = {r.doc_id: r.rate for r in mixing.mix(docs, domains(docs, table(spark, SF01, "labels")), corpus_pipeline.TARGETS).collect()}
+            rates = {r.doc_id: r.rate for r in mixing.mix(docs, domains(docs, table(spark, SF01, "labels")), corpus_pipeline.TARGETS, hold_rest=True).collect()}
             n = {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()}
             assert all(int(rate) <= n.get(i, 0) <= int(rate) + 1 for i, rate in rates.items())
         else:
