@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Steps of a spine in one array.
+BLOCK_STEPS = 1024
+
+
 def _interval(step_seconds: int) -> Column:
     return F.expr(f"INTERVAL '{int(step_seconds)}' SECOND")
 
@@ -22,7 +26,10 @@ def hourly_spine(df: DataFrame, start: str | Column, end: str | Column, step_sec
     """One row per step from ``start`` to ``end`` inclusive, for every row of ``df``."""
     s = F.col(start) if isinstance(start, str) else start
     e = F.col(end) if isinstance(end, str) else end
-    return df.select(*keep, F.explode(F.sequence(s, e, _interval(step_seconds))).alias(name))
+    # in two levels, so that no array holds a whole spine
+    blocks = df.select(*keep, e.alias("__e"), F.explode(F.sequence(s, e, _interval(step_seconds * BLOCK_STEPS))).alias("__s"))
+    last = F.least(F.col("__e"), F.col("__s") + _interval(step_seconds * (BLOCK_STEPS - 1)))
+    return blocks.select(*keep, F.explode(F.sequence(F.col("__s"), last, _interval(step_seconds))).alias(name))
 
 
 def regularize(df: DataFrame, keys: Sequence[str], ts: str = "ts", step_seconds: int = 3600,
