@@ -31,6 +31,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         # projection) than the default cache of 100 holds; a smaller cache recompiles them in
         # every window task (measured at sf0.1: 8.4 s -> 4.7 s for all_features).
         .config("spark.sql.codegen.cache.maxEntries", str(CODEGEN_CACHE_ENTRIES))
+        # checkpoint files go when nothing refers to them any more
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", os.environ.get("AIRSIGNAL_DRIVER_MEMORY", "16g"))
         .getOrCreate()
     )
