@@ -25,8 +25,9 @@ def _epoch() -> Column:
 
 def _base(spark: SparkSession, sf: str) -> DataFrame:
     """One shuffle by the join keys: the three feeds are then joined without another exchange (and share this one)."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # stated: the rows are small, the documents made of them are not
     return table(spark, sf, "events").select(F.col("user_id").alias("location_id"), "event_id", "ts",
-                                             "event_type", "value", "props").repartition("location_id", "event_id")
+                                             "event_type", "value", "props").repartition(n, "location_id", "event_id")
 
 
 def _broken(doc: Column, lacking: Column) -> Column:

@@ -36,13 +36,21 @@ def _split(env: DataFrame, keep: Sequence[str], json_col: str, ok: Column, reaso
 UNPARSABLE = "unparsable document"
 
 
+def _once(parsed: Column, name: str) -> Column:
+    """The parsed document as a column that is computed once per row.
+
+    A one-element explode: without it the optimizer copies the parsing into the filter and into every field that is read.
+    """
+    return F.explode(F.array(parsed)).alias(name)
+
+
 def parse_weather(df: DataFrame, json_col: str = "json", keep: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """Weather document -> (good, rejected); missing wind.deg and visibility -> 0.
 
     A document without one of the objects main, wind, clouds, sys or a first weather entry is rejected.
     """
     keep = [c for c in df.columns if c != json_col] if keep is None else list(keep)
-    env = df.select(*keep, F.col(json_col), F.from_json(F.col(json_col), S.WEATHER_DOC).alias("__w"))
+    env = df.select(*keep, F.col(json_col), _once(F.from_json(F.col(json_col), S.WEATHER_DOC), "__w"))
     first = F.get(F.col("__w.weather"), 0)
     ok = first.isNotNull()
     for part in ("main", "wind", "clouds", "sys"):
@@ -69,8 +77,8 @@ def parse_pollution(df: DataFrame, json_col: str = "json", keep: Sequence[str] |
     A document whose list has no first entry with main and components is rejected.
     """
     keep = [c for c in df.columns if c != json_col] if keep is None else list(keep)
-    e = F.get(F.from_json(F.col(json_col), S.POLLUTION_DOC).getField("list"), 0).alias("__p")
-    env = df.select(*keep, F.col(json_col), e)
+    first = F.get(F.from_json(F.col(json_col), S.POLLUTION_DOC).getField("list"), 0)
+    env = df.select(*keep, F.col(json_col), _once(first, "__p"))
     ok = F.col("__p.main").isNotNull() & F.col("__p.components").isNotNull()
     comp = lambda n: _zero(F.col(f"__p.components.{n}"))
     return _split(env, keep, json_col, ok, F.lit(UNPARSABLE), [
@@ -89,8 +97,8 @@ def parse_second_source(df: DataFrame, json_col: str = "json",
     they keep the raw text and a ``reason``.
     """
     keep = [c for c in df.columns if c != json_col] if keep is None else list(keep)
-    env = df.select(*keep, F.col(json_col), F.from_json(F.col(json_col), S.SECOND_ENVELOPE).alias("__e"))
-    env = env.withColumn("__d", F.from_json(F.col("__e.data"), S.SECOND_DATA))
+    env = df.select(*keep, F.col(json_col), _once(F.from_json(F.col(json_col), S.SECOND_ENVELOPE), "__e"))
+    env = env.select("*", _once(F.from_json(F.col("__e.data"), S.SECOND_DATA), "__d"))
     failed = F.coalesce(F.col("__e.status") == "error", F.lit(False))
     iaqi = lambda n: _zero(F.try_element_at(F.col("__d.iaqi"), F.lit(n)).getField("v"))
     reason = F.when(failed, F.concat(F.lit("source error: "), F.coalesce(F.col("__e.data"), F.lit("Unknown error")))) \
@@ -105,7 +113,7 @@ def explode_forecast(df: DataFrame, json_col: str = "json", keep: Sequence[str]
     ``step`` is the position; pop and wind.deg default 0. A document without a list is rejected; an empty list has no rows.
     """
     keep = [c for c in df.columns if c != json_col] if keep is None else list(keep)
-    env = df.select(*keep, F.col(json_col), F.from_json(F.col(json_col), S.FORECAST_DOC).getField("list").alias("__l"))
+    env = df.select(*keep, F.col(json_col), _once(F.from_json(F.col(json_col), S.FORECAST_DOC).getField("list"), "__l"))
     whole, rejected = _split(env, keep, json_col, F.col("__l").isNotNull(), F.lit(UNPARSABLE), [F.col("__l")])
     ex = whole.select(*keep, F.posexplode("__l").alias("step", "__f"))
     first = F.get(F.col("__f.weather"), 0)
