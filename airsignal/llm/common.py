@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from airsignal.session import scratch_path
@@ -51,6 +51,26 @@ def first_ids(ids: DataFrame, max_rows: int, extra: list[str]) -> DataFrame:
             .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
 
 
+def first_ids_per(ids: DataFrame, max_rows: int, label: str, all_rows: int | None = None) -> tuple[DataFrame, dict]:
+    """(doc_id, label): at most ``max_rows`` rows of every label in the order of a hash of doc_id; and how many doc_ids each label has.
+
+    With more labels than ``all_rows`` / ``max_rows`` each gets an equal part of ``all_rows``, 20 at least. A repeated doc_id counts once, with its smallest label. Large labels are thinned by the hash before they are
+    ranked, so a rank's task reads little more than ``max_rows`` rows whatever the size of the table.
+    """
+    own = ids.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.min(label).alias(label))
+    counts = {r[0]: r[1] for r in own.groupBy(label).count().collect()}  # a row per label
+    if all_rows is not None:
+        max_rows = min(max_rows, max(20, all_rows // max(1, len(counts))))
+    place = F.xxhash64("doc_id")
+    few = max_rows + 8 * int(max_rows ** 0.5) + 64  # so many are expected below the cut, hence max_rows at least
+    cuts = {v: int(few / n * 2.0 ** 64) - (1 << 63) for v, n in counts.items() if n > few}
+    if cuts:
+        at = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+        own = own.where(F.coalesce(place <= F.element_at(at, F.col(label)), F.lit(True)))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(place, "doc_id"))
+    return own.withColumn("__rank", rank).where(F.col("__rank") <= max_rows).drop("__rank"), counts
+
+
 def labelled_sample(docs: DataFrame, chosen: DataFrame, max_chars: int, extra: list[str]) -> list:
     """(doc_id, text, *extra) of the ids in ``chosen`` whose text has at most ``max_chars`` characters, ordered by doc_id.
 

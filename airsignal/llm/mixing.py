@@ -1,9 +1,12 @@
 """Mixing to target weights with soft memberships. DataFrame functions only.
 
-1. Features: one pass over the texts counts the words and how often each of a list of short probes occurs.
-2. Classifier: the labelled table (doc_id, domain) gives each domain's probe frequencies (multinomial model, all labelled rows);
-   a text's posterior over domains is the normalised likelihood of its own frequencies, as if it had ``STRENGTH`` bytes
-   at most, times the domain's share of the labelled rows.
+1. Features, of whole texts. ``by="words"``: the frequencies of the words in ``BUCKETS`` hash buckets, and statistics of words,
+   distinct words, lines, distinct lines, symbols, runs of marks, capitals and digits with their products (``STATISTICS``).
+   ``by="probes"``: how often each of a list of short probes occurs.
+2. Classifier from the labelled table (doc_id, domain). Words: a softmax regression on up to ``SAMPLE_ROWS`` labelled rows of each domain,
+   drawn by a hash of doc_id and weighted back to the domain's share of the labelled rows. Probes: each domain's probe
+   frequencies (multinomial model, all labelled rows); a text's posterior over domains is the normalised likelihood of its own
+   frequencies, as if it had ``STRENGTH`` bytes at most, times the domain's share of the labelled rows.
 3. Rates: every document gets a rate >= 0, the expected number of times it is drawn. Rates minimise the squared
    differences between the expected tokens of each domain (sum of rate x tokens x posterior) and the domain's target, from rate 1
    on, by projected gradient steps: one distributed aggregation of as many numbers as there are domains per step,
@@ -20,17 +23,30 @@ each; several labels of one doc_id count as the smallest. Columns other than doc
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airsignal.llm.common import saved
+from airsignal.llm.common import first_ids_per, saved
 
 #: Probes: letter groups that languages use unlike one another, and marks of damaged or machine-made text.
 PROBES = ["th", "ch", "en", "ou", "qu", "io", "ei", "ci", "os", "ed", "é", "è", "ñ", "ó", "ü", "ß", "|", "!!", "##", "%%", "$$"]
 #: Bytes that a text counts for at most, the smoothing of the frequencies, and words as tokens.
 STRENGTH, SMOOTHING = 400.0, 1.0
 TOKEN = r"[^\x20\x09-\x0D]+"
+#: Between words: white space, and the end of each letter of scripts written without spaces.
+BREAK = r"[\x20\x09-\x0D]+|(?<=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF])"
+BUCKETS = 1024
+#: Frequencies of texts with fewer distinct words are taken down in proportion, so that one repeated word does not outweigh the statistics.
+VARIED = 20.0
+#: Statistics of a text; their squares and products count too.
+STATISTICS = ["words", "distinct", "lines", "distinct_lines", "length", "symbols", "marks", "capitals", "digits"]
+#: Labelled rows of a domain, and of all domains together, that the regression sees.
+SAMPLE_ROWS, ALL_ROWS = 1_000, 10_000
+#: Penalties on the weights of words and of statistics, and steps of the regression.
+RIDGES, FIT_STEPS = (2e-4, 2e-4), 600
 #: Steps at most, and the relative difference to the targets at which they end.
 STEPS, TOLERANCE = 40, 1e-3
 
@@ -71,12 +87,133 @@ def posteriors(docs: DataFrame, labelled: DataFrame, probes: list[str] = PROBES)
     if not rows:
         return table.select("doc_id", "tokens"), []
     scored = table.select("doc_id", "tokens", *[s.alias(f"s{k}") for k, s in enumerate(_posterior(rows, n))])
-    best = F.greatest(*[F.col(f"s{k}") for k in range(len(rows))]) if len(rows) > 1 else F.col("s0")
+    return _normalised(scored, len(rows)), [r["domain"] for r in rows]
+
+
+def _normalised(scored: DataFrame, n: int) -> DataFrame:
+    """Table of doc_id, tokens and the posteriors p0, p1, ... of n scores s0, s1, ..."""
+    best = F.greatest(*[F.col(f"s{k}") for k in range(n)]) if n > 1 else F.col("s0")
     scored = scored.withColumn("best", best)
-    scored = scored.select("doc_id", "tokens", *[F.exp(F.col(f"s{k}") - F.col("best")).alias(f"e{k}") for k in range(len(rows))])
-    whole = sum((F.col(f"e{k}") for k in range(1, len(rows))), F.col("e0"))
-    return (saved(scored.select("doc_id", "tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(len(rows))]), "posteriors"),
-            [r["domain"] for r in rows])
+    scored = scored.select("doc_id", "tokens", *[F.exp(F.col(f"s{k}") - F.col("best")).alias(f"e{k}") for k in range(n)])
+    whole = sum((F.col(f"e{k}") for k in range(1, n)), F.col("e0"))
+    return saved(scored.select("doc_id", "tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(n)]), "posteriors")
+
+
+# ---- words and statistics of whole texts ----------------------------------------------------------
+
+
+def word_features(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """doc_id, the columns ``extra``, tokens, b (the bucket of every word) and the statistics of every row."""
+    extra = extra or []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumns({"h": F.transform(F.array_remove(F.split(F.lower("text"), BREAK), ""), lambda w: F.xxhash64(w)),
+                             "lines": F.split("text", "\n"), "size": F.greatest(F.char_length("text"), F.lit(1))})
+    share = lambda regex: F.sqrt(F.regexp_count("text", F.lit(regex)) / F.col("size"))
+    of = {"words": F.log1p(F.size("h")), "distinct": F.log1p(F.size(F.array_distinct("h"))),
+          "lines": F.log1p(F.size("lines")), "distinct_lines": F.log1p(F.size(F.array_distinct("lines"))),
+          "length": F.log(F.col("size") / F.greatest(F.size("h"), F.lit(1))),
+          "symbols": share(r"[#$%&*+/<=>@\[\]\\^_`{|}~]"), "marks": share(r"[!-/:-@\[-`{-~]{2,}"),
+          "capitals": share(r"\p{Lu}"), "digits": share("[0-9]")}
+    return rows.select("doc_id", *extra, F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("tokens"),
+                       F.transform("h", lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")).alias("b"), *[of[k].alias(k) for k in STATISTICS])
+
+
+@dataclass
+class Softmax:
+    domains: list[str]
+    shares: np.ndarray  # of the labelled rows
+    mean: np.ndarray  # of the statistics
+    scale: np.ndarray
+    words: np.ndarray  # domains x buckets, for frequencies
+    single: np.ndarray  # domains x statistics, for the scaled ones
+    pairs: np.ndarray  # domains x pairs
+    bias: np.ndarray
+
+
+_PAIRS = [(i, j) for i in range(len(STATISTICS)) for j in range(i + 1)]
+#: Scaled statistics are cut here.
+_FAR = 5.0
+
+
+def fit_softmax(x: np.ndarray, stats: np.ndarray, label: np.ndarray, weight: np.ndarray, domains: list[str], shares: np.ndarray) -> Softmax:
+    """Ridge-penalised softmax regression on word frequencies ``x`` and statistics, by accelerated gradient steps."""
+    mean, scale = stats.mean(axis=0), np.maximum(stats.std(axis=0), 1e-3)
+    z = np.clip((stats - mean) / scale, -_FAR, _FAR)
+    spread = np.sqrt((x ** 2).mean(axis=0).max()) / 4 + 1e-6  # one scale, so seldom words count less
+    whole = np.hstack([x / spread, z, np.stack([z[:, i] * z[:, j] for i, j in _PAIRS], axis=1), np.ones((len(x), 1))]).astype(np.float32)
+    ridge = np.repeat([*RIDGES, 0.0], [BUCKETS, whole.shape[1] - BUCKETS - 1, 1]).astype(np.float32)
+    y = (label[:, None] == np.arange(len(domains))[None, :]).astype(np.float32)
+    weight = (weight / weight.sum()).astype(np.float32)
+    v = np.ones(whole.shape[1], np.float32)
+    for _ in range(30):  # largest eigenvalue: the step that cannot overshoot
+        v = whole.T @ (weight * (whole @ v))
+        top = np.linalg.norm(v)
+        v /= top
+    step = np.float32(1.0 / (0.5 * 1.05 * top + ridge.max()))
+    w = ahead = np.zeros((whole.shape[1], len(domains)), np.float32)
+    for k in range(FIT_STEPS):
+        s = whole @ ahead
+        p = np.exp(s - s.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        new = ahead - step * (whole.T @ ((p - y) * weight[:, None]) + ridge[:, None] * ahead)
+        ahead, w = new + np.float32(k / (k + 3)) * (new - w), new
+    n = BUCKETS + len(STATISTICS)
+    return Softmax(domains, shares, mean, scale, (w[:BUCKETS] / spread).T, w[BUCKETS:n].T, w[n:-1].T, w[-1])
+
+
+def learn(docs: DataFrame, labelled: DataFrame) -> Softmax | None:
+    """The regression on the labelled rows that ``docs`` has; None without any."""
+    known = (labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain"))
+             .where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain")))
+    present = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(known, "doc_id")
+    chosen, counts = first_ids_per(present, SAMPLE_ROWS, "domain", ALL_ROWS)
+    if not counts:
+        return None
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    table = saved(word_features(rows, ["domain"]), "sample")  # rows of one doc_id count as one text
+    stats = table.groupBy("doc_id").agg(F.min("domain").alias("domain"), *[F.avg(c).alias(c) for c in STATISTICS]).toArrow().sort_by("doc_id")
+    found = table.select("doc_id", F.explode("b").alias("k")).groupBy("doc_id", "k").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    ids, domains = stats["doc_id"].to_numpy(), sorted(counts)
+    x = np.zeros((len(ids), BUCKETS), np.float32)
+    x[np.searchsorted(ids, found["doc_id"].to_numpy()), found["k"].to_numpy()] = found["n"].to_numpy()
+    x *= (np.minimum(1, np.expm1(stats["distinct"].to_numpy()) / VARIED) / np.maximum(x.sum(axis=1), 1))[:, None]
+    label = np.searchsorted(np.array(domains), np.array(stats["domain"].to_pylist()))
+    drawn = np.bincount(label, minlength=len(domains))
+    total = np.array([counts[d] for d in domains], float)
+    return fit_softmax(x, np.stack([stats[c].to_numpy() for c in STATISTICS], axis=1).astype(float), label,
+                       (total / np.maximum(drawn, 1))[label], domains, total / total.sum())
+
+
+def _numbers(values: np.ndarray) -> Column:
+    return F.expr("cast(split('" + ",".join(f"{v:.7g}" for v in values) + "', ',') as array<double>)")
+
+
+def _softmax_scores(features: DataFrame, model: Softmax) -> DataFrame:
+    """doc_id, tokens and the scores s0, s1, ... of the domains; a text without any word has the domains' shares."""
+    cut = [F.greatest(F.lit(-_FAR), F.least(F.lit(_FAR), (F.col(c) - F.lit(float(m))) / F.lit(float(s)))).alias(f"z{k}")
+           for k, (c, m, s) in enumerate(zip(STATISTICS, model.mean, model.scale, strict=True))]
+
+    def summed(weights: np.ndarray) -> Column:
+        held = _numbers(weights)
+        return F.aggregate("b", F.lit(0.0), lambda total, k: total + F.get(held, k))
+
+    sums = [summed(w).alias(f"w{d}") for d, w in enumerate(model.words)]
+    held = (F.least(F.lit(1.0), F.expm1("distinct") / F.lit(VARIED)) / F.greatest(F.size("b"), F.lit(1))).alias("per")
+    rows = features.select("doc_id", "tokens", F.size("b").alias("n"), held, *cut, *sums)
+    scores = []
+    for d in range(len(model.domains)):
+        terms = [f"{float(model.bias[d])!r}D", f"w{d} * per", *[f"{v!r}D * z{i}" for i, v in enumerate(model.single[d].tolist())],
+                 *[f"{v!r}D * z{i} * z{j}" for (i, j), v in zip(_PAIRS, model.pairs[d].tolist(), strict=True)]]
+        scores.append(F.when(F.col("n") > 0, F.expr(" + ".join(terms))).otherwise(F.lit(math.log(model.shares[d]))).alias(f"s{d}"))
+    return rows.select("doc_id", "tokens", *scores)
+
+
+def word_posteriors(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[str]]:
+    """As ``posteriors``, by the words and statistics of whole texts."""
+    model = learn(docs, labelled)
+    if model is None:
+        return word_features(docs).select("doc_id", "tokens"), []
+    return _normalised(_softmax_scores(word_features(docs), model), len(model.domains)), model.domains
 
 
 def target_totals(natural: list[float], domains: list[str], targets: dict[str, float], budget: float | None,
@@ -98,12 +235,14 @@ def target_totals(natural: list[float], domains: list[str], targets: dict[str, f
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, probes: list[str] = PROBES,
-        steps: int = STEPS, tolerance: float = TOLERANCE, hold_rest: bool = False) -> DataFrame:
+        steps: int = STEPS, tolerance: float = TOLERANCE, hold_rest: bool = False, by: str = "probes") -> DataFrame:
     """doc_id, tokens, domain (the likeliest), posterior (its probability) and rate of every row.
 
-    ``targets``, ``budget`` and ``hold_rest`` as in ``target_totals``.
+    ``targets``, ``budget`` and ``hold_rest`` as in ``target_totals``; ``by`` is "words" or "probes".
     """
-    table, domains = posteriors(docs, labelled, probes)
+    if by not in ("words", "probes"):
+        raise ValueError(f"by must be words or probes, not {by!r}")
+    table, domains = word_posteriors(docs, labelled) if by == "words" else posteriors(docs, labelled, probes)
     if not domains:
         return table.select("doc_id", "tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"))
     ps = [F.col(f"p{k}") for k in range(len(domains))]

@@ -74,7 +74,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs, domains(docs, table(spark, sf_dir, "labels")), MIX_TARGETS)
+    return mixing.mix(docs, domains(docs, table(spark, sf_dir, "labels")), MIX_TARGETS, by="words")
 
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as their rate says."""
-    rates = mixing.mix(docs, domains(docs, table(spark, sf_dir, "labels")), TARGETS, hold_rest=True)
+    rates = mixing.mix(docs, domains(docs, table(spark, sf_dir, "labels")), TARGETS, hold_rest=True, by="words")
     return mixing.draw(docs, saved(rates.select("doc_id", "rate"), "rates"))
 
 

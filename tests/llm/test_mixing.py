@@ -8,8 +8,8 @@ import pytest
 
 from airsignal.llm import mixing
 from airsignal.llm import queries as Q
-from airsignal.llm.common import table
-from tests.conftest import SF
+from airsignal.llm.common import crc_mod, first_ids_per, table
+from tests.conftest import SF, SF01
 from tests.llm.conftest import EDGES
 
 
@@ -74,3 +74,60 @@ def test_draw(spark, edges):
     n = {k: v for k, v in drawn.selectExpr("doc_id div 1000 as k").groupBy("k").count().collect()}
     assert 0 not in n and n[1] == 1000 and n[2] == 2000 and 400 < n[3] < 600
     assert mixing.draw(edges, rates.where("false")).count() == len(EDGES)
+
+
+def test_labelled_shares_reach_the_targets(spark):
+    """By words, learned without a fifth of the labels: low quality of any kind is found there, and the labels' tokens come to the targets."""
+    docs = table(spark, SF01, "documents")
+    labelled = Q.domains(docs, table(spark, SF01, "labels")).withColumn("held", crc_mod("doc_id", 5) == 0)
+    true = {r.doc_id: r for r in labelled.collect()}
+    got = mixing.mix(docs, labelled.where("not held"), Q.MIX_TARGETS, by="words").collect()
+    own = [(true[r.doc_id], r) for r in got if r.doc_id in true]
+    low = [r for t, r in own if t.held and t.domain == "low"]
+    assert len(low) >= 5 and sum(r.domain == "low" for r in low) >= 0.9 * len(low)
+    assert sum(t.domain == r.domain for t, r in own if t.held) >= 0.95 * sum(t.held for t, _ in own)
+    share = sum(r.rate * r.tokens for t, r in own if t.domain == "low") / sum(r.rate * r.tokens for _, r in own)
+    natural = sum(r.tokens for t, r in own if t.domain == "low") / sum(r.tokens for _, r in own)
+    predicted = sum(r.tokens for r in got if r.domain == "low") / sum(r.tokens for r in got)
+    # labels are a part of the table: their share is held against the target as the whole table's low share differs from theirs
+    assert share == pytest.approx(Q.MIX_TARGETS["low"] * natural / predicted, rel=0.2)
+
+
+def test_repeats_and_other_domains(spark):
+    """Repeated words and lines are low whatever the word; domains that the probes do not know are told apart, spaces or not."""
+    rng = np.random.default_rng(5)
+    words = {"it": "il la che non per una sono anche della con".split(), "nl": "het een van niet dat zijn voor ook maar door".split()}
+    chars = {"ja": "あいうえおかきくけこ日本語", "zh": "的一是不了人我在有他这中大来"}
+    rows, known = [], []
+    for k in range(400):
+        kind = ["it", "nl", "ja", "zh", "low"][k % 5]
+        base = kind if kind != "low" else ["it", "nl"][k // 5 % 2]
+        if base in chars:
+            text = "".join(rng.choice(list(chars[base]), 60)) + "。"
+        else:
+            fill = lambda n: [*rng.choice(words[base], n), *("".join(rng.choice(list("abcdefgilmnoprstuv"), 6)) for _ in range(n))]  # noqa: B023, E731
+            text = " ".join(rng.permutation(fill(30))) if kind != "low" else [f"{rng.permutation(fill(1))[0]} " * 60, (" ".join(fill(3)) + "\n") * 10][k // 10 % 2]
+        rows.append((k, text))
+        known.append((k, kind))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = spark.createDataFrame([r for r in known if r[0] < 300], "doc_id long, domain string")
+    got = {r.doc_id: r for r in mixing.mix(docs, labelled, {"low": 0.02}, hold_rest=True, by="words").collect()}
+    wrong = [(k, d, got[k].domain, round(got[k].posterior, 2)) for k, d in known if got[k].domain != d]
+    assert not wrong, wrong
+    assert max(got[k].rate for k, d in known if d == "low") < 0.5
+
+
+def test_edges_by_words(spark, edges, empty):
+    labelled = spark.createDataFrame([(1, "en"), (8, "de"), (2, "en"), (8, "fr"), (None, "en"), (9, None)], "doc_id long, domain string")
+    rows = mixing.mix(edges, labelled, {"en": 0.5, "de": 0.5, "elsewhere": 1.0}, by="words").collect()
+    assert len(rows) == len(EDGES) and all(r.rate >= 0 and 0 < r.posterior <= 1 and r.domain in ("en", "de") for r in rows)
+    none = mixing.mix(edges, labelled.where("false"), {"en": 1.0}, by="words").collect()
+    assert all(r.rate == 1 and r.domain is None for r in none) and len(none) == len(EDGES)
+    assert mixing.mix(empty, labelled, {"en": 1.0}, by="words").count() == 0
+
+
+def test_sample_of_every_label(spark):
+    ids = spark.range(30000).selectExpr("id as doc_id", "case when id % 10000 = 7 then 'few' else 'many' end as domain")
+    rows, counts = first_ids_per(ids.unionByName(ids), 500, "domain")
+    assert counts == {"few": 3, "many": 29997}
+    assert {r["domain"]: r["count"] for r in rows.groupBy("domain").count().collect()} == {"few": 3, "many": 500}
