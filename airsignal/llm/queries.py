@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airsignal.llm import bpe, exact_dedup, language, licenses, mixing, quality, secrets, simhash, toxicity, winnow
+from airsignal.llm import bpe, exact_dedup, language, licenses, mixing, quality, secrets, simhash, toxicity, urls, whitening, winnow
 from airsignal.llm.common import crc_mod, table
 from airsignal.session import scratch_path
 
 #: Targets of the mixing query: shares of all tokens per domain.
 MIX_TARGETS = {"en": 0.45, "de": 0.2, "fr": 0.2, "es": 0.1, "low": 0.05}
 
+#: Rules of the url query.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
 
 def vocabulary_path() -> str:
     import public_tokenizers
@@ -81,8 +84,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return whitening.whiten(rows, whitening.fit(rows, 4))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = urls.fit(urls.labelled_table(spark))
+    return urls.judge(table(spark, sf_dir, "pages"), model, urls.parse_rules(URL_RULES))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_bpe, op2_simhash, op3_winnowing, op4_secrets, op5_exact_dedup, op6_toxicity, op7_quality, op8_language, op9_mixing, op10_licenses]
+    own = [op1_bpe, op2_simhash, op3_winnowing, op4_secrets, op5_exact_dedup, op6_toxicity, op7_quality, op8_language, op9_mixing, op10_licenses, op11_whitening, op13_urls]
     return {f.__name__: f for f in own}
 
 
