@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airsignal.llm import bpe, exact_dedup, language, licenses, mixing, quality, secrets, simhash, toxicity, urls, whitening, winnow
+from airsignal.llm import bpe, exact_dedup, language, licenses, mixing, quality, search, secrets, simhash, toxicity, urls, whitening, winnow
 from airsignal.llm.common import crc_mod, table
 from airsignal.session import scratch_path
 
@@ -89,15 +89,19 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows, whitening.fit(rows, 4))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+
+
 def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = urls.fit(urls.labelled_table(spark))
     return urls.judge(table(spark, sf_dir, "pages"), model, urls.parse_rules(URL_RULES))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_bpe, op2_simhash, op3_winnowing, op4_secrets, op5_exact_dedup, op6_toxicity, op7_quality, op8_language, op9_mixing, op10_licenses, op11_whitening, op13_urls]
+    own = [op1_bpe, op2_simhash, op3_winnowing, op4_secrets, op5_exact_dedup, op6_toxicity, op7_quality, op8_language, op9_mixing, op10_licenses, op11_whitening, op12_search, op13_urls]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secrets": secrets.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_secrets": secrets.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op12_search": search.ORACLE}

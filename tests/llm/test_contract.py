@@ -22,7 +22,7 @@ COLUMNS = {
 
 def test_registered():
     assert set(Q.queries()) <= set(entry.queries()) and "pipeline" in entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in Q.queries()} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in Q.queries()} == set(range(1, 14))
 
 
 @pytest.mark.parametrize("name", sorted(COLUMNS))
@@ -38,7 +38,7 @@ def test_oracle(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     s, o = Q.queries()[name](spark, SF).toPandas(), con.sql(Q.oracle_sql()[name]).df()
     assert sorted(s.columns) == sorted(o.columns) and rows(s) == rows(o)
