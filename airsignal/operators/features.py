@@ -1,9 +1,10 @@
 """Feature blocks and the full feature table.
 
 Each block is one ``withColumns`` (one Project node), so a 100+ column feature
-table is a handful of plan nodes. ``derived_features`` computes every lag,
-change and rolling statistic over one shared window (one Exchange on the
-location keys + one sort, or the blocked plan for hot keys).
+table is a handful of plan nodes. ``derived_features`` reads every series once, in order, and makes all lags,
+changes and rolling statistics in linear time (:mod:`airsignal.operators.sliding`: one
+Exchange on the location keys, one sort, Arrow batches; or blocks with halos for hot keys). ``all_features`` fills in
+the same walk. Series columns of other types than double and float go by window expressions.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airsignal.functions import columns as C
+from airsignal.operators import sliding as SL
 from airsignal.operators import windows as W
 from airsignal.operators.series import SeriesPlan, plan_series
 
@@ -78,8 +80,19 @@ def pollutant_features(df: DataFrame) -> DataFrame:
     return C.row_stats(df, avail, "pollutant") if len(avail) >= 2 else df
 
 
+def interaction_exprs(have: set[str]) -> dict[str, Column]:
+    out: dict[str, Column] = {}
+    if {"temperature", "humidity"} <= have:
+        out["temp_humidity_interaction"] = F.col("temperature") * F.col("humidity")
+    if {"pm25", "pm10"} <= have:
+        out["pm25_pm10_ratio"] = F.try_divide(F.col("pm25"), F.col("pm10") + F.lit(1e-8))
+    if {"wind_speed", "pm25"} <= have:
+        out["wind_pm25_interaction"] = F.col("wind_speed") * F.col("pm25")
+    return out
+
+
 def derived_exprs(plan: SeriesPlan, series: Sequence[str], have: set[str]) -> list[dict[str, Column]]:
-    """Column groups (in dependency order) of lags, changes, rolling stats and interactions."""
+    """Column groups (in dependency order) of lags, changes, rolling stats and interactions, as window expressions."""
     filled = {c: f"__ff_{c}" for c in series}
     first = {filled[c]: e for c, e in plan.ffill(series).items()}
     plan.helpers += list(filled.values())
@@ -89,25 +102,23 @@ def derived_exprs(plan: SeriesPlan, series: Sequence[str], have: set[str]) -> li
     second.update(W.pct_from_filled(plan, filled))
     second.update(W.rolling_exprs(plan, series, 24, ("mean", "std", "min", "max")))
     second.update(W.rolling_exprs(plan, series, 168, ("mean", "std")))
-    if {"temperature", "humidity"} <= have:
-        second["temp_humidity_interaction"] = F.col("temperature") * F.col("humidity")
-    if {"pm25", "pm10"} <= have:
-        second["pm25_pm10_ratio"] = F.try_divide(F.col("pm25"), F.col("pm10") + F.lit(1e-8))
-    if {"wind_speed", "pm25"} <= have:
-        second["wind_pm25_interaction"] = F.col("wind_speed") * F.col("pm25")
+    second.update(interaction_exprs(have))
     return [first, second]
 
 
 def derived_features(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts", tie: Sequence[str] | None = None,
                      include_target: bool = True, target: str = "aqi", strategy: str | None = None,
                      block_rows: int | None = None) -> DataFrame:
-    """Lags 1-3, change, pct change, rolling 24/168-row stats and interactions, one shared window."""
-    have = set(df.columns)
+    """Lags 1-3, change, pct change, rolling 24/168-row stats and interactions, one walk over every series."""
+    have, order = set(df.columns), [ts, *(tie or [])]
     series = [c for c in LAG_SERIES if c in have and (include_target or c != target)]
-    plan = plan_series(df, keys, [ts, *(tie or [])], 167, strategy, block_rows)
-    for group in derived_exprs(plan, series, have):
-        plan.with_columns(group)
-    return plan.finish()
+    if not W.floating(df, series):
+        plan = plan_series(df, keys, order, SL.DERIVED.look_back, strategy, block_rows)
+        for group in derived_exprs(plan, series, have):
+            plan.with_columns(group)
+        return plan.finish()
+    walk = SL.Pass(list(keys), series, SL.DERIVED)
+    return W.walked_series(df, walk, order, SL.DERIVED.names(series), strategy, block_rows).withColumns(interaction_exprs(have))
 
 
 def select_features(df: DataFrame, target: str = "aqi", keep: Sequence[str] = ("location_id", "ts")) -> DataFrame:
@@ -149,25 +160,68 @@ def fill_numeric(df: DataFrame, keys: Sequence[str], ts: str, skip: Sequence[str
     return W.fill_missing(df, num, keys, ts, causal=causal, strategy=strategy, block_rows=block_rows)
 
 
+def base_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Flattened readings with their weather, pollutant and interaction features (what needs one row only); and the names of the readings' columns."""
+    from airsignal.sources.parse import flatten_nested
+
+    if "weather" in df.columns and dict(df.dtypes)["weather"].startswith("struct"):
+        df = flatten_nested(df)
+    d = pollutant_features(weather_features(df))
+    return d.withColumns(interaction_exprs(set(df.columns))), df.columns
+
+
+def feature_walk(d: DataFrame, keys: Sequence[str], ts: str, target: str = "aqi", include_target: bool = False) -> SL.Pass | None:
+    """The walk that derives and fills every numeric column of ``base_features``; None where a column is not floating."""
+    series = [c for c in LAG_SERIES if c in d.columns and (include_target or c != target)]
+    num = [n for n, t in d.dtypes if t in NUMBERS and n not in (*keys, ts, *TIME_COLS)]
+    if not W.floating(d, [*series, *num]):
+        return None
+    return SL.Pass(list(keys), series, SL.DERIVED, fill=[*num, *SL.DERIVED.names(series)])
+
+
+NUMBERS = ("double", "float", "int", "bigint", "smallint")
+
+
+def finished(d: DataFrame, readings: Sequence[str], keys: Sequence[str], ts: str, target: str, tz) -> DataFrame:
+    """Walked rows -> time features, text by the table's mode, target; readings, time, row features, derived, interactions in this order."""
+    rows = list(interaction_exprs(set(readings)))
+    rest = [c for c in d.columns if c not in (*readings, *rows, *TIME_COLS)]
+    d = time_features(d, ts, tz)
+    text = [n for n, t in d.dtypes if t == "string" and n not in (*keys, ts, *EXCLUDE)]
+    d = W.fill_mode(d, text) if text else d
+    d = d.select(*[c for c in readings if c not in TIME_COLS], *TIME_COLS, *rest, *rows)
+    return select_features(resolve_target(d, target), target, keep=[*keys, ts])
+
+
 def all_features(df: DataFrame, keys: Sequence[str] = ("location_id",), ts: str = "ts", target: str = "aqi",
                  include_target_change: bool = False, causal: bool = False, tz: str | None = None,
                  strategy: str | None = None, block_rows: int | None = None) -> DataFrame:
-    """flatten -> time -> weather -> pollutant -> derived -> fill (text by the table's mode) -> target -> select."""
-    from airsignal.sources.parse import flatten_nested
+    """flatten -> time -> weather -> pollutant -> derived -> fill (text by the table's mode) -> target -> select.
+
+    One walk over the series derives and fills. The backward fill needs the first value of each series, which a first,
+    narrow walk finds (the same deal and sort; one row per series comes back); ``causal=True`` does without it.
+    """
+    keys = list(keys)
+    d, readings = base_features(df)
+    walk = feature_walk(d, keys, ts, target, include_target_change)
+    if walk is None:
+        return _all_features_windows(df, keys, ts, target, include_target_change, causal, tz, strategy, block_rows)
+    out = W.walked_series(d, walk, [ts], SL.DERIVED.names(walk.series), strategy, block_rows, backward=not causal)
+    return finished(out, readings, keys, ts, target, tz)
 
+
+def _all_features_windows(df: DataFrame, keys: Sequence[str], ts: str, target: str, include_target_change: bool, causal: bool, tz,
+                          strategy: str | None, block_rows: int | None) -> DataFrame:
+    """The same by window expressions, for columns that are not floating."""
     from airsignal.session import check_codegen_cache
+    from airsignal.sources.parse import flatten_nested
 
     check_codegen_cache(df.sparkSession)
-    keys = list(keys)
     if "weather" in df.columns and dict(df.dtypes)["weather"].startswith("struct"):
         df = flatten_nested(df)
-    d = time_features(df, ts, tz)
-    d = weather_features(d)
-    d = pollutant_features(d)
-    d = derived_features(d, keys, ts, include_target=include_target_change, target=target,
-                         strategy=strategy, block_rows=block_rows)
+    d = pollutant_features(weather_features(time_features(df, ts, tz)))
+    d = derived_features(d, keys, ts, include_target=include_target_change, target=target, strategy=strategy, block_rows=block_rows)
     d = fill_numeric(d, keys, ts, skip=TIME_COLS, causal=causal, strategy=strategy, block_rows=block_rows)
     text = [n for n, t in d.dtypes if t == "string" and n not in (*keys, ts, *EXCLUDE)]
     d = W.fill_mode(d, text) if text else d
-    d = resolve_target(d, target)
-    return select_features(d, target, keep=[*keys, ts])
+    return select_features(resolve_target(d, target), target, keep=[*keys, ts])

@@ -8,11 +8,13 @@ the location keys and one sort, or the skew-safe blocked plan for hot keys.
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airsignal.operators.series import (SeriesPlan, apply_series, attach_row, choose_strategy, join_null_safe,
+from airsignal.operators import sliding as SL
+from airsignal.operators.series import (BLK, HALO, RN, SeriesPlan, apply_series, attach_row, choose_strategy, join_null_safe,
                                         order_number, plan_series, quote)
 
 ROLL_SUFFIX = {24: "24h", 168: "7d"}
@@ -60,6 +62,63 @@ def pct_from_filled(plan: SeriesPlan, filled: dict[str, str]) -> dict[str, Colum
     return out
 
 
+# --- walks over sorted series (linear time) ---------------------------------------
+
+def floating(df: DataFrame, cols: Sequence[str]) -> bool:
+    """Whether all the columns are double or float, as the walks take them."""
+    types = dict(df.dtypes)
+    return bool(cols) and all(types[c] in ("double", "float") for c in cols)
+
+
+def seed_rows(values: DataFrame, keys: Sequence[str], names: Sequence[str], lasts: Sequence[str] | None, firsts: Sequence[str] | None) -> DataFrame:
+    """Seed rows of a walk from columns named ``lasts`` and ``firsts`` (None: nothing known), one per value of the walk."""
+    def held(cols: Sequence[str] | None) -> Column:
+        return F.array(*[F.lit(None).cast("double") if cols is None else F.col(c).cast("double") for c in (cols or names)])
+    return values.select(*keys, F.lit(0).alias(SL.SEED), held(lasts).alias(SL.LASTS), held(firsts).alias(SL.FIRSTS))
+
+
+def seeded(rows: DataFrame, seeds: DataFrame) -> DataFrame:
+    none = F.lit(None).cast("array<double>")
+    return rows.withColumns({SL.SEED: F.lit(1), SL.LASTS: none, SL.FIRSTS: none}).unionByName(seeds, allowMissingColumns=True)
+
+
+def walked_series(df: DataFrame, walk: SL.Pass, order: Sequence[str], new: Sequence[str], strategy: str | None = None,
+                  block_rows: int | None = None, backward: bool = False) -> DataFrame:
+    """``df`` with the columns of a walk, by the plain plan (series whole) or in blocks with halos; both give the same rows.
+
+    Blocks: what the first rows of a block need from before it comes as one seed row per block: the last value of each column in all earlier
+    blocks, from a table of one row per block. ``backward`` adds the first value of the whole series.
+    """
+    names, keys = walk.seed_columns(), list(walk.keys)
+    if choose_strategy(df, strategy) == "plain":
+        if not backward:
+            return SL.walked(df, walk, order, new)
+        first = SL.summaries(df, walk, order)
+        return SL.walked(seeded(df, seed_rows(first, keys, names, None, [f"__f{j}" for j in range(len(names))])),
+                         replace(walk, backward=True), order, new)
+    rows = plan_series(df, keys, order, walk.spec.look_back, "blocked", block_rows).df
+    cut = [*keys, BLK]
+    walk = replace(walk, keys=cut)
+    before = f"OVER ({'PARTITION BY ' + ', '.join(map(quote, keys)) if keys else ''} ORDER BY {quote(BLK)} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    if walk.spec.relative:  # forward-filled series: their last values in earlier blocks
+        own = rows.filter(~F.col(HALO)).groupBy(*cut).agg(*[
+            F.max_by(c, F.when(F.col(c).isNotNull(), F.col(RN))).alias(f"__l{j}") for j, c in enumerate(walk.series)])
+        own = own.select(*cut, *[F.expr(f"last(__l{j}, true) {before}").alias(f"__b{j}") for j in range(len(walk.series))])
+        known = {c: f"__b{j}" for j, c in enumerate(walk.series)}
+        none = own.withColumn("__none", F.lit(None).cast("double"))
+        seeds = seed_rows(none, cut, names, [known.get(c, "__none") for c in names], None)
+        started = seeded(rows, seeds)
+    else:
+        started = rows
+    if walk.fill:
+        ends = SL.summaries(started, walk, [RN])
+        whole = before.replace("1 PRECEDING", "UNBOUNDED FOLLOWING")
+        ends = ends.select(*cut, *[F.expr(f"last(__l{j}, true) {before}").alias(f"__b{j}") for j in range(len(names))],
+                           *[F.expr(f"first(__f{j}, true) {whole}").alias(f"__a{j}") for j in range(len(names))])
+        started = seeded(rows, seed_rows(ends, cut, names, [f"__b{j}" for j in range(len(names))], [f"__a{j}" for j in range(len(names))]))
+    return SL.walked(started, replace(walk, backward=backward), [RN], new).drop(RN, BLK)
+
+
 # --- 42-46: public operators ---------------------------------------------------
 
 def lag_features(df: DataFrame, cols: Sequence[str], lags: Sequence[int] = (1, 2, 3), keys: Sequence[str] = (),
@@ -91,7 +150,12 @@ def change_rate_pct(df: DataFrame, cols: Sequence[str], keys: Sequence[str] = ()
 def rolling(df: DataFrame, cols: Sequence[str], rows: int = 24, stats: Sequence[str] = ("mean", "std", "min", "max"),
             keys: Sequence[str] = (), ts: str = "ts", tie: Sequence[str] | None = None,
             strategy: str | None = None, block_rows: int | None = None, suffix: str | None = None) -> DataFrame:
-    """Statistics over the last ``rows`` rows (current included); NULLs skipped, min_periods=1."""
+    """Statistics over the last ``rows`` rows (current included); NULLs skipped, min_periods=1. Linear in the rows, whatever the frame."""
+    if floating(df, cols) and int(rows) > 0:
+        sfx = suffix or ROLL_SUFFIX.get(rows, f"{rows}r")
+        spec = SL.Spec(frames=((int(rows), tuple(stats), sfx),))
+        out = walked_series(df, SL.Pass(list(keys), list(cols), spec), _order(ts, tie), spec.names(cols), strategy, block_rows)
+        return out.withColumns({n: F.col(n).cast("long") for n in spec.names(cols) if n.endswith(f"_rolling_count_{sfx}")})
     return apply_series(df, keys, _order(ts, tie), rows - 1,
                         lambda p: rolling_exprs(p, cols, rows, stats, suffix), strategy, block_rows)
 

@@ -118,7 +118,29 @@ def q_derived_features(spark, sf):
     return d.select(*KEY, *_DV)
 
 
-def _all_features_sql():
+# the blocked plan: locations divisible by seven have no key and are one series; of their readings of one hour one is kept
+_BLOCKED_SQL = OBS_WIDE_SQL.replace("obs_wide AS (", "obs_keyed AS (").replace("obs_wide_p", "obs_wide_p") + """,
+obs_wide AS (SELECT * REPLACE (CASE WHEN location_id % 7 = 0 THEN NULL ELSE location_id END AS location_id) FROM obs_keyed
+  WHERE location_id % 7 <> 0 OR location_id IN (SELECT min(location_id) FROM obs_keyed k WHERE k.location_id % 7 = 0 AND k.ts = obs_keyed.ts))"""
+
+
+def _null_keys(spark, sf):
+    d = obs_wide(spark, sf)
+    none = F.col("location_id") % 7 == 0
+    least = d.filter(none).groupBy("ts").agg(F.min("location_id").alias("least"))
+    d = d.join(least, "ts", "left").filter(~none | (F.col("location_id") == F.col("least"))).drop("least")
+    return d.select(F.when(~none, F.col("location_id")).alias("location_id"), *[c for c in d.columns if c != "location_id"])
+
+
+@register("derived_features_blocked", oracle([_BLOCKED_SQL, _DV_CTES],
+                                             "SELECT location_id, ts, " + ", ".join(_DV) + " FROM d_out", _digits(_DV)))
+def q_derived_features_blocked(spark, sf):
+    """In blocks of 200 rows, a seventh of the locations without a key, as one series."""
+    d = _null_keys(spark, sf).select(*KEY, *SERIES)
+    return FE.derived_features(d, K, "ts", include_target=True, strategy="blocked", block_rows=200).select(*KEY, *_DV)
+
+
+def _all_features_sql(src=OBS_WIDE_SQL):
     base = ["pm25", "pm10", "temperature", "humidity", "wind_speed", "aqi"]
     scal = ["temperature_squared", "temperature_cubed", "humidity_squared", "wind_speed_squared",
             "pm25_squared", "pm25_log", "pm10_squared", "pm10_log",
@@ -137,7 +159,7 @@ def _all_features_sql():
         f"coalesce(last_value({c} IGNORE NULLS) {RUN}, first_value({c} IGNORE NULLS) {ALL}) AS {c}" for c in fill)
         + " FROM d_out")
     cols = [*fill, *TIME_DBL]
-    return oracle([OBS_WIDE_SQL, s1, dctes], body, _digits(cols))
+    return oracle([src, s1, dctes], body, _digits(cols))
 
 
 @register("all_features", _all_features_sql())
@@ -145,6 +167,11 @@ def q_all_features(spark, sf):
     return FE.all_features(obs_wide(spark, sf), K, "ts", "aqi")
 
 
+@register("all_features_blocked", _all_features_sql(_BLOCKED_SQL))
+def q_all_features_blocked(spark, sf):
+    return FE.all_features(_null_keys(spark, sf), K, "ts", "aqi", strategy="blocked", block_rows=200)
+
+
 @register("select_features", oracle([OBS_WIDE_SQL], """
 SELECT location_id, ts, pm25, pm10, temperature, humidity, wind_speed, aqi FROM obs_wide""", SERIES))
 def q_select_features(spark, sf):
