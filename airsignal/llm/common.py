@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -29,9 +32,35 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
+    if _WRITTEN:
+        _WRITTEN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths written by ``saved`` inside of ``scratch``, innermost last.
+_WRITTEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the tables that ``saved`` has written inside, when all is done; the list yielded names them, and what is taken out of it stays."""
+    _WRITTEN.append([])
+    try:
+        yield _WRITTEN[-1]
+    finally:
+        for path in _WRITTEN.pop():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name like ``name`` that ``df`` lacks, whatever the case."""
+    have, out = {c.lower() for c in df.columns}, f"__{name}"
+    while out in have:
+        out += "_"
+    return out
+
+
 def partitions_for(rows: int, per_partition: int, at_least: int) -> int:
     return max(at_least, -(-rows // per_partition))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airsignal.llm.common import saved, shuffle_partitions
+from airsignal.llm.common import saved, shuffle_partitions, unused
 
 #: Distinct keys that a bucket holds before it is split, and the leading bits that can be used for splits.
 BUCKET_KEYS = 2_000
@@ -138,7 +138,7 @@ def drop_duplicates(docs: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFram
     sha = F.sha2(normalised(F.col("d.text").cast("string")), 256)
     left = docs.alias("d").join(gone.alias("g").hint("shuffle_hash"), (F.expr("cast(d.doc_id as bigint) <=> g.doc_id")) & (sha == F.col("g.text_sha256")), "left_anti")
     if not found.where("not kept and doc_id <=> keep_id").isEmpty():  # rows that repeat both doc_id and text
-        key, shas = "__row_sha", F.sha2(normalised(F.col("text").cast("string")), 256)
+        key, shas = unused("row_sha", docs), F.sha2(normalised(F.col("text").cast("string")), 256)
         left = left.withColumn(key, shas).dropDuplicates(["doc_id", key]).drop(key)
     return left
 

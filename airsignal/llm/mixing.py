@@ -1,23 +1,22 @@
 """Mixing to target weights with soft memberships. DataFrame functions only.
 
-1. Features, of whole texts. ``by="words"``: the frequencies of the words in ``BUCKETS`` hash buckets, and statistics of words,
-   distinct words, lines, distinct lines, symbols, runs of marks, capitals and digits with their products (``STATISTICS``).
-   ``by="probes"``: how often each of a list of short probes occurs.
-2. Classifier from the labelled table (doc_id, domain). Words: a softmax regression on up to ``SAMPLE_ROWS`` labelled rows of each domain,
-   drawn by a hash of doc_id and weighted back to the domain's share of the labelled rows. Probes: each domain's probe
-   frequencies (multinomial model, all labelled rows); a text's posterior over domains is the normalised likelihood of its own
-   frequencies, as if it had ``STRENGTH`` bytes at most, times the domain's share of the labelled rows.
-3. Rates: every document gets a rate >= 0, the expected number of times it is drawn. Rates minimise the squared
+1. Features, of whole texts: the frequencies of the words in ``BUCKETS`` hash buckets, and statistics of words, distinct words, lines,
+   distinct lines, symbols, runs of marks, capitals and digits with their products (``STATISTICS``).
+2. Classifier from the labelled table (doc_id, domain): a softmax regression on up to ``SAMPLE_ROWS`` labelled rows of each domain, drawn by a
+   hash of doc_id and weighted back to the domain's share of the labelled rows.
+3. Rates: every document gets a rate >= 0 (and at most ``most``, if given), the expected number of times it is drawn. Rates minimise the squared
    differences between the expected tokens of each domain (sum of rate x tokens x posterior) and the domain's target, from rate 1
    on, by projected gradient steps: one distributed aggregation of as many numbers as there are domains per step,
-   then every rate moves against the gradient (scaled by the document's tokens and the domain's natural total, which makes a step of 1 safe) and is cut at 0.
+   then every rate moves against the gradient (scaled by the document's tokens and the domain's natural total, which makes a step of 1 safe)
+   and is cut at its bounds. Steps end at the targets, or where no total moves any more: with an upper bound the targets need not be in reach.
 
 A rate depends on the posteriors and on the few gradients alone, so the table of posteriors is written once and never rewritten.
 
 Results: null and empty texts have no tokens, posteriors equal to the domains' shares, and a rate like any other; repeated
-rows get equal results; an empty table gives an empty result. Without any labelled row all rates are 1 and the domain is null.
-Domains without a target share what the targets leave, in their own proportions. A label on several rows of one doc_id counts on
-each; several labels of one doc_id count as the smallest. Columns other than doc_id and text are ignored.
+rows get equal results; an empty table gives an empty result. Of equal posteriors the first domain in alphabetical order is named. Without any
+labelled row all rates are 1 and the domain is null. Domains without a target share what the targets leave, in their own proportions. A label on several rows
+of one doc_id counts on each; several labels of one doc_id count as the smallest. More than ``MOST_DOMAINS`` domains are refused (their
+weights are part of the plan): join small ones first. A row's words are held as one array of hashes. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -29,15 +28,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from airsignal.llm.common import first_ids_per, saved
+from airsignal.llm.common import first_ids_per, saved, unused
 
-#: Probes: letter groups that languages use unlike one another, and marks of damaged or machine-made text.
-PROBES = ["th", "ch", "en", "ou", "qu", "io", "ei", "ci", "os", "ed", "é", "è", "ñ", "ó", "ü", "ß", "|", "!!", "##", "%%", "$$"]
-#: Bytes that a text counts for at most, the smoothing of the frequencies, and words as tokens.
-STRENGTH, SMOOTHING = 400.0, 1.0
-TOKEN = r"[^\x20\x09-\x0D]+"
-#: Between words: white space, and the end of each letter of scripts written without spaces.
-BREAK = r"[\x20\x09-\x0D]+|(?<=[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF])"
+TOKEN, SPACE = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]"
+#: Letters of scripts written without spaces: each is a word.
+UNSPACED = r"[\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF]"
 BUCKETS = 1024
 #: Frequencies of texts with fewer distinct words are taken down in proportion, so that one repeated word does not outweigh the statistics.
 VARIED = 20.0
@@ -47,47 +42,9 @@ STATISTICS = ["words", "distinct", "lines", "distinct_lines", "length", "symbols
 SAMPLE_ROWS, ALL_ROWS = 1_000, 10_000
 #: Penalties on the weights of words and of statistics, and steps of the regression.
 RIDGES, FIT_STEPS = (2e-4, 2e-4), 600
-#: Steps at most, and the relative difference to the targets at which they end.
-STEPS, TOLERANCE = 40, 1e-3
-
-
-def features(docs: DataFrame, probes: list[str] = PROBES) -> DataFrame:
-    """doc_id, tokens, size (bytes), capitals and the occurrences c0, c1, ... of the probes."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    size = F.octet_length("text")
-    found = [((size - F.octet_length(F.replace("text", F.lit(p), F.lit("")))) / len(p.encode())).cast("float").alias(f"c{k}") for k, p in enumerate(probes)]
-    return rows.select("doc_id", F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("tokens"), size.alias("size"),
-                       F.regexp_count("text", F.lit("[A-Z]{2,}")).cast("float").alias(f"c{len(probes)}"), *found)
-
-
-def _posterior(rows: list, n: int) -> list[Column]:
-    """Posterior columns of the domains whose sums (domain, docs, size, c0 ...) are given."""
-    total = sum(r["docs"] for r in rows)
-    scores = []
-    for r in rows:
-        whole = r["size"] + SMOOTHING * (n + 1)
-        logs = [math.log((r[f"c{k}"] + SMOOTHING) / whole) for k in range(n)]
-        rest = math.log(max(r["size"] - sum(r[f"c{k}"] for k in range(n)), 0.0) / whole + SMOOTHING / whole)
-        # sum of count x (log frequency - log rest) + size x log rest, per byte, times the bytes it counts for
-        weight = F.least(F.col("size").cast("double"), F.lit(STRENGTH)) / F.greatest(F.col("size"), F.lit(1))
-        like = sum((F.col(f"c{k}") * F.lit(v - rest) for k, v in enumerate(logs)), F.col("size") * F.lit(rest))
-        scores.append(weight * like + F.lit(math.log(r["docs"] / total)))
-    return scores
-
-
-def posteriors(docs: DataFrame, labelled: DataFrame, probes: list[str] = PROBES) -> tuple[DataFrame, list[str]]:
-    """(table of doc_id, tokens, p0 ... per domain; the domains in order)."""
-    table = saved(features(docs, probes), "features")
-    n = len(probes) + 1
-    known = (labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("domain").cast("string").alias("domain"))
-             .where("doc_id is not null and domain is not null").groupBy("doc_id").agg(F.min("domain").alias("domain")))
-    sums = (table.join(known, "doc_id").groupBy("domain")
-            .agg(F.count(F.lit(1)).alias("docs"), *[F.sum(F.col(c).cast("double")).alias(c) for c in ("size", *(f"c{k}" for k in range(n)))]))
-    rows = sorted(sums.collect(), key=lambda r: r["domain"])  # a row per domain
-    if not rows:
-        return table.select("doc_id", "tokens"), []
-    scored = table.select("doc_id", "tokens", *[s.alias(f"s{k}") for k, s in enumerate(_posterior(rows, n))])
-    return _normalised(scored, len(rows)), [r["domain"] for r in rows]
+#: Steps at most, the relative difference to the targets at which they end, and the relative change below which totals stand still.
+STEPS, TOLERANCE, STILL = 40, 1e-3, 1e-5
+MOST_DOMAINS = 256
 
 
 def _normalised(scored: DataFrame, n: int) -> DataFrame:
@@ -99,14 +56,13 @@ def _normalised(scored: DataFrame, n: int) -> DataFrame:
     return saved(scored.select("doc_id", "tokens", *[(F.col(f"e{k}") / whole).alias(f"p{k}") for k in range(n)]), "posteriors")
 
 
-# ---- words and statistics of whole texts ----------------------------------------------------------
-
-
 def word_features(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """doc_id, the columns ``extra``, tokens, b (the bucket of every word) and the statistics of every row."""
     extra = extra or []
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumns({"h": F.transform(F.array_remove(F.split(F.lower("text"), BREAK), ""), lambda w: F.xxhash64(w)),
+    rows = rows.withColumn("unspaced", (F.octet_length("text") > F.char_length("text")) & F.col("text").rlike(UNSPACED))
+    spaced = F.when(F.col("unspaced"), F.regexp_replace("text", f"({UNSPACED})", "$1 ")).otherwise(F.col("text"))
+    rows = rows.withColumns({"h": F.transform(F.array_remove(F.split(F.lower(spaced), SPACE), ""), lambda w: F.xxhash64(w)),
                              "lines": F.split("text", "\n"), "size": F.greatest(F.char_length("text"), F.lit(1))})
     share = lambda regex: F.sqrt(F.regexp_count("text", F.lit(regex)) / F.col("size"))
     of = {"words": F.log1p(F.size("h")), "distinct": F.log1p(F.size(F.array_distinct("h"))),
@@ -114,7 +70,8 @@ def word_features(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
           "length": F.log(F.col("size") / F.greatest(F.size("h"), F.lit(1))),
           "symbols": share(r"[#$%&*+/<=>@\[\]\\^_`{|}~]"), "marks": share(r"[!-/:-@\[-`{-~]{2,}"),
           "capitals": share(r"\p{Lu}"), "digits": share("[0-9]")}
-    return rows.select("doc_id", *extra, F.regexp_count("text", F.lit(TOKEN)).cast("long").alias("tokens"),
+    tokens = F.when(F.col("unspaced"), F.regexp_count("text", F.lit(TOKEN))).otherwise(F.size("h")).cast("long")
+    return rows.select("doc_id", *extra, tokens.alias("tokens"),
                        F.transform("h", lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int")).alias("b"), *[of[k].alias(k) for k in STATISTICS])
 
 
@@ -169,6 +126,8 @@ def learn(docs: DataFrame, labelled: DataFrame) -> Softmax | None:
     chosen, counts = first_ids_per(present, SAMPLE_ROWS, "domain", ALL_ROWS)
     if not counts:
         return None
+    if len(counts) > MOST_DOMAINS:
+        raise ValueError(f"{len(counts)} domains; at most {MOST_DOMAINS}")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     table = saved(word_features(rows, ["domain"]), "sample")  # rows of one doc_id count as one text
     stats = table.groupBy("doc_id").agg(F.min("domain").alias("domain"), *[F.avg(c).alias(c) for c in STATISTICS]).toArrow().sort_by("doc_id")
@@ -208,8 +167,8 @@ def _softmax_scores(features: DataFrame, model: Softmax) -> DataFrame:
     return rows.select("doc_id", "tokens", *scores)
 
 
-def word_posteriors(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[str]]:
-    """As ``posteriors``, by the words and statistics of whole texts."""
+def posteriors(docs: DataFrame, labelled: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(table of doc_id, tokens, p0 ... per domain; the domains in order)."""
     model = learn(docs, labelled)
     if model is None:
         return word_features(docs).select("doc_id", "tokens"), []
@@ -234,15 +193,13 @@ def target_totals(natural: list[float], domains: list[str], targets: dict[str, f
     return [(sum(natural) if budget is None else budget) * s / whole for s in shares]
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, probes: list[str] = PROBES,
-        steps: int = STEPS, tolerance: float = TOLERANCE, hold_rest: bool = False, by: str = "probes") -> DataFrame:
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None,
+        steps: int = STEPS, tolerance: float = TOLERANCE, hold_rest: bool = False, most: float | None = None) -> DataFrame:
     """doc_id, tokens, domain (the likeliest), posterior (its probability) and rate of every row.
 
-    ``targets``, ``budget`` and ``hold_rest`` as in ``target_totals``; ``by`` is "words" or "probes".
+    ``targets``, ``budget`` and ``hold_rest`` as in ``target_totals``; ``most`` bounds the rates (1: no document is drawn twice).
     """
-    if by not in ("words", "probes"):
-        raise ValueError(f"by must be words or probes, not {by!r}")
-    table, domains = word_posteriors(docs, labelled) if by == "words" else posteriors(docs, labelled, probes)
+    table, domains = posteriors(docs, labelled)
     if not domains:
         return table.select("doc_id", "tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"))
     ps = [F.col(f"p{k}") for k in range(len(domains))]
@@ -260,7 +217,10 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
         step = sum((p * F.lit((a - t) / s) for p, a, t, s in zip(ps[1:], now[1:], wanted[1:], scale[1:], strict=True)),
                    ps[0] * F.lit((now[0] - wanted[0]) / scale[0]))
         rate = F.greatest(F.lit(0.0), rate - step)
-        now = totals(rate)
+        rate = rate if most is None else F.least(F.lit(float(most)), rate)
+        before, now = now, totals(rate)
+        if all(abs(a - b) <= STILL * max(b, 1.0) for a, b in zip(now, before, strict=True)):
+            break
     best = F.greatest(*ps) if len(ps) > 1 else ps[0]
     domain = F.coalesce(*[F.when(p == best, F.lit(d)) for p, d in zip(ps, domains, strict=True)])
     return table.select("doc_id", "tokens", domain.alias("domain"), best.alias("posterior"), rate.alias("rate"))
@@ -276,4 +236,5 @@ def draw(docs: DataFrame, rates: DataFrame, seed: int = 9) -> DataFrame:
              .select("doc_id", (F.floor(F.col("rate") + u)).cast("int").alias("__copies")).where("__copies <> 1"))
     joined = docs.alias("d").join(drawn.alias("r").hint("shuffle_hash"), F.expr("cast(d.doc_id as bigint) = r.doc_id"), "left")
     times = F.coalesce(F.col("r.__copies"), F.lit(1))
-    return (joined.where(times > 0).select("d.*", F.explode(F.sequence(F.lit(1), times)).alias("__copy")).drop("__copy"))
+    copy = unused("copy", docs)
+    return joined.where(times > 0).select("d.*", F.explode(F.sequence(F.lit(1), times)).alias(copy)).drop(copy)

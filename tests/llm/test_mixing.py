@@ -1,10 +1,13 @@
-"""Mixing against numpy: posteriors, totals at their targets, and the draw."""
+"""Mixing against numpy: features, posteriors, rates, totals at their targets, and the draw."""
 
 import math
 import re
+import unicodedata
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from airsignal.llm import mixing
 from airsignal.llm import queries as Q
@@ -13,41 +16,95 @@ from tests.conftest import SF, SF01
 from tests.llm.conftest import EDGES
 
 
-def brute_posteriors(rows, labelled):
-    """rows of (id, text); labelled id -> domain."""
-    probes = mixing.PROBES
-    count = lambda t: [t.count(p) for p in probes] + [len(re.findall("[A-Z]{2,}", t))]
-    feats = [(i, len(re.findall(mixing.TOKEN, t or "")), len((t or "").encode()), count(t or "")) for i, t in rows]
-    names = sorted({labelled[i] for i, *_ in feats if i in labelled})
-    n, logs = len(probes) + 1, {}
-    total = sum(i in labelled for i, *_ in feats)
-    for d in names:
-        own = [f for f in feats if labelled.get(f[0]) == d]
-        size, sums = sum(f[2] for f in own), np.sum([f[3] for f in own], axis=0)
-        whole = size + (n + 1)
-        logs[d] = ([math.log((c + 1) / whole) for c in sums], math.log(max(size - sums.sum(), 0) / whole + 1 / whole), math.log(len(own) / total))
-    out = []
-    for _, tokens, size, c in feats:
-        s = np.array([min(size, 400) / max(size, 1) * (sum(x * (v - rest) for x, v in zip(c, lg)) + size * rest) + prior for lg, rest, prior in logs.values()])
-        e = np.exp(s - s.max())
-        out.append((tokens, e / e.sum()))
-    return names, out
-
-
-def test_against_numpy(spark):
+SPACES = re.compile(r"[ \t-\r]+")
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def brute_features(text):
+    """(tokens, buckets, statistics) of a text, by plain Python."""
+    text = text or ""
+    words = []
+    for w in SPACES.split(text.lower()):
+        words += [x for x in re.sub(f"({mixing.UNSPACED})", r"\1 ", w).split(" ") if x]
+    h = [xxhash.xxh64(w.encode(), seed=42).intdigest() for w in words]
+    signed = [x - (1 << 64) if x >= 1 << 63 else x for x in h]
+    size = max(1, len(text))
+    runs, run = 0, 0
+    for c in text + "a":
+        run, runs = (run + 1, runs) if c in PUNCTUATION else (0, runs + (run >= 2))
+    share = lambda n: math.sqrt(n / size)
+    stats = {"words": math.log1p(len(h)), "distinct": math.log1p(len(set(h))), "lines": math.log1p(len(text.split("\n"))),
+             "distinct_lines": math.log1p(len(set(text.split("\n")))), "length": math.log(size / max(1, len(h))),
+             "symbols": share(sum(c in "#$%&*+/<=>@[]\\^_`{|}~" for c in text)), "marks": share(runs),
+             "capitals": share(sum(unicodedata.category(c) == "Lu" for c in text)), "digits": share(sum(c in "0123456789" for c in text))}
+    return len([t for t in SPACES.split(text) if t]), [x % mixing.BUCKETS for x in signed], [stats[c] for c in mixing.STATISTICS]
+
+
+def brute_posterior(text, model):
+    tokens, b, stats = brute_features(text)
+    if not b:
+        return tokens, model.shares
+    z = np.clip((np.array(stats) - model.mean) / model.scale, -mixing._FAR, mixing._FAR)
+    per = min(1.0, len(set(brute_words(text))) / mixing.VARIED) / len(b)
+    s = model.bias + model.words[:, b].sum(axis=1) * per + model.single @ z + model.pairs @ np.array([z[i] * z[j] for i, j in mixing._PAIRS])
+    e = np.exp(s - s.max())
+    return tokens, e / e.sum()
+
+
+def brute_words(text):
+    return [x for w in SPACES.split((text or "").lower()) for x in re.sub(f"({mixing.UNSPACED})", r"\1 ", w).split(" ") if x]
+
+
+def brute_rates(p, t, targets, most=None):
+    """Projected gradient steps in numpy."""
+    natural = (p * t[:, None]).sum(axis=0)
+    rate, now = np.ones(len(t)), natural
+    for _ in range(mixing.STEPS):
+        if (np.abs(now - targets) <= mixing.TOLERANCE * np.maximum(targets, 1)).all():
+            break
+        rate = np.clip(rate - p @ ((now - targets) / np.maximum(natural, 1e-9)), 0, most)
+        before, now = now, (rate * t) @ p
+        if (np.abs(now - before) <= mixing.STILL * np.maximum(before, 1)).all():
+            break
+    return rate
+
+
+@pytest.mark.parametrize("most", [None, 1.0])
+def test_against_numpy(spark, most):
+    """Features, scores and rates of whole texts recomputed without Spark; only the learned weights are taken over."""
     docs = table(spark, SF, "documents")
     labelled = Q.domains(docs, table(spark, SF, "labels"))
-    got = {r.doc_id: r for r in mixing.mix(docs, labelled, Q.MIX_TARGETS).collect()}
+    model = mixing.learn(docs, labelled)
+    wanted = Q.MIX_TARGETS if most is None else {"low": 0.05}
+    got = {r.doc_id: r for r in mixing.mix(docs, labelled, wanted, most=most, hold_rest=most is not None).collect()}
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    names, want = brute_posteriors(rows, {r.doc_id: r.domain for r in labelled.collect()})
-    p = np.array([x for _, x in want])
-    t = np.array([x for x, _ in want], float)
-    for (i, _), (tokens, q) in zip(rows, want):
-        assert got[i].tokens == tokens and got[i].posterior == pytest.approx(q.max(), rel=1e-4) and got[i].domain == names[q.argmax()]
+    found = [brute_posterior(t, model) for _, t in rows]
+    t, p = np.array([n for n, _ in found], float), np.array([q for _, q in found])
+    for (i, _), (tokens, q) in zip(rows, found):
+        assert got[i].tokens == tokens and got[i].posterior == pytest.approx(q.max(), rel=1e-4) and got[i].domain == model.domains[q.argmax()]
+    targets = np.array(mixing.target_totals((p * t[:, None]).sum(axis=0).tolist(), model.domains, wanted, None, most is not None))
     rate = np.array([got[i].rate for i, _ in rows])
-    assert (rate >= 0).all()
-    targets = mixing.target_totals((p * t[:, None]).sum(axis=0).tolist(), names, Q.MIX_TARGETS, None)
-    assert (rate * t) @ p == pytest.approx(targets, rel=0.02)
+    assert rate == pytest.approx(brute_rates(p, t, targets, most), abs=2e-3) and (rate >= 0).all()
+    if most is None:
+        assert (rate * t) @ p == pytest.approx(targets, rel=0.02)
+    else:
+        assert rate.max() <= most
+
+
+def test_features_by_definition(spark, edges):
+    rows = mixing.word_features(edges.withColumn("text", F.coalesce("text", F.lit(None)))).select("*").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.doc_id, []).append(r)
+    for i, text, _ in EDGES:
+        tokens, b, stats = brute_features(text)
+        assert any(r.tokens == tokens and list(r.b) == b and [r[c] for c in mixing.STATISTICS] == pytest.approx(stats) for r in by[i]), text
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word two three. " * 400_000), (2, "日本" * 300_000), (3, "x" * 3_000_000)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in mixing.mix(docs, spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, domain string"), {"a": 0.5}).collect()}
+    assert rows[1].tokens == 1_200_000 and rows[2].tokens == rows[3].tokens == 1 and all(0 < r.posterior <= 1 for r in rows.values())
 
 
 def test_targets():
@@ -81,7 +138,7 @@ def test_labelled_shares_reach_the_targets(spark):
     docs = table(spark, SF01, "documents")
     labelled = Q.domains(docs, table(spark, SF01, "labels")).withColumn("held", crc_mod("doc_id", 5) == 0)
     true = {r.doc_id: r for r in labelled.collect()}
-    got = mixing.mix(docs, labelled.where("not held"), Q.MIX_TARGETS, by="words").collect()
+    got = mixing.mix(docs, labelled.where("not held"), Q.MIX_TARGETS).collect()
     own = [(true[r.doc_id], r) for r in got if r.doc_id in true]
     low = [r for t, r in own if t.held and t.domain == "low"]
     assert len(low) >= 5 and sum(r.domain == "low" for r in low) >= 0.9 * len(low)
@@ -111,21 +168,12 @@ def test_repeats_and_other_domains(spark):
         known.append((k, kind))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     labelled = spark.createDataFrame([r for r in known if r[0] < 300], "doc_id long, domain string")
-    got = {r.doc_id: r for r in mixing.mix(docs, labelled, {"low": 0.02}, hold_rest=True, by="words").collect()}
+    got = {r.doc_id: r for r in mixing.mix(docs, labelled, {"low": 0.02}, hold_rest=True).collect()}
     wrong = [(k, d, got[k].domain, round(got[k].posterior, 2)) for k, d in known if got[k].domain != d]
     assert not wrong, wrong
     assert max(got[k].rate for k, d in known if d == "low") < 0.5
 
 
-def test_edges_by_words(spark, edges, empty):
-    labelled = spark.createDataFrame([(1, "en"), (8, "de"), (2, "en"), (8, "fr"), (None, "en"), (9, None)], "doc_id long, domain string")
-    rows = mixing.mix(edges, labelled, {"en": 0.5, "de": 0.5, "elsewhere": 1.0}, by="words").collect()
-    assert len(rows) == len(EDGES) and all(r.rate >= 0 and 0 < r.posterior <= 1 and r.domain in ("en", "de") for r in rows)
-    none = mixing.mix(edges, labelled.where("false"), {"en": 1.0}, by="words").collect()
-    assert all(r.rate == 1 and r.domain is None for r in none) and len(none) == len(EDGES)
-    assert mixing.mix(empty, labelled, {"en": 1.0}, by="words").count() == 0
-
-
 def test_sample_of_every_label(spark):
     ids = spark.range(30000).selectExpr("id as doc_id", "case when id % 10000 = 7 then 'few' else 'many' end as domain")
     rows, counts = first_ids_per(ids.unionByName(ids), 500, "domain")
