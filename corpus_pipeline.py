@@ -1,65 +1,6 @@
-"""The corpus pipeline: five stages over ``documents``, each written to shared storage and read again by the next.
+"""The corpus pipeline (part of the subpackage ``llm``, where its stages are): toxicity, exact dedup, SimHash near-dedup, mixing, BPE."""
 
-Toxic documents go, then exact copies, then near copies (one document of each group stays); the rest is drawn by
-rates that bring low quality down to its target weight, and encoded. All stages but the last return the columns of ``documents``.
-"""
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from airsignal.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from airsignal.llm.common import crc_mod, saved, table
-from airsignal.llm.queries import domains, vocabulary_path
-
-#: Share of all tokens that the low-quality domain gets; the languages keep their own totals, so no other document is thinned out.
-TARGETS = {"low": 0.05}
-
-
-def toxic_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that score 0.5 or more; learned as in the query, from the given documents that have labels."""
-    labels = table(spark, sf_dir, "labels").where(crc_mod("doc_id", 5) != 0)
-    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
-
-
-def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of equal texts."""
-    return exact_dedup.drop_duplicates(docs)
-
-
-def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: the one with the smallest doc_id."""
-    return simhash.drop_near_duplicates(docs, shingle=3, bits=3)
-
-
-def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate says."""
-    rates = mixing.mix(docs, domains(docs, table(spark, sf_dir, "labels")), TARGETS, hold_rest=True, by="words")
-    return mixing.draw(docs, saved(rates.select("doc_id", "rate"), "rates"))
-
-
-def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, number of tokens, and digests of the ids and of the text decoded from them."""
-    return bpe.encode_digest(docs, vocabulary_path())
-
-
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", toxic_stage),
-    ("exact dedup", exact_stage),
-    ("simhash near-dedup", near_stage),
-    ("mixing", mixing_stage),
-    ("bpe", bpe_stage),
-]
+from airsignal.llm.pipeline import STAGES, run  # noqa: F401
 
 #: Learned models and hash draws have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
-    return docs
