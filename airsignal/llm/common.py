@@ -74,12 +74,6 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % n
 
 
-def first_ids(ids: DataFrame, max_rows: int, extra: list[str]) -> DataFrame:
-    """At most ``max_rows`` (doc_id, *extra) rows in the order of a hash of doc_id; a repeated doc_id counts once."""
-    return (ids.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.min(c).alias(c) for c in extra])
-            .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-
-
 def first_ids_per(ids: DataFrame, max_rows: int, label: str, all_rows: int | None = None) -> tuple[DataFrame, dict]:
     """(doc_id, label): at most ``max_rows`` rows of every label in the order of a hash of doc_id; and how many doc_ids each label has.
 
@@ -100,17 +94,31 @@ def first_ids_per(ids: DataFrame, max_rows: int, label: str, all_rows: int | Non
     return own.withColumn("__rank", rank).where(F.col("__rank") <= max_rows).drop("__rank"), counts
 
 
-def labelled_sample(docs: DataFrame, chosen: DataFrame, max_chars: int, extra: list[str]) -> list:
-    """(doc_id, text, *extra) of the ids in ``chosen`` whose text has at most ``max_chars`` characters, ordered by doc_id.
+#: Texts of a label all of whose texts are too long: so many of the shortest, cut.
+LONG_ROWS = 20
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int, all_rows: int | None = None) -> tuple[list, dict]:
+    """((doc_id, text, label) ordered by doc_id; rows of each label): at most ``per_label`` texts of every label, in the order of a hash of doc_id.
 
-    ``chosen`` comes from ``first_ids``, so its size is bounded by a parameter; it is broadcast, and one scan
-    of ``docs`` fetches the texts. Of several texts with one doc_id the smallest counts.
+    ``rows`` has doc_id, text and the label. Texts over ``max_chars`` characters are left out before any is chosen, so every label keeps its share of the sample;
+    a label with long texts only has ``LONG_ROWS`` of the shortest instead, their first ``max_chars`` characters. Only the ids chosen are
+    broadcast, and one scan fetches the texts. Of several texts or labels of one doc_id the smallest counts. What comes to the driver is
+    bounded by the parameters and the number of labels.
     """
-    found = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-             .where(F.length("text") <= max_chars)
-             .join(F.broadcast(chosen), "doc_id")
-             .groupBy("doc_id").agg(F.min("text").alias("text"), *[F.min(c).alias(c) for c in extra]))
-    return sorted(found.collect(), key=lambda r: r.doc_id)
+    own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(label).alias(label)).where(
+        F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col("text").isNotNull())
+    fits = F.char_length("text") <= max_chars
+    sizes = {r[0]: (r[1], r[2]) for r in own.groupBy(label).agg(F.count(F.lit(1)), F.count(F.when(fits, 1))).collect()}  # a row per label
+    chosen, _ = first_ids_per(own.where(fits).select("doc_id", label), per_label, label, all_rows)
+    long_only = [v for v, (_, short) in sizes.items() if not short]
+    if long_only:
+        rank = F.row_number().over(Window.partitionBy(label).orderBy(F.char_length("text"), F.xxhash64("doc_id"), "doc_id"))
+        few = own.where(F.col(label).isin(long_only)).withColumn("__rank", rank).where(F.col("__rank") <= LONG_ROWS).select("doc_id", label)
+        chosen = chosen.unionByName(few.groupBy("doc_id").agg(F.min(label).alias(label)))
+    kept = own.where(fits | F.col(label).isin(long_only)).select("doc_id", F.substring("text", 1, max_chars).alias("text"))
+    found = kept.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min(label).alias(label))
+    return sorted(found.collect(), key=lambda r: r.doc_id), {v: n for v, (n, _) in sizes.items()}
 
 
 # ---- inside tasks -------------------------------------------------------------------------------

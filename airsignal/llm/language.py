@@ -24,14 +24,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airsignal.llm.common import byte_pieces, first_ids, labelled_sample, text_buffer
+from airsignal.llm.common import byte_pieces, labelled_sample, text_buffer
 
 #: Hashed n-grams and the longest n-gram in bytes.
-GRAMS, LONGEST = 4096, 4
+GRAMS, LONGEST = 1 << 15, 4
 #: Landmarks, ridge, and sharpness of the scores.
 LANDMARKS, RIDGE, SHARP = 256, 1e-3, 6.0
-#: Bounds of the training sample: rows and characters of a text; words of the short copies.
-SAMPLE_ROWS, SAMPLE_CHARS, SHORT_WORDS = 3_000, 10_000, 8
+#: Bounds of the training sample: rows of a language and of all, characters of a text; words of the short copies.
+LANG_ROWS, SAMPLE_ROWS, SAMPLE_CHARS, SHORT_WORDS = 750, 3_000, 10_000, 8
 #: Rows scored at once.
 ROWS = 512
 
@@ -52,42 +52,73 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def presence(texts: pa.Array, grams: int = GRAMS) -> np.ndarray:
-    """1 where a text contains an n-gram of the bucket, rows scaled to length 1."""
+def gram_pairs(texts: pa.Array, grams: int = GRAMS) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket) of every n-gram that a text contains, each bucket once, ordered by row."""
     data, offsets = text_buffer(texts)
-    out = np.zeros((len(texts), grams), np.float32)
+    found = [np.zeros(0, np.int64)]
     shift = np.uint32(32 - int(grams - 1).bit_length())
     for piece, off in byte_pieces(data, offsets):
         n, c = len(piece), np.append(FOLD[piece], np.zeros(LONGEST, np.uint32))
         size = np.diff(off)
         row = np.repeat(np.arange(len(texts)) * grams, size)
         left = np.repeat(off[1:], size) - np.arange(n)  # bytes to the end of the text
-        code, inside, starts = np.zeros(n, np.uint32), np.ones(n, bool), np.ones(n, bool)
+        code, inside, starts, keys = np.zeros(n, np.uint32), np.ones(n, bool), np.ones(n, bool), []
         for k in range(LONGEST):
             inside &= (c[k:k + n] > 0) & (left > k)  # a gram ends with its word and is padded there
             code = code * np.uint32(257) + c[k:k + n] * inside
             if k < 2:
                 starts &= inside
             ok = np.flatnonzero(starts)
-            h = ((code[ok] + np.uint32(k)) * np.uint32(2654435761)) >> shift
-            out.reshape(-1)[row[ok] + h] = 1
+            keys.append(row[ok] + (((code[ok] + np.uint32(k)) * np.uint32(2654435761)) >> shift).astype(np.int64))
+        seen = np.zeros(len(texts) * grams, bool) if len(texts) * grams < (1 << 25) else None
+        if seen is None:
+            found.append(np.unique(np.concatenate(keys)))
+        else:  # as many rows as are scored at once: marks are cheaper than sorting
+            for key in keys:
+                seen[key] = True
+            found.append(np.flatnonzero(seen))
+    key = found[-1] if len(found) == 2 else np.unique(np.concatenate(found))
+    return key // grams, key % grams
+
+
+def presence(texts: pa.Array, grams: int = GRAMS) -> np.ndarray:
+    """1 where a text contains an n-gram of the bucket, rows scaled to length 1."""
+    out = np.zeros((len(texts), grams), np.float32)
+    row, bucket = gram_pairs(texts, grams)
+    out[row, bucket] = 1
     out /= np.maximum(np.sqrt(out.sum(axis=1, keepdims=True)), 1)
     return out
 
 
+def kernel_values(texts: pa.Array, landmarks: np.ndarray) -> np.ndarray:
+    """Presence of each text times the landmarks (buckets x landmarks), without the buckets that a text lacks."""
+    out = np.zeros((len(texts), landmarks.shape[1]), np.float32)
+    row, bucket = gram_pairs(texts, len(landmarks))
+    size = np.bincount(row, minlength=len(texts))
+    end = np.cumsum(size)
+    i = 0
+    while i < len(texts):  # about 20,000 buckets at once
+        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + 20_000, "right")))
+        own = np.flatnonzero(size[i:j]) + i
+        if len(own):
+            a, b = end[i] - size[i], end[j - 1]
+            out[own] = np.add.reduceat(landmarks[bucket[a:b]], end[own] - size[own] - a, axis=0)
+        i = j
+    return out / np.maximum(np.sqrt(size), 1)[:, None].astype(np.float32)
+
+
 @dataclass
 class Model:
     langs: list[str]
-    landmarks: np.ndarray  # landmarks x grams
+    landmarks: np.ndarray  # grams x landmarks
     coef: np.ndarray  # landmarks x languages
 
 
 def train(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
     known = sorted(set(langs))
     if not known:
-        return Model([], np.zeros((0, GRAMS), np.float32), np.zeros((0, 0), np.float32))
+        return Model([], np.zeros((GRAMS, 0), np.float32), np.zeros((0, 0), np.float32))
     short = [" ".join(t.split()[:SHORT_WORDS]) for t in texts]
-    x = np.vstack([presence(pa.array((texts + short)[i:i + ROWS], pa.string())) for i in range(0, 2 * len(texts), ROWS)])
     y = np.where(np.array(langs * 2)[:, None] == np.array(known)[None, :], 1.0, -1.0)
     # landmarks of all languages in turn, whole texts first
     place = np.zeros(len(langs), int)
@@ -95,11 +126,13 @@ def train(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, ridge:
     for i, v in enumerate(langs):
         place[i] = seen[v] = seen.get(v, -1) + 1
     marks = np.lexsort((langs, place))[:landmarks]
-    z = x[marks]
-    value, vector = np.linalg.eigh((z @ z.T).astype(float))
+    z = np.ascontiguousarray(presence(pa.array([texts[i] for i in marks], pa.string())).T)
+    value, vector = np.linalg.eigh((z.T @ z).astype(float))
     keep = value > 1e-6 * value[-1]
     whiten = vector[:, keep] / np.sqrt(value[keep])
-    f = (x @ z.T).astype(float) @ whiten  # Nyström features of the sample
+    whole = texts + short
+    kernel = np.vstack([kernel_values(pa.array(whole[i:i + ROWS], pa.string()), z) for i in range(0, len(whole), ROWS)])
+    f = kernel.astype(float) @ whiten  # Nyström features of the sample
     per_lang = 1.0 / np.array([langs.count(v) for v in known])
     w = per_lang[[known.index(v) for v in langs] * 2]
     w = w / w.mean()
@@ -114,7 +147,7 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     n = len(texts)
     if not model.langs or not n:
         return ["und"] * n, np.zeros(n)
-    kernel = presence(texts) @ model.landmarks.T
+    kernel = kernel_values(texts, model.landmarks)
     z = kernel @ model.coef[:-1] + model.coef[-1]
     p = np.exp(SHARP * (z - z.max(axis=1, keepdims=True)))
     p /= p.sum(axis=1, keepdims=True)
@@ -123,10 +156,13 @@ def predict(texts: pa.Array, model: Model) -> tuple[list[str], np.ndarray]:
     return [model.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)], np.where(letters, p[np.arange(n), best], 0.0)
 
 
-def fit(docs: DataFrame, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> Model:
-    """Train on a bounded sample of the rows (doc_id, text, lang) given, those with a lang."""
-    known = docs.where("lang is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    sample = labelled_sample(docs.where("lang is not null and text is not null"), first_ids(known, rows, ["lang"]), max_chars, ["lang"])
+def fit(docs: DataFrame, per_lang: int = LANG_ROWS, rows: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> Model:
+    """Train on a bounded sample of the rows (doc_id, text, lang) given, those with a lang: up to ``per_lang`` of every language, so that a seldom one is learned too.
+
+    With more than ``rows`` / ``per_lang`` languages each has an equal part of ``rows``, 20 at least.
+    """
+    known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("text").rlike(r"\p{L}"))
+    sample, _ = labelled_sample(known, "lang", per_lang, max_chars, rows)
     sample = [r for r in sample if has_letter(r.text)]
     return train([r.text for r in sample], [r.lang for r in sample])
 

@@ -10,12 +10,17 @@ A retrieved template is verified: the share of its distinct shingles found aroun
 
 Results: one row per text and template found, none for a text without one; null, empty and short texts have none. Repeated
 rows are reported each. Templates of fewer words than a shingle are refused. Of equal containments the first place counts.
-Columns other than doc_id and text are ignored. Texts longer than a stretch are read in stretches that overlap by
-``OVERLAP`` bytes, more than any window of words of common length.
+Columns other than doc_id and text are ignored. Texts longer than a stretch are read in stretches that begin with a word and overlap by
+as many words as the longest window with its margins has, however long the words are.
+
+``TEMPLATES`` holds the usual licence families: the notices that licensors ask to have written, openings of the licence texts, and the
+customary short forms, made of phrases (``short_forms``). A template's name is the licence, with what kind of wording it is after a colon. Other templates can be given, or read
+from a table with ``template_table``.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,25 +33,94 @@ from airsignal.llm.common import SLICE_BYTES, Powers, mix, range_hashes, row_sli
 SHINGLE, CONTAINMENT = 5, 0.8
 #: Bands and rows of a signature.
 BANDS, ROWS = 24, 2
-OVERLAP = 1 << 16
-
-#: Notices as licensors ask to have them written.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+#: Short names of licences, as customary lines give them.
+NAMES = {
+    "MIT": ["the MIT License", "the MIT licence", "an MIT-style license"],
+    "Apache-2.0": ["the Apache License, Version 2.0", "the Apache License 2.0", "the Apache 2.0 License", "Apache License Version 2.0"],
+    "GPL-2.0": ["the GNU General Public License, version 2", "the GNU General Public License v2.0", "the GNU GPL version 2", "the GPL v2 license"],
+    "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL version 3", "the GPL v3 license"],
+    "LGPL": ["the GNU Lesser General Public License", "the GNU LGPL version 2.1", "the GNU LGPL version 3"],
+    "AGPL-3.0": ["the GNU Affero General Public License", "the GNU AGPL version 3"],
+    "MPL-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0"],
+    "EPL-2.0": ["the Eclipse Public License 2.0", "the Eclipse Public License, version 2.0"],
+    "BSD": ["the BSD license", "the 2-clause BSD license", "the 3-clause BSD license", "a BSD-style license"],
+    "ISC": ["the ISC license"],
+    "CC-BY-4.0": ["CC BY 4.0", "a Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC-BY-ND-4.0": ["CC BY-ND 4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License"],
+    "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"],
+}
+#: How customary lines lead to the name.
+PHRASES = ["Licensed under {}", "Released under {}", "Distributed under {}", "Available under {}", "Published under {}", "is licensed under {}", "is released under {}",
+           "is distributed under {}", "are licensed under {}", "licensed under the terms of {}", "under the terms of {}", "subject to the terms of {}", "covered by {}",
+           "made available under {}", "provided under {}", "governed by {}"]
+
+#: Notices as licensors ask to have them written, and openings of the licence texts.
+NOTICES = {
+    "Apache-2.0:notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
                          "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "MIT": "Released under the MIT License.",
-    "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
-                  "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
-                  "distribute, sublicense, and/or sell copies of the Software",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
-                  "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "BSD-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "MIT:text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, "
+                "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+                "distribute, sublicense, and/or sell copies of the Software",
+    "GPL-3.0:work": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0:notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                      "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0:notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License "
+                      "as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL:warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+                    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "LGPL:notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License "
+                   "as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0:notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+                       "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0:notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+                      "You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "EPL-2.0:notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+                      "https://www.eclipse.org/legal/epl-2.0",
+    "BSD:text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD:warranty": "This software is provided by the copyright holders and contributors \"as is\" and any express or implied warranties, including, but not limited to, "
+                    "the implied warranties of merchantability and fitness for a particular purpose are disclaimed.",
+    "BSD:file": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "ISC:text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+                "copyright notice and this permission notice appear in all copies.",
+    "Unlicense:text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or "
+                      "distribute this software",
+    "CC0-1.0:notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public "
+                      "domain worldwide. This software is distributed without any warranty.",
+    "CC-BY-4.0:notice": "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit "
+                        "http://creativecommons.org/licenses/by/4.0/",
+    "CC-BY-SA-4.0:notice": "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit "
+                           "http://creativecommons.org/licenses/by-sa/4.0/",
+    "CC-BY-NC-4.0:notice": "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit "
+                           "http://creativecommons.org/licenses/by-nc/4.0/",
+    "zlib:text": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising "
+                 "from the use of this software.",
+    "BSL-1.0:notice": "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)",
 }
 
 
+def short_forms() -> dict[str, str]:
+    """Customary lines: every phrase with every name that makes at least a shingle of words."""
+    out = {}
+    for name, spelled in NAMES.items():
+        for i, n in enumerate(spelled):
+            for j, phrase in enumerate(PHRASES):
+                line = phrase.format(n)
+                if len(re.findall(r"[A-Za-z0-9]+", line)) >= SHINGLE:
+                    out[f"{name}:line {i + 1}.{j + 1}"] = line
+    return out
+
+
+TEMPLATES = NOTICES | short_forms()
+
+
+def template_table(table: DataFrame) -> dict[str, str]:
+    """Templates from a table (name, text); of several texts of one name the smallest counts. The table is the library, read whole."""
+    rows = table.where("name is not null and text is not null").groupBy("name").agg(F.min("text").alias("text")).collect()
+    return {r["name"]: r["text"] for r in rows}
+
+
 def _separators() -> np.ndarray:
     out = np.ones(256, bool)
     out[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -172,15 +246,20 @@ RESULT = "doc_id long, license string, containment double, n_matches long, start
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
-    """doc_id, license, containment (best), n_matches (places that do not overlap), start and end (code points, exclusive) of the best."""
+    """doc_id, license, containment (best), n_matches (places that do not overlap), start and end (code points, exclusive) of the best.
+
+    A license is a template's name up to a colon: all wordings of one are reported together.
+    """
     index = build(TEMPLATES if templates is None else templates)
     held = docs.sparkSession.sparkContext.broadcast(index)  # bounded by the templates
 
     def points(data: np.ndarray, a: int, b: int) -> int:
         return int(np.count_nonzero((data[a:b] & 0xC0) != 0x80))
 
+    need = max((size + 2 * max(1, size // 8) + SHINGLE for size, _, _ in index.lengths), default=SHINGLE)
+
     def stretches(data, offsets):
-        """(bytes, offsets, first row, shift of the first byte in its row)."""
+        """(bytes, offsets, first row, shift of the first byte in its row); stretches of a long row begin with a word and share ``need`` words."""
         for i, j in row_slices(offsets):
             a, b = offsets[i], offsets[j]
             if b - a <= 2 * SLICE_BYTES:
@@ -188,11 +267,19 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                 continue
             at = a  # one long row
             while True:
-                stop = min(b, at + SLICE_BYTES)
+                length = SLICE_BYTES
+                while True:
+                    stop = min(b, at + length)
+                    starts = words_of(data[at:stop], np.array([0, stop - at]), _SEPARATES)[0]
+                    if stop == b or len(starts) > 2 * need + 2:
+                        break
+                    length *= 2  # words so long that hardly any fit
+                if stop < b:
+                    stop = at + int(starts[-1])  # the last word may be cut: it is the next stretch's
                 yield data[at:stop], np.array([0, stop - at]), i, at - a
                 if stop == b:
                     break
-                at = stop - OVERLAP
+                at = at + int(starts[-1 - need])
 
     def run(batches):
         index, powers = held.value, Powers()
@@ -202,7 +289,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
             for piece, off, first, shift in stretches(data, offsets):
                 for r, t, share, a, b in find(piece, off, index, powers):
                     origin = shift - int(off[r])  # to bytes within the row
-                    found.setdefault((first + r, t), []).append((a + origin, b + origin, share))
+                    found.setdefault((first + r, index.names[t].split(":")[0]), []).append((a + origin, b + origin, share))
             rows = []
             for (r, t), spans in sorted(found.items()):
                 spans.sort()
@@ -214,7 +301,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
                 a, b, share = min(spans, key=lambda s: (-s[2], s[0], s[1]))
                 base = int(offsets[r])
                 p = points(data, base, base + a)
-                rows.append((batch.column("doc_id")[r].as_py(), index.names[t], share, count, p, p + points(data, base + a, base + b)))
+                rows.append((batch.column("doc_id")[r].as_py(), t, share, count, p, p + points(data, base + a, base + b)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
                                                  names=["doc_id", "license", "containment", "n_matches", "start", "end"])

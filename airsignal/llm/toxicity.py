@@ -1,7 +1,8 @@
 """Toxicity by a subsequence string kernel, Nyström landmarks and a support vector machine.
 
 The strings are the words of sentences: runs of non-space bytes, lower-cased in ASCII; letters spaced out one by one
-are one word, and a word over ``WORD_BYTES`` bytes is several. Two words are compared by their common subsequences of four
+are one word, and a word over ``WORD_BYTES`` bytes is the windows of ``WINDOW`` bytes in it, ``STRIDE`` apart. Words with other
+characters than letters count in three forms: as they are, their letters alone ("id*iot", "i.d.i.o.t"), and each run of letters ("/the-idiot.html"). Two words are compared by their common subsequences of four
 letters, gaps allowed up to a span of ``SPAN`` + 1 bytes, each weighted by ``DECAY`` to the power of its span, and divided by what words of
 their lengths can reach. Gaps tolerate inserted characters ("id*iot") and letters left out.
 
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airsignal.llm.common import IS_SPACE, byte_pieces, first_ids, labelled_sample, text_buffer, words_of
+from airsignal.llm.common import IS_SPACE, byte_pieces, labelled_sample, text_buffer, words_of
 
 #: Largest distance between the first and the last letter of a subsequence; weight per byte of its span.
 SPAN, DECAY = 5, 0.6
 #: Letters of a subsequence, five bits each, and the number of different ones.
 LETTERS, SIZE = 4, 1 << 20
-#: Bytes of a word; longer ones are cut.
-WORD_BYTES = 32
+#: Bytes of a word; of longer ones windows are taken, every word of WINDOW - STRIDE + 1 letters is whole in one.
+WORD_BYTES, WINDOW, STRIDE = 32, 10, 2
 #: Landmarks, training rounds and regularisation of the support vector machine.
 LANDMARKS, ROUNDS, COST = 512, 4, 16.0
 #: Bounds of the training sample: toxic rows, clean rows, characters of a text.
@@ -75,7 +76,12 @@ class Model:
 
 
 def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and row of each word; spaced-out letters are one word, long words several."""
+    """Start, end and row of each word; spaced-out letters are one word, long words several windows."""
+    return windowed(*joined_words(data, offsets))
+
+
+def joined_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and row of each word, however long; spaced-out letters are one word."""
     start, end, row = words_of(data, offsets, IS_SPACE)
     if not len(start):
         return start, end, row
@@ -84,14 +90,47 @@ def cut_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     head = np.append(True, ~joins)
     start, row = start[head], row[head]
     end = end[np.append(~joins, True)]
-    parts = -(-(end - start) // WORD_BYTES)
-    if parts.max() > 1:
-        nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-        start, end, row = np.repeat(start, parts) + nth * WORD_BYTES, np.repeat(end, parts), np.repeat(row, parts)
-        end = np.minimum(end, start + WORD_BYTES)
     return start, end, row
 
 
+def windowed(start: np.ndarray, end: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of more than ``WORD_BYTES`` bytes as overlapping windows."""
+    size = end - start
+    parts = np.where(size > WORD_BYTES, -(-(size - WINDOW) // STRIDE) + 1, 1)
+    if not len(parts) or parts.max() == 1:
+        return start, end, row
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    cut = np.repeat(parts > 1, parts)
+    stop = np.repeat(end, parts)
+    first = np.where(cut, np.minimum(np.repeat(start, parts) + nth * STRIDE, stop - WINDOW), np.repeat(start, parts))
+    return first, np.where(cut, first + WINDOW, stop), np.repeat(row, parts)
+
+
+def other_forms(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray):
+    """(bytes, start, end, row) of the further forms of words that hold other characters than letters: letters alone, and runs of letters."""
+    letter = CODE[data] > 0
+    run = np.append(0, np.cumsum(letter))
+    count = run[end] - run[start]
+    mixed = np.flatnonzero((count < end - start) & (count >= LETTERS))
+    if not len(mixed):
+        return
+    s, e, r = start[mixed], end[mixed], row[mixed]
+    inside = np.repeat(s - (np.cumsum(e - s) - (e - s)), e - s) + np.arange((e - s).sum())
+    stop = np.cumsum(count[mixed])
+    squeezed = data[inside[letter[inside]]]
+    yield squeezed, *windowed(stop - count[mixed], stop, r)
+    # runs of letters within the words
+    own = np.zeros(len(data) + 1, bool)
+    own[inside] = letter[inside]
+    edge = np.flatnonzero(np.diff(np.append(False, own).astype(np.int8)))
+    a, b = edge[::2], edge[1::2]
+    # neighbouring words do not run together: white space stands between them
+    keep = b - a >= LETTERS
+    a, b = a[keep], b[keep]
+    if len(a):
+        yield data, *windowed(a, b, r[np.searchsorted(s, a, "right") - 1])
+
+
 def bytes_left(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Bytes from each place to the end of its word, 0 outside of words."""
     size = end - start
@@ -117,20 +156,42 @@ def word_sums(data: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.n
     return (run[end] - run[start]) / REACH[end - start]
 
 
+def word_sums_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """As ``word_sums`` for words that may overlap: each counts within its own bounds."""
+    code = np.append(CODE[data].astype(np.uint32), np.zeros(SPAN + WORD_BYTES, np.uint32))
+    size = end - start
+    at = np.minimum(start[:, None] + np.arange(int(size.max()))[None, :], len(data))
+    left = size[:, None] - np.arange(at.shape[1])[None, :]
+    total = np.zeros(len(start), np.float32)
+    for a, b, c in _OFFSETS:
+        four = (code[at] << np.uint32(15)) + (code[at + a] << np.uint32(10)) + (code[at + b] << np.uint32(5)) + code[at + c]
+        total += (np.take(weight, four) * (left > c)).sum(axis=1) * np.float32(DECAY ** (c + 1))
+    return total / REACH[size]
+
+
 def word_scores(texts: pa.Array, model: Model):
     """(row, score, word start, word end, bytes) per stretch of the texts."""
     data, offsets = text_buffer(texts)
     for piece, off in byte_pieces(data, offsets):
-        start, end, row = cut_words(piece, off)
-        if len(start):
-            sums = word_sums(piece, start, end, model.weight)
-            spaced = np.flatnonzero((end - start > 1) & IS_SPACE[piece[np.minimum(start + 1, len(piece) - 1)]])
-            if len(spaced):  # letters alone, without the spaces between them
-                size = (end[spaced] - start[spaced] + 1) // 2
-                stop = np.cumsum(size)
-                letters = piece[np.repeat(start[spaced] - 2 * (stop - size), size) + 2 * np.arange(stop[-1])]
-                sums[spaced] = word_sums(letters, stop - size, stop, model.weight)
-            yield row, sums + model.bias, start, end, piece
+        start, end, row = joined_words(piece, off)
+        if not len(start):
+            continue
+        short = end - start <= WORD_BYTES
+        if short.any():
+            a, b = start[short], end[short]
+            yield row[short], word_sums(piece, a, b, model.weight) + model.bias, a, b, piece
+        units = [(piece, *windowed(start[~short], end[~short], row[~short]))]
+        spaced = np.flatnonzero((end - start > 1) & IS_SPACE[piece[np.minimum(start + 1, len(piece) - 1)]])
+        if len(spaced):  # letters alone, without the spaces between them
+            size = (end[spaced] - start[spaced] + 1) // 2
+            stop = np.cumsum(size)
+            letters = piece[np.repeat(start[spaced] - 2 * (stop - size), size) + 2 * np.arange(stop[-1])]
+            units.append((letters, *windowed(stop - size, stop, row[spaced])))
+        units += other_forms(piece, *words_of(piece, off, IS_SPACE))
+        for letters, a, b, r in units:
+            for i in range(0, len(a), 16_384):
+                a_, b_ = a[i:i + 16_384], b[i:i + 16_384]
+                yield r[i:i + 16_384], word_sums_of(letters, a_, b_, model.weight) + model.bias, a_, b_, letters
 
 
 def decisions(texts: pa.Array, model: Model) -> np.ndarray:
@@ -327,8 +388,10 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
         max_chars: int = SAMPLE_CHARS) -> Model:
     """Train on a bounded sample of the labelled rows (doc_id, toxic) given."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    chosen = first_ids(known.where("toxic = 1"), toxic_rows, ["toxic"]).unionByName(first_ids(known.where("toxic = 0"), clean_rows, ["toxic"]))
-    rows = labelled_sample(docs, chosen, max_chars, ["toxic"])
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    labelled = given.join(known, "doc_id")
+    rows = [r for value, most in ((1, toxic_rows), (0, clean_rows)) for r in labelled_sample(labelled.where(F.col("toxic") == value), "toxic", most, max_chars)[0]]
+    rows.sort(key=lambda r: r.doc_id)
     return train([r.text for r in rows], [r.toxic for r in rows])
 
 

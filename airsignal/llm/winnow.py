@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from airsignal.llm.common import Powers, mix, saved, shuffle_partitions
 
 #: Code points of a gram and hashes of a window.
-GRAM, WINDOW = 16, 48
+GRAM, WINDOW = 8, 16
 #: Code points hashed at once; longer texts are done in stretches that overlap by a gram and a window.
 STRETCH = 1 << 18
 

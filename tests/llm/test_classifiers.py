@@ -82,7 +82,40 @@ def test_gaps_and_inserted_characters(toxic_model):
         assert p(f"The {w} and.") > 0.5 > clean
         assert p(f"The {' '.join(w)} and.") > 0.5, w  # spaced out
         assert p(f"The {w[:2] + w[1:]} and.") > 0.5, w  # a letter doubled
-        assert p(f"The {w[:3]}*{w[3:]} and.") > 3 * clean, w  # a character inserted
+        for k in range(1, len(w)):
+            assert p(f"The {w[:k]}*{w[k:]} and.") > 0.5, w  # a character inserted
+        for form in (f"http://the.or/{w}-and.html", f"the-{w}_and", f"{'-'.join(w)}", f"theor{w}ingre" + "and" * 12 if len(w) < 7 else w):
+            assert p(f"The {form} and.") > 0.5, form  # in a url, between signs, in a long run of letters
+
+
+def test_production_model_finds_inserted_characters(spark):
+    """The query's model on its own toxic words: with a character inserted anywhere they still pass 0.5, and clean words with signs in them do not."""
+    from airsignal.llm.common import crc_mod
+
+    docs, labels = table(spark, SF01, "documents"), table(spark, SF01, "labels")
+    model = toxicity.fit(docs, labels.where(crc_mod("doc_id", 5) != 0))
+    p = lambda t: float(toxicity.probabilities(toxicity.decisions(pa.array([t]), model), model)[0])
+    known = [w for w in ("idiot", "stupid", "clown", "scoundrel", "moron", "loser") if p(f"the {w} and") > 0.5]
+    assert len(known) >= 3
+    missed = [(w, k) for w in known for k in range(1, len(w)) if p(f"the {w[:k]}*{w[k:]} and") <= 0.5]
+    assert not missed, missed
+    clean = [p(f"the {w[:2]}*{w[2:]} and-the.other/thing") for w in ("thing", "other", "nation", "there", "station", "within")]
+    assert max(clean) < 0.5
+
+
+def test_long_words_overlap():
+    start, end, _ = toxicity.windowed(np.array([0, 5]), np.array([5, 105]), np.array([0, 0]))
+    assert (end - start)[1:].tolist() == [toxicity.WINDOW] * (len(start) - 1) and end[-1] == 105
+    for a in range(5, 105 - 9 + 1):  # every word of 9 letters is whole in one window
+        assert any(s <= a and a + 9 <= e for s, e in zip(start, end))
+
+
+def test_sums_of_overlapping_words():
+    rng = np.random.default_rng(0)
+    data = np.frombuffer(b"some words and a much longerwordthanothers i-s-h", np.uint8)
+    weight = rng.normal(size=toxicity.SIZE).astype(np.float32)
+    start, end, _ = toxicity.cut_words(data, np.array([0, len(data)]))
+    assert np.allclose(toxicity.word_sums(data, start, end, weight), toxicity.word_sums_of(data, start, end, weight), atol=1e-4)
 
 
 def test_toxicity_held_out(spark, labels):
@@ -175,6 +208,33 @@ def test_language_held_out(spark):
     assert np.mean([r.lang_pred == truth[r.doc_id] for r in out]) > 0.95
 
 
+def test_seldom_and_long_languages_are_learned(spark):
+    """At any size of the table: 4 rows among 20,000, and a language whose texts are all long."""
+    rows = [(k, "the cat and the dog are in the house " * 2, "en") for k in range(20000)] + [(30000 + k, "il gatto e la casa sono nel giardino " * 2, "it") for k in range(4)]
+    rows += [(40000 + k, "een hond het huis niet voor ook maar " * 400, "nl") for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    assert model.langs == ["en", "it", "nl"]
+    got, _ = language.predict(pa.array(["il gatto e la casa", "een hond het huis", "the dog"]), model)
+    assert got == ["it", "nl", "en"]
+
+
+def test_sparse_kernel_values():
+    texts = pa.array(["the cat and the hat", "", None, "une maison", "x" * 50])
+    z = np.random.default_rng(0).random((language.GRAMS, 7)).astype(np.float32)
+    assert np.allclose(language.kernel_values(texts, z), language.presence(texts) @ z, atol=1e-5)
+
+
+def test_long_texts_of_other_languages_stay_apart():
+    """Tens of thousands of different words: presence does not fill the buckets."""
+    rng = np.random.default_rng(1)
+    word = lambda letters: "".join(rng.choice(list(letters), rng.integers(3, 9)))
+    long = {v: " ".join(word(a) for _ in range(15000)) for v, a in (("one", "abcdefghijklmn"), ("two", "ghijklmnopqrst"))}
+    model = language.train([" ".join(t.split()[i:i + 40]) for t in long.values() for i in range(0, 2000, 40)], [v for v in long for _ in range(50)])
+    got, _ = language.predict(pa.array(list(long.values())), model)
+    assert got == ["one", "two"]
+
+
 def test_language_edges(spark, edges, empty):
     model = language.train(["the cat and the dog " * 5, "der hund und die katze " * 5, "le chat et les chiens " * 5], ["en", "de", "fr"])
     rows = {r.doc_id: r for r in language.identify(edges, model).collect()}
