@@ -6,3 +6,10 @@ columns every window is partitioned by) and ``ts`` (the order column).
 """
 
 __version__ = "0.1.0"
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run inside of Spark tasks are pickled by value: executors need numpy, pandas and pyarrow, not this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

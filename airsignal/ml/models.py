@@ -1,9 +1,8 @@
 """Training, scoring and model management with Spark ML.
 
-Training data is a DataFrame of feature columns plus a label; estimators are
-Spark ML's (tree aggregation runs distributed). The only custom transform is the
-random Fourier feature map that stands in for the kernel SVR (Spark ML has no
-kernel SVM): an Arrow-batched pandas UDF doing one matrix product per batch.
+Training data is a DataFrame of feature columns plus a label. Forest and linear models are
+Spark ML's; boosted trees with second-order leaves (``boost``) and the kernel regression with the
+epsilon-insensitive loss (``kernel``) are distributed sums over packed rows, as Spark ML has neither.
 """
 
 from __future__ import annotations
@@ -15,15 +14,14 @@ import re
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
+from airsignal.ml import boost, kernel
+from airsignal.ml.trees import Trees
 from airsignal.session import reliable
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -159,11 +157,9 @@ def fit_random_forest(train: DataFrame, num_trees: int = 100, max_depth: int = 1
 
 
 def fit_gbt(train: DataFrame, max_iter: int = 100, max_depth: int = 6, step: float = 0.1,
-            subsample: float = 0.8, seed: int = SEED):
-    """Reference: 100 boosted trees, depth 6, rate 0.1, row and column sampling 0.8."""
-    return GBTRegressor(maxIter=max_iter, maxDepth=max_depth, stepSize=step, subsamplingRate=subsample,
-                        featureSubsetStrategy="0.8", seed=seed, maxMemoryInMB=_tree_memory(train),
-                        cacheNodeIds=True, checkpointInterval=10).fit(train)
+            subsample: float = 0.8, columns: float = 0.8, l2: float = 1.0, seed: int = SEED) -> boost.NewtonTrees:
+    """Reference: 100 boosted trees with second-order leaves, depth 6, rate 0.1, row and column sampling 0.8 per tree."""
+    return boost.fit(train, max_iter, max_depth, step, subsample, columns, l2, seed=seed)
 
 
 def _label_stats(train: DataFrame) -> tuple[float, int]:
@@ -187,55 +183,10 @@ def fit_lasso(train: DataFrame, alpha: float = 1.0):
     return LinearRegression(regParam=alpha, elasticNetParam=1.0, standardization=False).fit(train)
 
 
-class RandomFourierModel:
-    """phi(x) = sqrt(2/D) cos(x W + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi), then a linear fit on phi.
-
-    An approximation of an RBF kernel machine (Rahimi & Recht, 2007); the loss
-    is Huber (robust like the SVR's epsilon-insensitive loss, not equal to it).
-    """
-
-    def __init__(self, w: np.ndarray, b: np.ndarray, linear):
-        self.w, self.b, self.linear = w, b, linear
-
-    def map_features(self, df: DataFrame, features: str = "features", out: str = "rff") -> DataFrame:
-        w, b = self.w, self.b
-        scale = math.sqrt(2.0 / w.shape[1])
-
-        @F.pandas_udf(ArrayType(DoubleType()))
-        def rff(x: pd.Series) -> pd.Series:
-            m = np.vstack(x.to_numpy()) if len(x) else np.zeros((0, w.shape[0]))
-            z = scale * np.cos(m @ w + b)
-            return pd.Series(list(z))
-
-        return df.withColumn(out, array_to_vector(rff(vector_to_array(F.col(features)))))
-
-    def transform(self, df: DataFrame) -> DataFrame:
-        mapped = self.map_features(df)
-        return self.linear.transform(mapped.withColumnRenamed("features", "__orig_features")
-                                     .withColumnRenamed("rff", "features")) \
-            .drop("features").withColumnRenamed("__orig_features", "features")
-
-
-def fit_kernel_approx(train: DataFrame, gamma: float | str = "scale", n_components: int = 100,
-                      seed: int = SEED, reg: float = 1e-3) -> RandomFourierModel:
-    """Stand-in for SVR(kernel='rbf', C=1, gamma='scale'); gamma 'scale' = 1 / (d * var(X))."""
-    arr = vector_to_array(F.col("features"))
-    d = int(train.select(F.size(arr)).first()[0])
-    if gamma == "scale":  # variance of all entries, from the columns' means and variances: one pass, no explode
-        from pyspark.ml.stat import Summarizer
-
-        r = train.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("features")).alias("s")).first()["s"]
-        n, mean = int(r["count"]), r["mean"].toArray()
-        within = r["variance"].toArray() * (n - 1) / n if n > 1 else np.zeros_like(mean)
-        st = float(np.mean(within + mean ** 2) - np.mean(mean) ** 2)
-        gamma = 1.0 / (d * st) if st > 0 else 1.0
-    rng = np.random.default_rng(seed)
-    w = rng.normal(0.0, math.sqrt(2.0 * float(gamma)), size=(d, int(n_components)))
-    b = rng.uniform(0.0, 2 * math.pi, size=int(n_components))
-    model = RandomFourierModel(w, b, None)
-    mapped = model.map_features(train).select(F.col("rff").alias("features"), "label")
-    model.linear = LinearRegression(loss="huber", regParam=reg, standardization=True).fit(mapped)
-    return model
+def fit_kernel_approx(train: DataFrame, gamma: float | str = "scale", n_components: int = 256,
+                      seed: int = SEED, c: float = 1.0, epsilon: float = 0.1) -> kernel.KernelModel:
+    """SVR(kernel='rbf', C=1, gamma='scale') on ``n_components`` landmarks; features and label are standardised first."""
+    return kernel.fit(train, n_components, gamma, c, epsilon, seed)
 
 
 ESTIMATORS: dict[str, Callable[[DataFrame], object]] = {
@@ -296,10 +247,11 @@ def registry_save(model, name: str, scores: Mapping[str, float], feature_cols: S
 
     spark = SparkSession.getActiveSession()
     folder = f"{path}/models/{_run_folder(run_ts)}/{name}"
-    if isinstance(model, RandomFourierModel):
-        model.linear.write().overwrite().save(f"{folder}/linear")
-        spark.createDataFrame([(json.dumps({"w": model.w.tolist(), "b": model.b.tolist()}),)], "params string") \
-            .write.mode("overwrite").json(f"{folder}/rff")
+    if isinstance(model, (kernel.KernelModel, boost.NewtonTrees)):
+        params = model.params() if isinstance(model, kernel.KernelModel) else {
+            "width": model.width, "gains": model.gains.tolist(),
+            "trees": {k: v.tolist() if isinstance(v, np.ndarray) else v for k, v in model.trees.__dict__.items()}}
+        spark.createDataFrame([(json.dumps(params),)], "params string").write.mode("overwrite").json(folder)
     else:
         model.write().overwrite().save(folder)
     meta = spark.createDataFrame([(name, run_ts, type(model).__name__, json.dumps(dict(scores)), list(feature_cols))],
@@ -348,12 +300,12 @@ def registry_load(spark, path: str, name: str | None = None, run_ts: str | None
     if row is None:
         return None, None
     cls, folder = row["model_class"], f"{path}/models/{_run_folder(run_ts)}/{row['model_name']}"
-    if cls == "RandomFourierModel":
-        from pyspark.ml.regression import LinearRegressionModel
-
-        p = json.loads(spark.read.json(f"{folder}/rff").first()["params"])
-        lin = LinearRegressionModel.load(f"{folder}/linear")
-        return row["model_name"], RandomFourierModel(np.array(p["w"]), np.array(p["b"]), lin)
+    if cls in ("KernelModel", "NewtonTrees"):
+        p = json.loads(spark.read.schema("params string").json(folder).first()["params"])
+        if cls == "KernelModel":
+            return row["model_name"], kernel.KernelModel(p["mean"], p["scale"], p["marks"], p["whiten"], p["w"], p["b"], p["gamma"], p["label_mean"], p["label_scale"])
+        t = Trees(**{k: np.array(v) if isinstance(v, list) else v for k, v in p["trees"].items()})
+        return row["model_name"], boost.NewtonTrees(t, p["width"], np.array(p["gains"]))
     mod, _, kls = _LOADERS[cls].rpartition(".")
     return row["model_name"], getattr(__import__(mod, fromlist=[kls]), kls).load(folder)
 
@@ -386,38 +338,93 @@ def evaluate_recent(features: DataFrame, prep: PipelineModel, model, hours: floa
     return evaluate(scored, "label", "prediction", keys)
 
 
+from airsignal.operators.quantiles import exact_quantiles  # noqa: E402
 from airsignal.operators.series import attach_row, join_null_safe  # noqa: E402
 
 
 # --- 86, 88: cross validation and scaling -----------------------------------------------------
 
+def rolling_folds(df: DataFrame, folds: int = 3, gap_hours: float = 168.0, first: float = 0.4, ts: str = "ts") -> DataFrame:
+    """(row columns, fold, part): rolling-origin folds. Fold k validates on the k-th of ``folds`` equal spans after the first ``first`` of the time range, and trains on
+    all rows at least ``gap_hours`` before that span, so no frame of a validation row reaches into the training rows (the longest
+    has 168 rows, hours on a regular grid). Rows in a gap, and those after the span, are in no part of the fold.
+
+    The only numbers that the driver sees are the first and last time. A row can be in several folds.
+    """
+    if folds < 1 or not 0 < first < 1 or gap_hours < 0:
+        raise ValueError("folds >= 1, 0 < first < 1 and gap_hours >= 0 are needed")
+    from airsignal.operators.series import order_number
+
+    t = order_number(df, ts)
+    low, high = df.agg(F.min(t), F.max(t)).first()
+    if low is None:
+        return df.limit(0).withColumns({"fold": F.lit(0), "part": F.lit("train")})
+    span = high - low + 1
+    cuts = [low + int(span * (first + (1 - first) * k / folds)) for k in range(folds + 1)]
+    gap = int(round(gap_hours * 3_600_000_000))
+    part = lambda k: F.when(t < F.lit(cuts[k] - gap), "train").when((t >= F.lit(cuts[k])) & (t < F.lit(cuts[k + 1])), "validation")
+    each = F.array(*[F.struct(F.lit(k).alias("fold"), part(k).alias("part")) for k in range(folds)])
+    return df.withColumn("__f", F.explode(F.filter(each, lambda x: x.getField("part").isNotNull()))).select(*df.columns, "__f.fold", "__f.part")
+
+
+class CrossValidated:
+    """Scores of every parameter set and fold, and the best set fitted on all rows."""
+
+    def __init__(self, params: list[dict], scores: list[list[float]], bestModel) -> None:
+        self.params, self.foldMetrics, self.bestModel = params, scores, bestModel
+        self.avgMetrics = [float(np.mean(s)) if s else float("inf") for s in scores]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.bestModel.transform(df)
+
+
 def cross_validate(train: DataFrame, estimator, grid: Mapping[str, Sequence] | None = None, folds: int = 5,
-                   seed: int = SEED):
-    """k-fold CV over a parameter grid with Spark's CrossValidator (rmse)."""
+                   seed: int = SEED, ts: str | None = None, gap_hours: float = 168.0, first: float = 0.4):
+    """Cross validation over a parameter grid (rmse).
+
+    With ``ts`` by rolling origin (``rolling_folds``): validation respects time and the frames' reach; folds without training or validation rows are left out. Without
+    it k random folds with Spark's CrossValidator, for rows that do not depend on one another (lags and frames of neighbours leak through random folds).
+    """
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 
     b = ParamGridBuilder()
     for pname, values in (grid or {}).items():
         b = b.addGrid(estimator.getParam(pname), list(values))
-    cv = CrossValidator(estimator=estimator, estimatorParamMaps=b.build(),
-                        evaluator=RegressionEvaluator(metricName="rmse"), numFolds=folds, seed=seed, parallelism=2)
-    return cv.fit(train)
+    params, judge = b.build(), RegressionEvaluator(metricName="rmse")
+    if ts is None:
+        cv = CrossValidator(estimator=estimator, estimatorParamMaps=params, evaluator=judge, numFolds=folds, seed=seed, parallelism=2)
+        return cv.fit(train)
+    rows = reliable(rolling_folds(train, folds, gap_hours, first, ts))
+    sizes = {(r.fold, r.part): r["count"] for r in rows.groupBy("fold", "part").count().collect()}
+    scores: list[list[float]] = [[] for _ in params]
+    for k in range(folds):
+        if sizes.get((k, "train"), 0) and sizes.get((k, "validation"), 0):
+            own, val = (rows.filter((F.col("fold") == k) & (F.col("part") == p)) for p in ("train", "validation"))
+            for i, p in enumerate(params):
+                scores[i].append(judge.evaluate(estimator.fit(own, p).transform(val)))
+    if not any(scores):
+        raise ValueError("no fold has both training and validation rows: fewer folds, a later start or a smaller gap")
+    means = [float(np.mean(s)) for s in scores]
+    return CrossValidated(params, scores, estimator.fit(train, params[int(np.argmin(means))]))
 
 
 def scale_features(df: DataFrame, cols: Sequence[str], kind: str = "standard", keys: Sequence[str] = ()) -> DataFrame:
     """standard: (x - mean) / sample sd; robust: (x - median) / IQR (exact, interpolated quantiles).
 
-    A column that does not vary (sd or IQR 0) is only centred; with one row the sd counts as 0. Statistics come
-    from one aggregate (one row per key group) joined back. The exact quantiles count equal values together; for
-    columns of a continuous measure ``kind="robust_approx"`` bounds their memory (relative error 1e-4).
+    A column that does not vary (sd or IQR 0) is only centred; with one row the sd counts as 0. Statistics
+    (one row per key group) are joined back. The exact quantiles come from narrowing histograms (:mod:`airsignal.operators.quantiles`),
+    in bounded memory whatever the number of values; ``kind="robust_approx"`` reads the rows once instead (relative error 1e-4).
     """
     keys = list(keys)
     if kind == "standard":
         stats = df.groupBy(*keys).agg(*[x for c in cols for x in (F.avg(c).alias(f"__c_{c}"),
                                                                     F.stddev_samp(c).alias(f"__s_{c}"))])
-    elif kind in ("robust", "robust_approx"):
-        q = (lambda c, p: F.percentile(c, p)) if kind == "robust" else (lambda c, p: F.percentile_approx(c, p, 10000))
+    elif kind == "robust":
+        stats = exact_quantiles(df, cols, (0.25, 0.5, 0.75), keys).select(*keys, *[x for k, c in enumerate(cols) for x in (
+            F.col(f"q{k}_1").alias(f"__c_{c}"), (F.col(f"q{k}_2") - F.col(f"q{k}_0")).alias(f"__s_{c}"))])
+    elif kind == "robust_approx":
+        q = lambda c, p: F.percentile_approx(c, p, 10000)
         stats = df.groupBy(*keys).agg(*[x for c in cols for x in (
             q(c, 0.5).alias(f"__c_{c}"), (q(c, 0.75) - q(c, 0.25)).alias(f"__s_{c}"))])
     else:

@@ -189,11 +189,9 @@ def q_fit_lasso(spark, sf):
     return _fit_check(spark, sf, "lasso", M.fit_lasso(_train(spark, sf), 0.1))
 
 
-@register("fit_kernel_approx", _fit_sql("kernel", "NULL::BOOLEAN"))
+@register("fit_kernel_approx", _fit_sql("kernel"))
 def q_fit_kernel_approx(spark, sf):
-    """The approximation need not beat the mean on unscaled features, so ``learns`` is left out."""
-    model = M.fit_kernel_approx(_train(spark, sf), "scale", 100, 42)
-    return _fit_check(spark, sf, "kernel", model).withColumn("learns", F.lit(None).cast("boolean"))
+    return _fit_check(spark, sf, "kernel", M.fit_kernel_approx(_train(spark, sf)))
 
 
 _MODELS_SQL = "(VALUES " + ", ".join(f"({k}, '{m}')" for k, m in enumerate(M.ESTIMATORS)) + ") AS m(position, model)"
@@ -284,14 +282,31 @@ def q_evaluate_recent_best(spark, sf):
 
 
 @register("cross_validate", oracle([OBS_WIDE_SQL, _SIZES_SQL], """
-SELECT 2 AS n_params, true AS scores_finite, held - test AS n_finite FROM sizes""", []))
+SELECT 2 AS n_params, 3 AS n_folds, true AS scores_finite, held - test AS n_finite FROM sizes""", []))
 def q_cross_validate(spark, sf):
+    """Two parameters over three rolling-origin folds of the training part."""
     from pyspark.ml.regression import LinearRegression
 
-    cv = M.cross_validate(_train(spark, sf), LinearRegression(), {"regParam": [0.01, 1.0]}, 5)
-    ok = len(cv.avgMetrics) == 2 and all(0 <= v < float("inf") for v in cv.avgMetrics)
-    return cv.bestModel.transform(prepared(spark, sf)[1]).agg(
-        F.lit(len(cv.avgMetrics)).alias("n_params"), F.lit(ok).alias("scores_finite"), F.count(F.when(finite("prediction"), 1)).alias("n_finite"))
+    cv = M.cross_validate(prepared(spark, sf)[0].select("ts", "features", "label"), LinearRegression(), {"regParam": [0.01, 1.0]}, 3, ts="ts")
+    ok = len(cv.avgMetrics) == 2 and all(0 <= v < float("inf") for s in cv.foldMetrics for v in s)
+    return cv.transform(prepared(spark, sf)[1]).agg(
+        F.lit(len(cv.avgMetrics)).alias("n_params"), F.lit(len(cv.foldMetrics[0])).alias("n_folds"), F.lit(ok).alias("scores_finite"),
+        F.count(F.when(finite("prediction"), 1)).alias("n_finite"))
+
+
+@register("cross_validate_folds", oracle([OBS_WIDE_SQL, """t AS (SELECT location_id, ts, epoch_us(ts) AS u FROM obs_wide)""", """b AS (SELECT min(u) AS low, max(u) - min(u) + 1 AS span FROM t)""",
+    """c AS (SELECT k AS fold, low + CAST(floor(span * (0.4::DOUBLE + (1 - 0.4::DOUBLE) * k / 3)) AS BIGINT) AS a,
+  low + CAST(floor(span * (0.4::DOUBLE + (1 - 0.4::DOUBLE) * (k + 1) / 3)) AS BIGINT) AS z FROM b, range(0, 3) AS g(k))""", """f AS (
+  SELECT location_id, ts, u, CAST(fold AS INTEGER) AS fold, CASE WHEN u < a - 168 * 3600000000 THEN 'train' ELSE 'validation' END AS part
+  FROM t, c WHERE u < a - 168 * 3600000000 OR (u >= a AND u < z))""", """s AS (
+  SELECT fold, max(u) FILTER (WHERE part = 'train') AS trained, min(u) FILTER (WHERE part = 'validation') AS begins FROM f GROUP BY fold)"""],
+    "SELECT location_id, ts, f.fold, part, s.begins - s.trained > 168 * 3600000000 AS apart FROM f JOIN s ON f.fold = s.fold", []))
+def q_cross_validate_folds(spark, sf):
+    """Folds of every row; no training row stands within the gap of its fold's validation rows."""
+    rows = M.rolling_folds(obs_wide(spark, sf).select(*KEY), 3, 168.0, 0.4, "ts")
+    u = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = rows.groupBy("fold").agg(F.max(F.when(F.col("part") == "train", u)).alias("trained"), F.min(F.when(F.col("part") == "validation", u)).alias("begins"))
+    return rows.join(F.broadcast(ends), "fold").select(*KEY, "fold", "part", (F.col("begins") - F.col("trained") > 168 * 3_600_000_000).alias("apart"))
 
 
 _SC = ["pm25", "temperature", "aqi"]

@@ -72,12 +72,11 @@ def q_feature_read(spark, sf):
     return ST.feature_read(spark, path, hours=48, as_of="2024-01-30 00:00:00", columns=_FEATS)
 
 
-@register("feature_write_json", oracle([OBS_WIDE_SQL], _FEAT_SQL + """
-WHERE ts >= TIMESTAMP '2024-01-30 00:00:00' - INTERVAL 48 HOUR""", SERIES))
+@register("feature_write_json", oracle([OBS_WIDE_SQL], _FEAT_SQL, SERIES))
 def q_feature_write_json(spark, sf):
     path = scratch_path(spark, "features")
     ST.feature_write(obs_wide(spark, sf), path, "aqi", K, "ts", as_json=True)
-    return ST.feature_read(spark, path, hours=48, as_of="2024-01-30 00:00:00", columns=_FEATS)
+    return ST.feature_read(spark, path, columns=_FEATS)
 
 
 @register("feature_merge", oracle([OBS_WIDE_SQL], "SELECT location_id, ts, " + ", ".join(
