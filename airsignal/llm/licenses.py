@@ -41,7 +41,7 @@ NAMES = {
     "GPL-3.0": ["the GNU General Public License, version 3", "the GNU General Public License v3.0", "the GNU GPL version 3", "the GPL v3 license"],
     "LGPL": ["the GNU Lesser General Public License", "the GNU LGPL version 2.1", "the GNU LGPL version 3"],
     "AGPL-3.0": ["the GNU Affero General Public License", "the GNU AGPL version 3"],
-    "MPL-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0"],
+    "MPL-2.0": ["the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "the Mozilla Public License, v. 2.0"],
     "EPL-2.0": ["the Eclipse Public License 2.0", "the Eclipse Public License, version 2.0"],
     "BSD": ["the BSD license", "the 2-clause BSD license", "the 3-clause BSD license", "a BSD-style license"],
     "ISC": ["the ISC license"],
@@ -260,7 +260,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
 
     def stretches(data, offsets):
         """(bytes, offsets, first row, shift of the first byte in its row); stretches of a long row begin with a word and share ``need`` words."""
-        for i, j in row_slices(offsets):
+        for i, j in row_slices(offsets, SLICE_BYTES):
             a, b = offsets[i], offsets[j]
             if b - a <= 2 * SLICE_BYTES:
                 yield data[a:b], offsets[i:j + 1] - a, i, 0

@@ -58,7 +58,7 @@ def test_edited_notices(spark):
     filler = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(4)) for _ in range(n))
     rows = []
     for k in range(150):
-        name = rnd.choice(sorted(licenses.TEMPLATES))
+        name = rnd.choice(sorted(licenses.NOTICES))
         w = licenses.TEMPLATES[name].split()
         for _ in range(rnd.randint(0, 2)):
             w[rnd.randrange(len(w))] = "changed"
