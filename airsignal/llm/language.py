@@ -33,7 +33,7 @@ LANDMARKS, RIDGE, SHARP = 256, 1e-3, 6.0
 #: Bounds of the training sample: rows of a language and of all, characters of a text; words of the short copies.
 LANG_ROWS, SAMPLE_ROWS, SAMPLE_CHARS, SHORT_WORDS = 750, 3_000, 10_000, 8
 #: Rows scored at once.
-ROWS = 512
+ROWS = 256
 
 def _fold() -> np.ndarray:
     """Letters and bytes of multi-byte characters stand, capitals become small, all else separates words."""
@@ -52,59 +52,32 @@ def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
 
-def gram_pairs(texts: pa.Array, grams: int = GRAMS) -> tuple[np.ndarray, np.ndarray]:
-    """(row, bucket) of every n-gram that a text contains, each bucket once, ordered by row."""
+def presence(texts: pa.Array, grams: int = GRAMS) -> np.ndarray:
+    """1 where a text contains an n-gram of the bucket, rows scaled to length 1."""
     data, offsets = text_buffer(texts)
-    found = [np.zeros(0, np.int64)]
+    out = np.zeros((len(texts), grams), np.float32)
     shift = np.uint32(32 - int(grams - 1).bit_length())
     for piece, off in byte_pieces(data, offsets):
         n, c = len(piece), np.append(FOLD[piece], np.zeros(LONGEST, np.uint32))
         size = np.diff(off)
         row = np.repeat(np.arange(len(texts)) * grams, size)
         left = np.repeat(off[1:], size) - np.arange(n)  # bytes to the end of the text
-        code, inside, starts, keys = np.zeros(n, np.uint32), np.ones(n, bool), np.ones(n, bool), []
+        code, inside, starts = np.zeros(n, np.uint32), np.ones(n, bool), np.ones(n, bool)
         for k in range(LONGEST):
             inside &= (c[k:k + n] > 0) & (left > k)  # a gram ends with its word and is padded there
             code = code * np.uint32(257) + c[k:k + n] * inside
             if k < 2:
                 starts &= inside
             ok = np.flatnonzero(starts)
-            keys.append(row[ok] + (((code[ok] + np.uint32(k)) * np.uint32(2654435761)) >> shift).astype(np.int64))
-        seen = np.zeros(len(texts) * grams, bool) if len(texts) * grams < (1 << 25) else None
-        if seen is None:
-            found.append(np.unique(np.concatenate(keys)))
-        else:  # as many rows as are scored at once: marks are cheaper than sorting
-            for key in keys:
-                seen[key] = True
-            found.append(np.flatnonzero(seen))
-    key = found[-1] if len(found) == 2 else np.unique(np.concatenate(found))
-    return key // grams, key % grams
-
-
-def presence(texts: pa.Array, grams: int = GRAMS) -> np.ndarray:
-    """1 where a text contains an n-gram of the bucket, rows scaled to length 1."""
-    out = np.zeros((len(texts), grams), np.float32)
-    row, bucket = gram_pairs(texts, grams)
-    out[row, bucket] = 1
+            h = ((code[ok] + np.uint32(k)) * np.uint32(2654435761)) >> shift
+            out.reshape(-1)[row[ok] + h] = 1
     out /= np.maximum(np.sqrt(out.sum(axis=1, keepdims=True)), 1)
     return out
 
 
 def kernel_values(texts: pa.Array, landmarks: np.ndarray) -> np.ndarray:
-    """Presence of each text times the landmarks (buckets x landmarks), without the buckets that a text lacks."""
-    out = np.zeros((len(texts), landmarks.shape[1]), np.float32)
-    row, bucket = gram_pairs(texts, len(landmarks))
-    size = np.bincount(row, minlength=len(texts))
-    end = np.cumsum(size)
-    i = 0
-    while i < len(texts):  # about 20,000 buckets at once
-        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + 20_000, "right")))
-        own = np.flatnonzero(size[i:j]) + i
-        if len(own):
-            a, b = end[i] - size[i], end[j - 1]
-            out[own] = np.add.reduceat(landmarks[bucket[a:b]], end[own] - size[own] - a, axis=0)
-        i = j
-    return out / np.maximum(np.sqrt(size), 1)[:, None].astype(np.float32)
+    """Presence of each text times the landmarks (buckets x landmarks): one matrix product."""
+    return presence(texts, len(landmarks)) @ landmarks
 
 
 @dataclass
