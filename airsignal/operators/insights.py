@@ -133,9 +133,10 @@ def max_forecast_category(forecast: DataFrame, keys: Sequence[str] = (), value:
 
 
 def latest_reading(df: DataFrame, keys: Sequence[str] = (), ts: str = "ts") -> DataFrame:
-    """The newest row of each key (``max_by`` of the whole row, no sort)."""
+    """The newest row of each key (``max_by`` of the whole row, no sort); of rows of equal time the largest by the other columns, in their order."""
     others = [c for c in df.columns if c not in keys]
-    row = F.max_by(F.struct(*[F.col(c) for c in others]), F.col(ts)).alias("__row")
+    ranked = [c for c, t in df.dtypes if c in others and c != ts and "map<" not in t and t not in ("variant", "void")]
+    row = F.max_by(F.struct(*[F.col(c) for c in others]), F.when(F.col(ts).isNotNull(), F.struct(ts, *ranked))).alias("__row")
     return df.groupBy(*keys).agg(row).select(*keys, *[F.col(f"__row.{c}").alias(c) for c in others])
 
 

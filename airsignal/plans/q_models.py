@@ -41,8 +41,11 @@ _STORED: dict[tuple, object] = {}
 
 
 def _once(spark, sf, what, make):
-    """Made once per session and table folder: features are stored and models fitted once, then used by many queries."""
-    key = (spark.sparkContext.applicationId, sf, what)
+    """Made once per session and state of the table: features are stored and models fitted once, then used by many queries."""
+    table = spark._jvm.org.apache.hadoop.fs.Path(f"{sf.rstrip('/')}/events.parquet")
+    fs = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(table))
+    key = (spark.sparkContext.applicationId, sf, tuple(files), what)
     if key not in _STORED:
         _STORED[key] = make()
     return _STORED[key]
