@@ -65,9 +65,9 @@ def pct_from_filled(plan: SeriesPlan, filled: dict[str, str]) -> dict[str, Colum
 # --- walks over sorted series (linear time) ---------------------------------------
 
 def floating(df: DataFrame, cols: Sequence[str]) -> bool:
-    """Whether all the columns are double or float, as the walks take them."""
+    """Whether all the columns are double or float, as the walks take them, and no name needs quotes within a name (Arrow functions refuse those)."""
     types = dict(df.dtypes)
-    return bool(cols) and all(types[c] in ("double", "float") for c in cols)
+    return bool(cols) and all(types[c] in ("double", "float") for c in cols) and not any("`" in c or "." in c for c in df.columns)
 
 
 def seed_rows(values: DataFrame, keys: Sequence[str], names: Sequence[str], lasts: Sequence[str] | None, firsts: Sequence[str] | None) -> DataFrame:
