@@ -98,29 +98,38 @@ def first_ids_per(ids: DataFrame, max_rows: int, label: str, all_rows: int | Non
 LONG_ROWS = 20
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, max_chars: int, all_rows: int | None = None) -> tuple[list, dict]:
+def labelled_sample(docs: DataFrame, known: DataFrame, label: str, per_label: int, max_chars: int, all_rows: int | None = None) -> tuple[list, dict]:
     """((doc_id, text, label) ordered by doc_id; rows of each label): at most ``per_label`` texts of every label, in the order of a hash of doc_id.
 
-    ``rows`` has doc_id, text and the label. Texts over ``max_chars`` characters are left out before any is chosen, so every label keeps its share of the sample;
-    a label with long texts only has ``LONG_ROWS`` of the shortest instead, their first ``max_chars`` characters. Only the ids chosen are
-    broadcast, and one scan fetches the texts. Of several texts or labels of one doc_id the smallest counts. What comes to the driver is
-    bounded by the parameters and the number of labels.
+    ``known`` has doc_id, the label and the text's characters (``chars``, not null), without texts: only these few numbers are joined and ranked. Texts over ``max_chars``
+    characters are left out before any is chosen, so every label keeps its share of the sample; a label with long texts only has ``LONG_ROWS`` of the shortest instead, their
+    first ``max_chars`` characters. The ids chosen are broadcast, and one scan of ``docs`` fetches the texts. Of several texts or labels of one
+    doc_id the smallest counts. What comes to the driver is bounded by the parameters and the number of labels.
     """
-    own = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(label).alias(label)).where(
-        F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col("text").isNotNull())
-    fits = F.char_length("text") <= max_chars
+    own = known.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias(label), "chars").where(
+        F.col("doc_id").isNotNull() & F.col(label).isNotNull() & F.col("chars").isNotNull())
+    own = saved(own, "labels")
+    fits = F.col("chars") <= max_chars
     sizes = {r[0]: (r[1], r[2]) for r in own.groupBy(label).agg(F.count(F.lit(1)), F.count(F.when(fits, 1))).collect()}  # a row per label
     chosen, _ = first_ids_per(own.where(fits).select("doc_id", label), per_label, label, all_rows)
     long_only = [v for v, (_, short) in sizes.items() if not short]
     if long_only:
-        rank = F.row_number().over(Window.partitionBy(label).orderBy(F.char_length("text"), F.xxhash64("doc_id"), "doc_id"))
+        rank = F.row_number().over(Window.partitionBy(label).orderBy("chars", F.xxhash64("doc_id"), "doc_id"))
         few = own.where(F.col(label).isin(long_only)).withColumn("__rank", rank).where(F.col("__rank") <= LONG_ROWS).select("doc_id", label)
         chosen = chosen.unionByName(few.groupBy("doc_id").agg(F.min(label).alias(label)))
-    kept = own.where(fits | F.col(label).isin(long_only)).select("doc_id", F.substring("text", 1, max_chars).alias("text"))
-    found = kept.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min(label).alias(label))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(text, 1, max_chars).alias("text"), (F.char_length(text) <= max_chars).alias("fits"))
+    found = kept.join(F.broadcast(chosen), "doc_id").where(F.col("fits") | F.col(label).isin(long_only) if long_only else F.col("fits"))
+    found = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.min(label).alias(label))
     return sorted(found.collect(), key=lambda r: r.doc_id), {v: n for v, (n, _) in sizes.items()}
 
 
+def with_chars(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(doc_id, label columns, chars) of the labelled documents: what ``labelled_sample`` takes; no text is shuffled. A null text has no characters."""
+    chars = F.char_length(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("chars")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), chars).join(labels, "doc_id")
+
+
 # ---- inside tasks -------------------------------------------------------------------------------
 
 

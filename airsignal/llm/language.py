@@ -134,8 +134,8 @@ def fit(docs: DataFrame, per_lang: int = LANG_ROWS, rows: int = SAMPLE_ROWS, max
 
     With more than ``rows`` / ``per_lang`` languages each has an equal part of ``rows``, 20 at least.
     """
-    known = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(F.col("text").rlike(r"\p{L}"))
-    sample, _ = labelled_sample(known, "lang", per_lang, max_chars, rows)
+    known = docs.where(F.col("text").rlike(r"\p{L}")).select("doc_id", F.col("lang").cast("string").alias("lang"), F.char_length("text").alias("chars"))
+    sample, _ = labelled_sample(docs, known, "lang", per_lang, max_chars, rows)
     sample = [r for r in sample if has_letter(r.text)]
     return train([r.text for r in sample], [r.lang for r in sample])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airsignal.llm.common import IS_SPACE, Powers, byte_pieces, labelled_sample, range_hashes, text_buffer, words_of
+from airsignal.llm.common import IS_SPACE, Powers, byte_pieces, labelled_sample, range_hashes, text_buffer, with_chars, words_of
 
 #: Hash buckets of words and length of the factor vectors.
 BUCKETS, FACTORS = 1024, 8
@@ -139,8 +139,7 @@ def train(x: np.ndarray, y: np.ndarray, factors: int = FACTORS, epochs: int = 40
 def fit(docs: DataFrame, labels: DataFrame, rows_per_label: int = SAMPLE_ROWS, max_chars: int = SAMPLE_CHARS) -> Model:
     """Train on a bounded sample of the labelled rows (doc_id, quality) given; the bias is set back to the labels' true shares."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows, counts = labelled_sample(given.join(known, "doc_id"), "quality", rows_per_label, max_chars)
+    rows, counts = labelled_sample(docs, with_chars(docs, known), "quality", rows_per_label, max_chars)
     y = np.array([r.quality for r in rows], float)
     texts, powers = pa.array([r.text for r in rows], pa.string()), Powers()
     x = np.vstack([features(texts[i:i + ROWS], powers) for i in range(0, len(rows), ROWS)] or [np.zeros((0, BUCKETS + len(STATISTICS)), np.float32)])

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airsignal.llm.common import IS_SPACE, byte_pieces, labelled_sample, text_buffer, words_of
+from airsignal.llm.common import IS_SPACE, byte_pieces, labelled_sample, saved, text_buffer, with_chars, words_of
 
 #: Largest distance between the first and the last letter of a subsequence; weight per byte of its span.
 SPAN, DECAY = 5, 0.6
@@ -116,19 +116,21 @@ def other_forms(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.nd
         return
     s, e, r = start[mixed], end[mixed], row[mixed]
     inside = np.repeat(s - (np.cumsum(e - s) - (e - s)), e - s) + np.arange((e - s).sum())
-    stop = np.cumsum(count[mixed])
-    squeezed = data[inside[letter[inside]]]
-    yield squeezed, *windowed(stop - count[mixed], stop, r)
-    # runs of letters within the words
+    # runs of letters within the words; neighbouring words do not run together, as white space stands between them
     own = np.zeros(len(data) + 1, bool)
     own[inside] = letter[inside]
     edge = np.flatnonzero(np.diff(np.append(False, own).astype(np.int8)))
     a, b = edge[::2], edge[1::2]
-    # neighbouring words do not run together: white space stands between them
+    word = np.searchsorted(s, a, "right") - 1
     keep = b - a >= LETTERS
-    a, b = a[keep], b[keep]
-    if len(a):
-        yield data, *windowed(a, b, r[np.searchsorted(s, a, "right") - 1])
+    if keep.any():
+        yield data, *windowed(a[keep], b[keep], r[word[keep]])
+    broken = np.flatnonzero(np.bincount(word, minlength=len(s)) > 1)  # with one run, its letters alone are that run
+    if len(broken):
+        s, e, r, size = s[broken], e[broken], r[broken], count[mixed][broken]
+        inside = np.repeat(s - (np.cumsum(e - s) - (e - s)), e - s) + np.arange((e - s).sum())
+        stop = np.cumsum(size)
+        yield data[inside[letter[inside]]], *windowed(stop - size, stop, r)
 
 
 def bytes_left(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -189,9 +191,10 @@ def word_scores(texts: pa.Array, model: Model):
             units.append((letters, *windowed(stop - size, stop, row[spaced])))
         units += other_forms(piece, *words_of(piece, off, IS_SPACE))
         for letters, a, b, r in units:
-            for i in range(0, len(a), 16_384):
-                a_, b_ = a[i:i + 16_384], b[i:i + 16_384]
-                yield r[i:i + 16_384], word_sums_of(letters, a_, b_, model.weight) + model.bias, a_, b_, letters
+            order = np.argsort(b - a, kind="stable")  # words of like length together
+            for i in range(0, len(order), 8_192):
+                at = order[i:i + 8_192]
+                yield r[at], word_sums_of(letters, a[at], b[at], model.weight) + model.bias, a[at], b[at], letters
 
 
 def decisions(texts: pa.Array, model: Model) -> np.ndarray:
@@ -388,9 +391,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
         max_chars: int = SAMPLE_CHARS) -> Model:
     """Train on a bounded sample of the labelled rows (doc_id, toxic) given."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    labelled = given.join(known, "doc_id")
-    rows = [r for value, most in ((1, toxic_rows), (0, clean_rows)) for r in labelled_sample(labelled.where(F.col("toxic") == value), "toxic", most, max_chars)[0]]
+    labelled = saved(with_chars(docs, known), "known")
+    rows = [r for value, most in ((1, toxic_rows), (0, clean_rows)) for r in labelled_sample(docs, labelled.where(F.col("toxic") == value), "toxic", most, max_chars)[0]]
     rows.sort(key=lambda r: r.doc_id)
     return train([r.text for r in rows], [r.toxic for r in rows])
 
