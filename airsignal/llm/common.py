@@ -74,8 +74,8 @@ def crc_mod(col: str, n: int):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit(""))) % n
 
 
-def first_ids_per(ids: DataFrame, max_rows: int, label: str, all_rows: int | None = None) -> tuple[DataFrame, dict]:
-    """(doc_id, label): at most ``max_rows`` rows of every label in the order of a hash of doc_id; and how many doc_ids each label has.
+def first_ids_per(ids: DataFrame, max_rows: int | dict, label: str, all_rows: int | None = None) -> tuple[DataFrame, dict]:
+    """(doc_id, label): at most ``max_rows`` rows of every label (a number, or one by label) in the order of a hash of doc_id; and how many doc_ids each label has.
 
     With more labels than ``all_rows`` / ``max_rows`` each gets an equal part of ``all_rows``, 20 at least. A repeated doc_id counts once, with its smallest label. Large labels are thinned by the hash before they are
     ranked, so a rank's task reads little more than ``max_rows`` rows whatever the size of the table.
@@ -84,21 +84,23 @@ def first_ids_per(ids: DataFrame, max_rows: int, label: str, all_rows: int | Non
     counts = {r[0]: r[1] for r in own.groupBy(label).count().collect()}  # a row per label
     if all_rows is not None:
         max_rows = min(max_rows, max(20, all_rows // max(1, len(counts))))
+    most = {v: max_rows[v] if isinstance(max_rows, dict) else max_rows for v in counts}
     place = F.xxhash64("doc_id")
-    few = max_rows + 8 * int(max_rows ** 0.5) + 64  # so many are expected below the cut, hence max_rows at least
-    cuts = {v: int(few / n * 2.0 ** 64) - (1 << 63) for v, n in counts.items() if n > few}
+    few = {v: m + 8 * int(m ** 0.5) + 64 for v, m in most.items()}  # so many are expected below the cut, hence the rows wanted at least
+    cuts = {v: int(few[v] / n * 2.0 ** 64) - (1 << 63) for v, n in counts.items() if n > few[v]}
     if cuts:
         at = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
         own = own.where(F.coalesce(place <= F.element_at(at, F.col(label)), F.lit(True)))
     rank = F.row_number().over(Window.partitionBy(label).orderBy(place, "doc_id"))
-    return own.withColumn("__rank", rank).where(F.col("__rank") <= max_rows).drop("__rank"), counts
+    limit = F.lit(max_rows) if not isinstance(max_rows, dict) else F.element_at(F.create_map(*[F.lit(x) for pair in max_rows.items() for x in pair]), F.col(label))
+    return own.withColumn("__rank", rank).where(F.col("__rank") <= limit).drop("__rank"), counts
 
 
 #: Texts of a label all of whose texts are too long: so many of the shortest, cut.
 LONG_ROWS = 20
 
 
-def labelled_sample(docs: DataFrame, known: DataFrame, label: str, per_label: int, max_chars: int, all_rows: int | None = None) -> tuple[list, dict]:
+def labelled_sample(docs: DataFrame, known: DataFrame, label: str, per_label: int | dict, max_chars: int, all_rows: int | None = None) -> tuple[list, dict]:
     """((doc_id, text, label) ordered by doc_id; rows of each label): at most ``per_label`` texts of every label, in the order of a hash of doc_id.
 
     ``known`` has doc_id, the label and the text's characters (``chars``, not null), without texts: only these few numbers are joined and ranked. Texts over ``max_chars``

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airsignal.llm.common import IS_SPACE, byte_pieces, labelled_sample, saved, text_buffer, with_chars, words_of
+from airsignal.llm.common import IS_SPACE, byte_pieces, labelled_sample, text_buffer, with_chars, words_of
 
 #: Largest distance between the first and the last letter of a subsequence; weight per byte of its span.
 SPAN, DECAY = 5, 0.6
@@ -245,8 +245,8 @@ class _Landmarks:
 
     def against(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), self.z.shape[1]), np.float32)
-        for i in range(0, len(words), 200):
-            word, code, value = _features(words[i:i + 200])
+        for i in range(0, len(words), 40):  # a few words at once: their subsequences times the landmarks are held
+            word, code, value = _features(words[i:i + 40])
             if len(word):
                 at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
                 known = np.flatnonzero(self.codes[at] == code)
@@ -391,9 +391,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, clean_
         max_chars: int = SAMPLE_CHARS) -> Model:
     """Train on a bounded sample of the labelled rows (doc_id, toxic) given."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    labelled = saved(with_chars(docs, known), "known")
-    rows = [r for value, most in ((1, toxic_rows), (0, clean_rows)) for r in labelled_sample(docs, labelled.where(F.col("toxic") == value), "toxic", most, max_chars)[0]]
-    rows.sort(key=lambda r: r.doc_id)
+    rows, _ = labelled_sample(docs, with_chars(docs, known), "toxic", {1: toxic_rows, 0: clean_rows}, max_chars)
     return train([r.text for r in rows], [r.toxic for r in rows])
 
 
