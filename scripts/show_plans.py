@@ -35,9 +35,11 @@ def main() -> None:
     raw = scratch_path(spark, "raw")
     ST.raw_append(merged(spark, sf), raw, keys=["location_id", "event_id"])
     cases = [
-        ("derived_features, plain plan: one Exchange on the location after the pivot, one Sort",
+        ("derived_features, plain plan: one Exchange on the location after the pivot, one Sort, one walk (MapInArrow)",
          FE.derived_features(base, K, "ts", strategy="plain")),
-        ("derived_features, blocked plan (hot keys): distributed row number, blocks with halos",
+        ("all_features: a first, narrow walk for the series' first values, then one walk that derives and fills",
+         FE.all_features(base, K, "ts", "aqi", strategy="plain")),
+        ("derived_features, blocked plan (hot keys): distributed row number, blocks with halos and seed rows",
          FE.derived_features(base.select("location_id", "ts", *SERIES), K, "ts", strategy="blocked")),
         ("fill_missing, plain plan", W.fill_missing(base, SERIES, K, "ts", strategy="plain")),
         ("raw_range_scan: event_date partition pruning and ts pushdown",
