@@ -25,6 +25,8 @@ from airsignal.llm.common import Powers, mix, saved, shuffle_partitions
 GRAM, WINDOW = 8, 16
 #: Code points hashed at once; longer texts are done in stretches that overlap by a gram and a window.
 STRETCH = 1 << 18
+#: Rows of a batch that are worked on at once.
+CHUNK = 64
 
 
 def marks(text: str, powers: Powers, gram: int = GRAM, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -156,9 +158,9 @@ def edited_likeness(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
     def inside(batches):
         powers, before = Powers(), None
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
+            for at in range(0, batch.num_rows, CHUNK):
                 results, edges = [], []
-                piece = batch.slice(at, 256)
+                piece = batch.slice(at, CHUNK)
                 for doc_id, text, part in zip(*(piece.column(c).to_pylist() for c in ("doc_id", "text", "part")), strict=True):
                     row = _Row(doc_id, text, powers, gram, window)
                     if before is None:
@@ -167,6 +169,7 @@ def edited_likeness(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) ->
                         results.append(before.compared(row, powers, gram, window))
                     before = row
                 yield out(results, edges)
+            pa.default_memory_pool().release_unused()  # a worker serves many tasks
         if before is not None:
             yield out([], [(part, "last", before.doc_id, before.text)])
 
