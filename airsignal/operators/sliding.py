@@ -429,6 +429,7 @@ class Pass:
             end = np.append(head[1:], len(at))
             group = np.searchsorted(head, start)
             firsts, lasts = [], []
+            wanted = set(schema.names)
             for c in names:
                 x, ok = made[c] if c in made else column_arrays(part.table, c)
                 x, ok = x[at], ok[at]
@@ -440,8 +441,8 @@ class Pass:
                     a = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
                     b = np.append(a[1:], len(p)) - 1
                     f[g[a]], l[g[a]], have[g[a]] = x[p[a]], x[p[b]], True
-                firsts.append(pa.array(f, pa.float64(), mask=~have))
-                lasts.append(pa.array(l, pa.float64(), mask=~have))
+                firsts.append(pa.array(f, pa.float64(), mask=~have) if "__f0" in wanted else None)
+                lasts.append(pa.array(l, pa.float64(), mask=~have) if "__l0" in wanted else None)
             own = {"__n": pa.array(end - head, pa.int64()), "__before": pa.array(seen + head, pa.int64()),
                    **{f"__f{j}": v for j, v in enumerate(firsts)}, **{f"__l{j}": v for j, v in enumerate(lasts)}}
             seen += len(at)
@@ -467,19 +468,19 @@ def walked(rows: DataFrame, walk: Pass, order: Sequence[str], new: Sequence[str]
     return dealt(rows, walk.keys, order).mapInArrow(run, out)
 
 
-def summaries(rows: DataFrame, walk: Pass, order: Sequence[str]) -> DataFrame:
-    """First and last present values: keys (and part), rows, and one struct per end: see ``Pass.summarise``; one row per series and part."""
+def summaries(rows: DataFrame, walk: Pass, order: Sequence[str], ends: str = "fl") -> DataFrame:
+    """First (``__f<j>``) and last (``__l<j>``) present values of the seed columns, as far as ``ends`` asks for them, and rows (``__n``): one row per series and part."""
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
     names, cut = walk.seed_columns(), [*walk.keys, *([walk.parts] if walk.parts else [])]
     k = range(len(names))
     out = StructType([*[rows.schema[c] for c in cut], StructField("__n", LongType()), StructField("__before", LongType()),
-                      *[StructField(f"__{e}{j}", DoubleType()) for e in "fl" for j in k]])
+                      *[StructField(f"__{e}{j}", DoubleType()) for e in ends for j in k]])
     pieces = dealt(rows, walk.keys, order).mapInArrow(_with_schema(walk.summarise, out), out)
-    # a series that spans batches has several pieces: few rows, combined before their shuffle
-    when = lambda c: F.when(F.col(c).isNotNull(), F.col("__before"))
-    return pieces.groupBy(*cut).agg(F.sum("__n").alias("__n"), *[F.min_by(f"__f{j}", when(f"__f{j}")).alias(f"__f{j}") for j in k],
-                                    *[F.max_by(f"__l{j}", when(f"__l{j}")).alias(f"__l{j}") for j in k])
+    # a series that spans batches has several pieces: few rows, combined before their shuffle. SQL text: one JVM call per column
+    one = {"f": "min_by", "l": "max_by"}
+    return pieces.groupBy(*cut).agg(F.sum("__n").alias("__n"), *[
+        F.expr(f"{one[e]}(__{e}{j}, CASE WHEN __{e}{j} IS NOT NULL THEN __before END) AS __{e}{j}") for e in ends for j in k])
 
 
 def _with_schema(method: Callable, out) -> Callable:

@@ -72,8 +72,10 @@ def floating(df: DataFrame, cols: Sequence[str]) -> bool:
 
 def seed_rows(values: DataFrame, keys: Sequence[str], names: Sequence[str], lasts: Sequence[str] | None, firsts: Sequence[str] | None) -> DataFrame:
     """Seed rows of a walk from columns named ``lasts`` and ``firsts`` (None: nothing known), one per value of the walk."""
-    def held(cols: Sequence[str] | None) -> Column:
-        return F.array(*[F.lit(None).cast("double") if cols is None else F.col(c).cast("double") for c in (cols or names)])
+    def held(cols: Sequence[str] | None) -> Column:  # SQL text: one JVM call
+        if cols is None:
+            return F.expr(f"array_repeat(CAST(NULL AS DOUBLE), {len(names)})")
+        return F.expr("array(" + ", ".join(f"CAST({quote(c)} AS DOUBLE)" for c in cols) + ")")
     return values.select(*keys, F.lit(0).alias(SL.SEED), held(lasts).alias(SL.LASTS), held(firsts).alias(SL.FIRSTS))
 
 
@@ -93,7 +95,7 @@ def walked_series(df: DataFrame, walk: SL.Pass, order: Sequence[str], new: Seque
     if choose_strategy(df, strategy) == "plain":
         if not backward:
             return SL.walked(df, walk, order, new)
-        first = SL.summaries(df, walk, order)
+        first = SL.summaries(df, walk, order, "f")
         return SL.walked(seeded(df, seed_rows(first, keys, names, None, [f"__f{j}" for j in range(len(names))])),
                          replace(walk, backward=True), order, new)
     rows = plan_series(df, keys, order, walk.spec.look_back, "blocked", block_rows).df
