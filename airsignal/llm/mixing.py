@@ -10,7 +10,7 @@
    then every rate moves against the gradient (scaled by the document's tokens and the domain's natural total, which makes a step of 1 safe)
    and is cut at its bounds. Steps end at the targets, or where no total moves any more: with an upper bound the targets need not be in reach.
 
-A rate depends on the posteriors and on the few gradients alone, so the table of posteriors is written once and never rewritten.
+A rate depends on the posteriors and on the few gradients alone, so the table of posteriors is written once, and again only where there are many steps.
 
 Results: null and empty texts have no tokens, posteriors equal to the domains' shares, and a rate like any other; repeated
 rows get equal results; an empty table gives an empty result. Of equal posteriors the first domain in alphabetical order is named. Without any
@@ -42,8 +42,9 @@ STATISTICS = ["words", "distinct", "lines", "distinct_lines", "length", "symbols
 SAMPLE_ROWS, ALL_ROWS = 1_000, 10_000
 #: Penalties on the weights of words and of statistics, and steps of the regression.
 RIDGES, FIT_STEPS = (2e-4, 2e-4), 600
-#: Steps at most, the relative difference to the targets at which they end, and the relative change below which totals stand still.
-STEPS, TOLERANCE, STILL = 40, 1e-3, 1e-5
+#: Steps at most, the relative difference to the targets at which they end, and the relative change below which totals stand still (as
+#: exact as the targets themselves); steps after which rates are written, so that the expression of a rate stays small.
+STEPS, TOLERANCE, STILL, WRITE_EVERY = 40, 1e-3, 1e-3, 8
 MOST_DOMAINS = 256
 
 
@@ -211,13 +212,15 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     rate, natural = F.lit(1.0), totals(F.lit(1.0))
     wanted, now = target_totals(natural, domains, targets, budget, hold_rest), natural
     scale = [max(v, 1e-9) for v in natural]
-    for _ in range(steps):
+    for nth in range(1, steps + 1):
         if all(abs(a - t) <= tolerance * max(t, 1.0) for a, t in zip(now, wanted, strict=True)):
             break
         step = sum((p * F.lit((a - t) / s) for p, a, t, s in zip(ps[1:], now[1:], wanted[1:], scale[1:], strict=True)),
                    ps[0] * F.lit((now[0] - wanted[0]) / scale[0]))
         rate = F.greatest(F.lit(0.0), rate - step)
         rate = rate if most is None else F.least(F.lit(float(most)), rate)
+        if nth % WRITE_EVERY == 0:
+            table, rate = saved(table.withColumn("rate", rate), "rates"), F.col("rate")
         before, now = now, totals(rate)
         if all(abs(a - b) <= STILL * max(b, 1.0) for a, b in zip(now, before, strict=True)):
             break
